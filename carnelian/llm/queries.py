@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from carnelian.llm import decontaminate, token_counts
+from carnelian.llm import decontaminate, licenses, token_counts
 
-_MODULES = (decontaminate, token_counts)
+_MODULES = (licenses, decontaminate, token_counts)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
