@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from carnelian.llm import decontaminate, licenses, token_counts
+from carnelian.llm import decontaminate, licenses, quality_rules, token_counts
 
-_MODULES = (licenses, decontaminate, token_counts)
+_MODULES = (licenses, decontaminate, quality_rules, token_counts)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
