@@ -28,11 +28,11 @@ from carnelian.llm.text import Slice, Words, mix, ngrams, slices, words
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 MOST_TRUSTED = 20_000
-#: Added to every count.
-SMOOTHING = 1.0
+#: Added to a bucket's trusted count and to the count expected there, so that rare n-grams say little.
+SMOOTHING = 20.0
 #: n-grams with a ratio of 0 that are added to each document, so that a few words decide nothing.
 SHRINK = 10
-THRESHOLD = -0.15
+THRESHOLD = -0.1
 
 #: Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -97,7 +97,7 @@ def trusted_ids(labels: DataFrame, id_column: str = "doc_id", quality_column: st
 
 
 def log_ratios(df: DataFrame, trusted: list, id_column: str = "doc_id", text_column: str = "text", smoothing: float = SMOOTHING) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | all rows), from one scan of df."""
+    """log p(bucket | trusted) - log p(bucket | all rows), smoothed, from one scan of df."""
     chosen = broadcast(df.sparkSession, frozenset(trusted))
 
     def run(batches):
@@ -117,8 +117,8 @@ def log_ratios(df: DataFrame, trusted: list, id_column: str = "doc_id", text_col
         counts[0, row.bucket], counts[1, row.bucket] = row.a, row.b
     if not counts[1].sum():
         return np.zeros(BUCKETS)
-    p = (counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * BUCKETS)
-    return np.log(p[1]) - np.log(p[0])
+    expected = counts[0] * (counts[1].sum() / counts[0].sum())
+    return np.log((counts[1] + smoothing) / (expected + smoothing))
 
 
 def judge(df: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, shrink: int = SHRINK) -> DataFrame:
