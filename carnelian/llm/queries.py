@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from carnelian.llm import decontaminate, language, licenses, quality_rules, token_counts
+from carnelian.llm import decontaminate, language, licenses, quality_rules, token_counts, toxicity
 
-_MODULES = (licenses, decontaminate, quality_rules, token_counts, language)
+_MODULES = (toxicity, licenses, decontaminate, quality_rules, token_counts, language)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
