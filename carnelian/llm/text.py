@@ -134,6 +134,25 @@ def words(part: Slice, folded: bool = True, hashed: bool = True) -> Words:
     return Words(starts, ends, rows, first, mix(h))
 
 
+def prefixes(part: Slice, found: Words, sizes: range, folded: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first bytes of words that go on after them, and the rows they are in.
+
+    A prefix of n bytes is told apart from a word of those bytes."""
+    if not len(found.starts):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    up, down = powers(len(part.buf))
+    terms = _VALUES[folded][part.buf] * up[: len(part.buf)]
+    sums = np.cumsum(terms)
+    before, lengths = sums[found.starts] - terms[found.starts], found.ends - found.starts
+    hashes, rows = [], []
+    for n in sizes:
+        long = np.flatnonzero(lengths > n)
+        starts = found.starts[long]
+        hashes.append(mix((sums[starts + n - 1] - before[long]) * down[starts], n))
+        rows.append(found.rows[long])
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
 def hash_words(tokens: list[bytes], folded: bool = True) -> np.ndarray:
     """The hashes that words() gives these words."""
     if not tokens:

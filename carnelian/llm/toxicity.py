@@ -1,8 +1,8 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows: for each class the MOST_EXAMPLES
-that come first by a hash of their id.  Vectors are over the terms (folded
-words) that tell the classes apart by a chi-square test on the examples, at
+that come first by a hash of their id.  Terms are folded words, and the first
+4 to 10 bytes of words that go on after them.  Vectors are over the terms that tell the classes apart by a chi-square test on the examples, at
 most MOST_TERMS of them; their document frequencies are counted over the whole
 corpus.  Examples with equal vectors share one entry of the index.
 
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carnelian.llm.frames import broadcast, documents, stored, text_bytes
-from carnelian.llm.text import slices, to_signed, words
+from carnelian.llm.text import HashSet, prefixes, slices, to_signed, words
 
 MOST_EXAMPLES = 4_000
-MOST_TERMS = 256
+MOST_TERMS = 384
+#: Bytes of the beginnings of words that are terms.
+BEGINNINGS = range(4, 11)
 #: Least chi-square value of a term, and the least number of examples it is in.
 LEAST_CHI, LEAST_EXAMPLES = 25.0, 4
 NEIGHBOURS = 12
@@ -107,7 +109,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     """The index over a vocabulary of term hashes, its votes and their calibration."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple], shares: dict[int, float], k: int = NEIGHBOURS):
+    def __init__(self, vocabulary: HashSet, idf: np.ndarray, examples: list[tuple], shares: dict[int, float], k: int = NEIGHBOURS):
         """examples: (id, toxic, term numbers, counts); shares: of the classes in all labels."""
         self.vocabulary, self.idf, self.k = vocabulary, idf, k
         n_of = {c: sum(1 for e in examples if e[1] == c) for c in (0, 1)}
@@ -130,7 +132,7 @@ class Model:
         for key in keys:
             terms, counts = np.array([t for t, _ in key]), np.array([c for _, c in key])
             vectors.append((terms, weights_of(terms, counts, idf)))
-        self.index = BlockMaxIndex(vectors, len(vocabulary))
+        self.index = BlockMaxIndex(vectors, len(vocabulary.values))
         x, y, w = [], [], []
         for entry, (terms, weights) in enumerate(vectors):
             for toxic in (0, 1):
@@ -170,15 +172,21 @@ class Model:
         return self.memo[key]
 
 
-def vectors(part, vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of a slice, the sorted numbers of its vocabulary terms and their counts."""
+def terms_of(part) -> tuple[np.ndarray, np.ndarray]:
+    """(term hash, row) of every term of a slice, each as often as it stands there."""
     found = words(part)
-    at = np.minimum(np.searchsorted(vocabulary, found.hashes), max(0, len(vocabulary) - 1))
-    hit = np.flatnonzero(vocabulary[at] == found.hashes) if len(vocabulary) else np.zeros(0, dtype=np.int64)
-    rows, terms = found.rows[hit], at[hit]
-    key, counts = np.unique(rows * max(1, len(vocabulary)) + terms, return_counts=True)
-    edges = np.searchsorted(key, np.arange(len(part) + 1) * max(1, len(vocabulary)))
-    return [(key[a:b] % max(1, len(vocabulary)), counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    begun, rows = prefixes(part, found, BEGINNINGS)
+    return np.concatenate([found.hashes, begun]), np.concatenate([found.rows, rows])
+
+
+def vectors(part, vocabulary: HashSet) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of a slice, the sorted numbers of its vocabulary terms and their counts."""
+    hashes, rows = terms_of(part)
+    n = max(1, len(vocabulary.values))
+    hit = np.flatnonzero(vocabulary.has(hashes))
+    key, counts = np.unique(rows[hit] * n + np.searchsorted(vocabulary.values, hashes[hit]), return_counts=True)
+    edges = np.searchsorted(key, np.arange(len(part) + 1) * n)
+    return [(key[a:b] % n, counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def sample_labels(labels: DataFrame, learn, id_column: str, label_column: str, most: int) -> tuple[list, dict[int, float]]:
@@ -195,9 +203,11 @@ def _terms(batches):
     for batch in batches:
         terms, counts = [], []
         for part in slices(batch.column("text")):
-            found = words(part)
+            hashes, rows = terms_of(part)
+            order = np.argsort(rows, kind="stable")
+            hashes, edges = to_signed(hashes[order]), np.searchsorted(rows[order], np.arange(len(part) + 1))
             for r in range(len(part)):
-                t, n = np.unique(to_signed(found.hashes[found.first[r] : found.first[r + 1]]), return_counts=True)
+                t, n = np.unique(hashes[edges[r] : edges[r + 1]], return_counts=True)
                 terms.append(t)
                 counts.append(n)
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["id", "toxic", "terms", "counts"])
@@ -214,13 +224,13 @@ def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_i
     total = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     if not n0 or not n1:
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), [], shares)
+        return Model(HashSet(np.zeros(0, dtype=np.uint64)), np.zeros(0), [], shares)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")  # examples of class 1 and 0 with the term
     chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n0 + n1) / ((a + b) * (n0 + n1 - a - b) * n1 * n0)
     terms = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     picked = terms.where((a + b >= LEAST_EXAMPLES) & (a + b < n0 + n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(MOST_TERMS).select("term").collect()
-    vocabulary = np.sort(np.array([r.term for r in picked], dtype=np.int64).view(np.uint64))
-    number = {int(t): i for i, t in enumerate(to_signed(vocabulary).tolist())}
+    vocabulary = HashSet(np.array([r.term for r in picked], dtype=np.int64).view(np.uint64))
+    number = {int(t): i for i, t in enumerate(to_signed(vocabulary.values).tolist())}
     held = []
     wanted = F.array(*[F.lit(t) for t in number]) if number else F.array().cast("array<bigint>")
     slim = examples.select("id", "toxic", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(wanted, x["terms"])).alias("v"))
@@ -231,12 +241,12 @@ def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_i
     return Model(vocabulary, idf(df, vocabulary, text_column), held, shares)
 
 
-def idf(df: DataFrame, vocabulary: np.ndarray, text_column: str) -> np.ndarray:
+def idf(df: DataFrame, vocabulary: HashSet, text_column: str) -> np.ndarray:
     """log((rows + 1) / (rows with the term + 1)), counted over all rows of df."""
     sent = broadcast(df.sparkSession, vocabulary)
 
     def run(batches):
-        total = np.zeros(len(sent.value) + 1, dtype=np.int64)
+        total = np.zeros(len(sent.value.values) + 1, dtype=np.int64)
         for batch in batches:
             total[-1] += batch.num_rows
             for part in slices(batch.column("text")):
@@ -244,7 +254,7 @@ def idf(df: DataFrame, vocabulary: np.ndarray, text_column: str) -> np.ndarray:
                     total[terms] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
 
-    counts = np.zeros(len(vocabulary) + 1)
+    counts = np.zeros(len(vocabulary.values) + 1)
     for r in df.select(text_bytes(text_column)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         counts[r.term] = r.n
     return np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1e-6
