@@ -22,6 +22,7 @@ run.  An empty table gives no rows.  If nothing holds a word all targets are 0.
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 import pandas as pd
@@ -60,9 +61,10 @@ def targets(sizes: list[int], weights: list[int], total: Fraction, cap: int = CA
 def sainte_lague(seats: int, votes: list, most: list[int] | None = None) -> list[int]:
     """Seats by highest quotients votes / (2 * seats held + 1); ties go to the earlier; most: a limit for each.
 
-    Starts from what each surely gets: with n parties a party's share of the
-    seats less n, or its limit, so the number of steps doesn't grow with the
-    seats.  Seats that limits set free are shared out in the same way."""
+    Starts from what each surely gets, so the number of steps doesn't grow with
+    the seats: no quotient rounds by more than a half, so of S seats n parties
+    leave a share q at least q * (1 - n / 2S) - 1/2, or its limit.  Seats that
+    limits set free are shared out in the same way."""
     most = most or [seats] * len(votes)
     held = [0] * len(votes)
     active = [i for i, v in enumerate(votes) if v > 0 and most[i] > 0]
@@ -71,8 +73,9 @@ def sainte_lague(seats: int, votes: list, most: list[int] | None = None) -> list
         moved = False
         pool = seats - sum(held) + sum(held[i] for i in active)
         total = sum(Fraction(votes[i]) for i in active)
+        rate = (pool - Fraction(len(active), 2)) / total
         for i in active:
-            sure = min(most[i], int(pool * Fraction(votes[i]) / total) - len(votes))
+            sure = min(most[i], math.floor(rate * votes[i] - Fraction(1, 2)))
             if sure > held[i]:
                 held[i], moved = sure, True
         active = [i for i in active if held[i] < most[i]]
