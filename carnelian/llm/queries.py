@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from carnelian.llm import decontaminate, language, licenses, mixing, quality_rules, token_counts, toxicity
+from carnelian.llm import decontaminate, language, licenses, mixing, quality_rules, secrets, token_counts, toxicity
 
-_MODULES = (toxicity, licenses, mixing, decontaminate, quality_rules, token_counts, language)
+_MODULES = (toxicity, licenses, mixing, decontaminate, secrets, quality_rules, token_counts, language)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
