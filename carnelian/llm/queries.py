@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from carnelian.llm import decontaminate, language, licenses, mixing, near_duplicates, quality_rules, secrets, token_counts, toxicity
+from carnelian.llm import decontaminate, language, licenses, mixing, near_duplicates, quality_classifier, quality_rules, secrets, token_counts, toxicity
 
-_MODULES = (near_duplicates, toxicity, licenses, mixing, decontaminate, secrets, quality_rules, token_counts, language)
+_MODULES = (near_duplicates, toxicity, licenses, mixing, decontaminate, secrets, quality_rules, quality_classifier, token_counts, language)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
