@@ -122,8 +122,9 @@ def status(checkouts: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def totals(defs: DataFrame, call_name: DataFrame, files: DataFrame) -> DataFrame:
-    one = lambda df, c, name: df.agg(c.alias(name))
-    return one(files, F.count("*"), "files").crossJoin(one(files, F.count_distinct("oid"), "blobs")).crossJoin(one(defs, F.count("*"), "defs")).crossJoin(one(call_name, F.sum("calls"), "calls"))
+    """what, n: rows of each kind in all."""
+    one = lambda df, c, name: df.agg(F.coalesce(c, F.lit(0)).cast("bigint").alias("n")).select(F.lit(name).alias("what"), "n")
+    return one(files, F.count("*"), "files").unionByName(one(files, F.count_distinct("oid"), "blobs")).unionByName(one(defs, F.count("*"), "defs")).unionByName(one(call_name, F.sum("calls"), "calls"))
 
 
 def tree_roots(root: str, checkouts: DataFrame, gem_use: DataFrame) -> DataFrame:
