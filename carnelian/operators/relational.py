@@ -159,8 +159,9 @@ def digest(files: DataFrame, value: Column, by: str = "checkout") -> DataFrame:
     """Order-independent digest of each group: the wrapping sum of its rows' 64-bit values.
 
     A value is taken as unsigned, and sums are decimals, so nothing overflows."""
-    wide = F.when(value < 0, value.cast("decimal(38,0)") + F.lit(1 << 64).cast("decimal(38,0)")).otherwise(value.cast("decimal(38,0)"))
-    return files.groupBy(by).agg((F.sum(wide) % F.lit(1 << 64).cast("decimal(38,0)")).alias("digest"))
+    modulus = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    wide = F.when(value < 0, value.cast("decimal(20,0)") + modulus).otherwise(value.cast("decimal(20,0)")).cast("decimal(28,0)")
+    return files.groupBy(by).agg((F.sum(wide) % modulus).cast("decimal(20,0)").alias("digest"))
 
 
 def constant_spellings(names: DataFrame, const_refs: DataFrame) -> DataFrame:

@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from carnelian.plans import relational_queries
+
+_MODULES = [relational_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in _MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["name_mentions"](spark, sf_dir)
