@@ -32,13 +32,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carnelian.llm.frames import documents, stored, text_bytes
-from carnelian.llm.text import mix, ngrams, sequence_hashes, slices, to_signed, words
+from carnelian.llm.text import member, mix, ngrams, sequence_hashes, slices, to_signed, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH = 16, 6
@@ -127,61 +126,103 @@ def _estimated(similarity: float) -> float:
     return similarity - ERRORS * math.sqrt(similarity * (1 - similarity) / k)
 
 
-def _cell_sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Numbers of the rows on each side of the cell, and whether the sides are the same."""
-    one = bool(rows["low"].iloc[0] == rows["high"].iloc[0])
-    if one:
-        side = np.arange(len(rows))
-        return side, side, True
-    block = rows["block"].to_numpy()
-    return np.flatnonzero(block == rows["low"].iloc[0]), np.flatnonzero(block == rows["high"].iloc[0]), False
+CELL = ("tree", "path", "low", "high")
 
 
-def _meet(depth: int, least: float):
-    """Members of a cell that have a pair there which is worth verifying and met in no earlier tree."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        signature = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint16).reshape(len(rows), TREES * DEPTH)
-        left, right, one = _cell_sides(rows)
-        good = np.zeros(len(rows), dtype=bool)
-        for a, b in _pairs_of(signature, left, right, one, int(rows["tree"].iloc[0]), depth, least):
-            good[a] = good[b] = True
-        return rows.loc[good, ["tree", "path", "low", "high", "block", "node", "copies", "signature"]]
+def by_cell(work):
+    """work(table, edges) over runs of whole cells, from batches that are sorted by cell.
+
+    edges: where each cell begins, and the end.  At most one cell is carried from
+    a batch to the next."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            edges = _edges(rest)
+            last = int(edges[-2]) if len(edges) > 1 else 0
+            if last:
+                yield from work(rest.slice(0, last), edges[:-1])
+                rest = rest.slice(last).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield from work(rest, _edges(rest))
 
     return run
 
 
-def _pairs_of(signature, left, right, one: bool, tree: int, depth: int, least: float, chunk: int = 256):
-    """(rows, rows) of pairs to verify, a chunk of the left side at a time."""
-    trees = signature.reshape(len(signature), TREES, DEPTH)[:, :, :depth]
+def _edges(table: pa.Table) -> np.ndarray:
+    n = table.num_rows
+    new = np.zeros(max(0, n - 1), dtype=bool)
+    for name in CELL:
+        column = table.column(name).to_numpy()
+        new |= column[1:] != column[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [n]]) if n else np.zeros(1, dtype=np.int64)
+
+
+def _signatures_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint16).reshape(table.num_rows, TREES * DEPTH)
+
+
+def _all_pairs(edges: np.ndarray, most: int = 100_000):
+    """(rows, rows) of all pairs within cells, at most about most at a time."""
+    starts, sizes = edges[:-1], np.diff(edges)
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        own = starts[sizes == m]
+        if m <= 64:
+            i, j = np.triu_indices(m, 1)
+            step = max(1, most // len(i))
+            for at in range(0, len(own), step):
+                base = own[at : at + step, None]
+                yield (base + i).ravel(), (base + j).ravel()
+        else:
+            step = max(1, most // m)
+            for start in own.tolist():
+                for at in range(0, m, step):
+                    i = np.arange(at, min(m, at + step))
+                    a, b = np.repeat(i, m - 1 - i), np.concatenate([np.arange(x + 1, m) for x in i.tolist()])
+                    yield start + a, start + b
+
+
+def _candidates(table: pa.Table, edges: np.ndarray, depth: int, least: float):
+    """Pairs that are worth verifying: of the cell's two sides, near enough by
+    the estimate, and not met in an earlier tree."""
+    signature = _signatures_of(table)
+    tree, block = table.column("tree").to_numpy(), table.column("block").to_numpy()
+    one = table.column("low").to_numpy() == table.column("high").to_numpy()
     need = least * TREES * DEPTH
-    for at in range(0, len(left), chunk):
-        own = left[at : at + chunk]
-        agree = np.zeros((len(own), len(right)), dtype=np.uint8)
-        for k in range(TREES * DEPTH):
-            agree += signature[own, k][:, None] == signature[right, k][None, :]
-        a, b = np.nonzero(agree >= need)
-        if one:
-            a, b = a[own[a] < right[b]], b[own[a] < right[b]]
-        for earlier in range(tree):
-            if not len(a):
-                break
-            met = (trees[own[a], earlier] == trees[right[b], earlier]).all(axis=1)
-            a, b = a[~met], b[~met]
-        yield own[a], right[b]
+    for a, b in _all_pairs(edges):
+        near = np.flatnonzero(one[a] | (block[a] != block[b]))
+        a, b = a[near], b[near]
+        same = signature[a] == signature[b]
+        near = np.flatnonzero(same.sum(axis=1) >= need)
+        met = same[near].reshape(len(near), TREES, DEPTH)[:, :, :depth].all(axis=2).argmax(axis=1)
+        near = near[met == tree[a[near]]]
+        yield a[near], b[near]
+
+
+def _meet(depth: int, least: float):
+    """Members of cells that have a pair there which is worth verifying."""
+
+    def work(table: pa.Table, edges: np.ndarray):
+        good = np.zeros(table.num_rows, dtype=bool)
+        for a, b in _candidates(table, edges, depth, least):
+            good[a] = good[b] = True
+        yield from table.filter(pa.array(good)).to_batches()
+
+    return by_cell(work)
 
 
 def _verify(depth: int, least: float, similarity: float):
-    """For every member of a cell: documents linked to, and the smallest node of its part of the cell."""
+    """For every member of a cell that is linked there: documents linked to, and
+    the smallest node of its part of the cell."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        signature = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint16).reshape(len(rows), TREES * DEPTH)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"]]
-        sizes = np.array([len(s) for s in sets])
-        copies, links, root = rows["copies"].to_numpy(), np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
-        left, right, one = _cell_sides(rows)
+    def work(table: pa.Table, edges: np.ndarray):
+        n = table.num_rows
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        links, root = np.zeros(n, dtype=np.int64), np.arange(n)
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -189,32 +230,28 @@ def _verify(depth: int, least: float, similarity: float):
                 x = root[x]
             return x
 
-        # shingles as numbers, so that a row marks its own in one table
-        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, dtype=np.int64)
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        mark = np.zeros(int(numbers.max(initial=0)) + 1, dtype=bool)
-        for own, other in _pairs_of(signature, left, right, one, int(rows["tree"].iloc[0]), depth, least):
-            cuts = np.flatnonzero(np.diff(own)) + 1
-            for a, partners in zip(own[np.concatenate([[0], cuts])].tolist() if len(own) else [], np.split(other, cuts), strict=False):
-                mine = numbers[edges[a] : edges[a + 1]]
-                mark[mine] = True
-                if len(partners) * 8 > len(rows):
-                    shared = np.bincount(owner, weights=mark[numbers], minlength=len(rows))[partners]
-                else:
-                    shared = np.array([np.count_nonzero(mark[numbers[edges[b] : edges[b + 1]]]) for b in partners.tolist()])
-                mark[mine] = False
+        for left, right in _candidates(table, edges, depth, least):
+            order = np.argsort(left, kind="stable")
+            left, right = left[order], right[order]
+            cuts = np.flatnonzero(np.diff(left)) + 1
+            for a, partners in zip(left[np.concatenate([[0], cuts])].tolist() if len(left) else [], np.split(right, cuts), strict=False):
+                theirs = np.concatenate([sets[b] for b in partners.tolist()])
+                ends = np.cumsum(sizes[partners])
+                hit = np.concatenate([[0], np.cumsum(member(sets[a], theirs))])
+                shared = hit[ends] - hit[ends - sizes[partners]]
                 linked = partners[shared >= similarity * (sizes[a] + sizes[partners] - shared) - 1e-9]
                 links[a] += copies[linked].sum()
                 links[linked] += copies[a]
                 for b in linked.tolist():
                     x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
-        tops = np.array([find(x) for x in range(len(rows))])
-        nodes = rows["node"].to_numpy()
-        return pd.DataFrame({"node": nodes, "top": nodes[tops], "links": links})[links > 0]
+                    if x != y:
+                        low, high = (x, y) if nodes[x] < nodes[y] else (y, x)
+                        root[high] = low
+        kept = np.flatnonzero(links)
+        tops = np.array([find(x) for x in kept.tolist()], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array(nodes[tops]), pa.array(links[kept])], ["node", "top", "links"])
 
-    return run
+    return by_cell(work)
 
 
 def _shingle_sets(batches):
@@ -266,12 +303,13 @@ def _classified(df: DataFrame, id_column: str, text_column: str, similarity: flo
     cells = cells.select("node", "tree", "path", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     shape = "tree int, path bigint, low int, high int, block int, node bigint, copies bigint, signature binary"
     cells = cells.join(stand.select("node", "copies", "signature"), "node").select(*[c.split()[0] for c in shape.split(", ")])
-    met = stored(cells.groupBy("tree", "path", "low", "high").applyInPandas(_meet(depth, least), shape))
+    met = stored(cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_meet(depth, least), shape))
 
     wanted = met.select("node").distinct().join(stand.select("node", F.col("id").alias("id_"), F.col("key").alias("key_")), "node")
     texts = rows.join(wanted, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_"))).select("node", "text")
     sets = stored(texts.mapInArrow(_shingle_sets, "node bigint, shingles binary")).dropDuplicates(["node"])
-    verified = stored(met.join(sets, "node").groupBy("tree", "path", "low", "high").applyInPandas(_verify(depth, least, similarity), "node bigint, top bigint, links bigint"))
+    full = met.join(sets, "node").repartition(*CELL).sortWithinPartitions(*CELL)
+    verified = stored(full.mapInArrow(_verify(depth, least, similarity), "node bigint, top bigint, links bigint"))
 
     roots = components(verified)
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
