@@ -40,6 +40,8 @@ MOST_TERMS = 384
 BEGINNINGS = range(4, 11)
 #: Least chi-square value of a term, and the least number of examples it is in.
 LEAST_CHI, LEAST_EXAMPLES = 25.0, 4
+#: Least ratio of a term's shares in toxic and other examples.
+LEAST_LIFT = 3.0
 NEIGHBOURS = 12
 BLOCK = 64
 SOFT = 0.05
@@ -228,7 +230,7 @@ def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_i
     a, b = F.col("a").cast("double"), F.col("b").cast("double")  # examples of class 1 and 0 with the term
     chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n0 + n1) / ((a + b) * (n0 + n1 - a - b) * n1 * n0)
     terms = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    picked = terms.where((a + b >= LEAST_EXAMPLES) & (a + b < n0 + n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(MOST_TERMS).select("term").collect()
+    picked = terms.where((a + b >= LEAST_EXAMPLES) & (a / n1 >= LEAST_LIFT * b / n0)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(MOST_TERMS).select("term").collect()
     vocabulary = HashSet(np.array([r.term for r in picked], dtype=np.int64).view(np.uint64))
     number = {int(t): i for i, t in enumerate(to_signed(vocabulary.values).tolist())}
     held = []
