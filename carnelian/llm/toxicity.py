@@ -201,18 +201,15 @@ def sample_labels(labels: DataFrame, learn, id_column: str, label_column: str, m
 
 
 def _terms(batches):
-    """Distinct term hashes of every row, with their counts."""
+    """Distinct term hashes of every row, with their counts; a batch for each slice, as terms take more room than texts."""
     for batch in batches:
-        terms, counts = [], []
         for part in slices(batch.column("text")):
             hashes, rows = terms_of(part)
             order = np.argsort(rows, kind="stable")
             hashes, edges = to_signed(hashes[order]), np.searchsorted(rows[order], np.arange(len(part) + 1))
-            for r in range(len(part)):
-                t, n = np.unique(hashes[edges[r] : edges[r + 1]], return_counts=True)
-                terms.append(t)
-                counts.append(n)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["id", "toxic", "terms", "counts"])
+            pairs = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            own = [batch.column(name).slice(part.at, len(part)) for name in ("id", "toxic")]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([p[k] for p in pairs], pa.list_(pa.int64())) for k in (0, 1))], ["id", "toxic", "terms", "counts"])
 
 
 def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_examples: int = MOST_EXAMPLES) -> Model:
