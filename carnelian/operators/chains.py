@@ -33,8 +33,8 @@ class Graph:
     def instance(self, name: str, busy: tuple[str, ...] = ()) -> list[str]:
         """Prepends, itself, includes, then the superclass's chain.
 
-        A name that is asked for while it is being made has no chain, and what
-        was made meanwhile isn't remembered."""
+        A name that is asked for while it is being made has no chain; chains of
+        names on a cycle depend on where one begins, so they aren't remembered."""
         if name in busy:
             return []
         if name in self.done:
@@ -55,7 +55,7 @@ class Graph:
                 held = {*prepends, *includes, *parent}
                 includes = [*(i for i in ids if i not in held), *includes]
         chain = [*prepends, name, *includes, *parent]
-        if not busy or not self._cyclic(name):
+        if not self._cyclic(name):
             self.done[name] = chain
         return chain
 
