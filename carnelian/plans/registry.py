@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carnelian.plans import graph_queries, relational_queries, ruby_queries
+from carnelian.plans import graph_queries, relational_queries, ruby_queries, streaming_queries
 
-_MODULES = [relational_queries, graph_queries, ruby_queries]
+_MODULES = [relational_queries, graph_queries, ruby_queries, streaming_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in _MODULES:
