@@ -188,17 +188,19 @@ def lookup(asked: DataFrame, chains: DataFrame, methods: DataFrame, after_owner:
     nearest owner; then the definition that is read last.  after_owner: only
     what stands behind fqn itself, as for super."""
     keys = [c for c in asked.columns]
+    extra = [c for c in methods.columns if c not in ("checkout", "owner", "side", "name", "is_rbi", "ord")]
+    # an owner's last definition is found before anything is joined, so that a
+    # name which is defined often doesn't multiply rows
     named = methods.join(asked.select("name").distinct(), "name", "left_semi")
+    last = named.groupBy("checkout", "owner", F.col("side").alias("owner_side"), "name", "is_rbi").agg(F.max_by(F.struct(F.lit(0).alias("_"), *extra), "ord").alias("landing"))
     links = exploded(chains)
     rows = asked.join(links, ["checkout", "fqn", "side"])
     if after_owner:
         own = links.where((F.col("owner") == F.col("fqn")) & (F.col("owner_side") == F.col("side"))).select("checkout", "fqn", "side", F.col("pos").alias("own_pos"))
         rows = rows.join(own, ["checkout", "fqn", "side"]).where("pos > own_pos").drop("own_pos")
-    found = rows.join(named.withColumnRenamed("side", "owner_side"), ["checkout", "owner", "owner_side", "name"])
-    extra = [c for c in methods.columns if c not in ("checkout", "owner", "side", "name", "is_rbi", "ord")]
-    # the last of an owner's definitions first, so that the minimum needs no order to be turned round
-    last = found.groupBy(*keys, "is_rbi", "pos").agg(F.max_by(F.struct("owner", "owner_side", *extra), "ord").alias("landing"))
-    return last.groupBy(*keys).agg(F.min_by("landing", F.struct("is_rbi", "pos")).alias("landing")).select(*keys, "landing.*")
+    found = rows.join(last, ["checkout", "owner", "owner_side", "name"])
+    best = found.groupBy(*keys).agg(F.min_by(F.struct("owner", "owner_side", "landing"), F.struct("is_rbi", "pos")).alias("b"))
+    return best.select(*keys, "b.owner", "b.owner_side", *[F.col(f"b.landing.{c}").alias(c) for c in extra])
 
 
 def resolve_constant(refs: DataFrame, names: DataFrame, chains: DataFrame) -> DataFrame:
