@@ -345,3 +345,20 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_near_duplicates": op1_near_duplicates}
+
+#: All pairs that share a shingle, by plain joins; the forest's recall makes its result the same.
+ORACLES = {
+    "op1_near_duplicates": r"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+cls AS (SELECT w, min(doc_id) AS id, count(*) AS copies FROM doc WHERE len(w) > 0 GROUP BY w),
+sh AS (SELECT DISTINCT id, array_to_string(w[k:k + 4], ' ') AS s FROM cls, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(k)),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+pair AS (SELECT a.id AS x, b.id AS y, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+link AS (SELECT x, y FROM pair JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE common >= 0.8 * (p.n + q.n - common) - 1e-9),
+reach AS (SELECT id, id AS top FROM cls UNION SELECT reach.id, link.y FROM reach JOIN link ON link.x = reach.top),
+root AS (SELECT id, min(top) AS class_id FROM reach GROUP BY id),
+links AS (SELECT x AS id, sum(copies) AS n FROM link JOIN cls ON cls.id = y GROUP BY x)
+SELECT doc_id, coalesce(root.class_id, doc_id) AS class_id, CAST(CASE WHEN len(doc.w) = 0 THEN 0 ELSE coalesce(links.n, 0) + copies - 1 END AS BIGINT) AS n_links
+FROM doc LEFT JOIN cls ON cls.w = doc.w AND len(doc.w) > 0 LEFT JOIN root ON root.id = cls.id LEFT JOIN links ON links.id = cls.id
+"""
+}

@@ -151,3 +151,35 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_secret_scan": op6_secret_scan}
+
+
+def _oracle() -> str:
+    """The same by string functions: where a match stands is what is before it, piece by piece."""
+    quoted = lambda p: p.replace("'", "''")
+
+    def kind(number: int, pattern: str, group: int, least: int, shape: tuple = ()) -> str:
+        shaped = "".join(f" AND regexp_matches(value, '{p}')" for p in shape)
+        return f"""SELECT doc_id, source, {number} AS kind, CAST(len(array_to_string(gap[1:i], '')) + len(array_to_string(found[1:i - 1], '')) AS INTEGER) AS start, value, found[i] AS matched
+  FROM (SELECT doc_id, source, i, gap, found, regexp_extract_all(t, '{quoted(pattern)}', {group})[i] AS value FROM (SELECT doc_id, source, t, string_split_regex(t, '{quoted(pattern)}') AS gap, regexp_extract_all(t, '{quoted(pattern)}') AS found FROM text), unnest(range(1, len(found) + 1)) AS u(i)) WHERE len(value) >= {least}{shaped}"""
+
+    base = " UNION ALL ".join(kind(k, p, g, n) for k, (_, p, g, n) in enumerate(KINDS))
+    names = ", ".join(f"'{k[0]}'" for k in (*KINDS, KEY))
+    return f"""
+WITH text AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+base AS (SELECT *, start + len(matched) AS stop FROM ({base})),
+keys AS (SELECT *, start + len(matched) AS stop FROM ({kind(len(KINDS), KEY[1], KEY[2], KEY[3], KEY_SHAPE)})),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM keys),
+own AS (SELECT value FROM every GROUP BY value HAVING count(DISTINCT coalesce(source, chr(1))) <= {MOST_OWNERS}),
+live AS (SELECT DISTINCT doc_id, kind, start, stop FROM every WHERE value IN (SELECT value FROM own)),
+shown AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT doc_id, kind, start, stop FROM live l WHERE kind = {len(KINDS)} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = l.doc_id AND l.start < b.stop AND b.start < l.stop)),
+listed AS (SELECT doc_id, [{names}][kind + 1] || ':' || start || ':' || stop AS s, start, kind FROM shown),
+counted AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex FROM base GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce((SELECT string_agg(s, ',' ORDER BY start, kind) FROM listed l WHERE l.doc_id = t.doc_id AND kind < {len(KINDS)}), '')) AS base_sha256,
+  coalesce((SELECT string_agg(s, ',' ORDER BY start, kind) FROM listed l WHERE l.doc_id = t.doc_id), '') AS spans,
+  (SELECT count(*) FROM live l WHERE l.doc_id = t.doc_id) AS n_live
+FROM text t LEFT JOIN counted c ON c.doc_id = t.doc_id
+"""
+
+
+ORACLES = {"op6_secret_scan": _oracle()}
