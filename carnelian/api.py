@@ -11,6 +11,7 @@ from carnelian.operators import chains as C
 from carnelian.operators import dead, extraction, namespace, receivers, references, relational
 from carnelian.plans.lineage import cut
 from carnelian.sources.checkouts import split_scan
+from carnelian.sources.routes import routes
 
 #: Names that every program has, with the edges between them.
 CORE = (("BasicObject", "class"), ("Object", "class"), ("Module", "class"), ("Class", "class"), ("Kernel", "module"), ("Comparable", "module"), ("Enumerable", "module"), ("Struct", "class"))
@@ -22,6 +23,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, scan: DataFrame, checkouts: DataFrame | None = None, macros: list | None = None):
         self.spark = spark
+        self.scan = scan
         self.files, self.blobs = split_scan(scan)
         roots = scan.select(F.col("checkout").alias("root")).distinct()
         self.checkouts = checkouts if checkouts is not None else roots.select("root", F.lit("repo").alias("kind"))
@@ -46,7 +48,7 @@ class Index:
         calls = self.placed_facts("calls").select("checkout", "nesting")
         consts = self.placed_facts("const_refs").select("checkout", "nesting")
         defs = self.placed_facts("defs").select("checkout", "nesting")
-        clean = lambda df, c: df.withColumn(c, F.filter(c, lambda x: ~x.startswith("(")))
+        clean = lambda df, c: df.withColumn(c, F.filter(F.transform(c, lambda x: F.regexp_replace(x, r"^\(mixed (.*)\)$", "$1")), lambda x: ~x.startswith("(")))
         return cut(namespace.place(self.decls, clean(self.raw_edges, "owner"), clean(calls.unionByName(consts).unionByName(defs), "nesting")))
 
     @cached_property
@@ -65,7 +67,12 @@ class Index:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut(namespace.place_edges(self.raw_edges, self.paths, self.names, self.aliases))
+        placed = namespace.place_edges(self.raw_edges, self.paths, self.names, self.aliases)
+        return cut(namespace.apply_hooks(placed, namespace.hook_edges(self.raw_edges, self.paths, self.names)))
+
+    @cached_property
+    def dynamic(self) -> DataFrame:
+        return cut(namespace.place_dynamic(self.placed_facts("ancestry"), self.paths))
 
     @cached_property
     def chains(self) -> DataFrame:
@@ -100,19 +107,30 @@ class Index:
         assigns = self.placed_facts("assigns").withColumn("nesting", F.filter("nesting", lambda x: ~x.startswith("("))).withColumn("assign_id", F.xxhash64("checkout", "path", "line", "col", "target"))
         return cut(receivers.type_receivers(self.calls.drop("scopes"), assigns, self.facts("reaching"), self.scopes, self.names, self.chains, self.methods, self.aliases))
 
+    @cached_property
+    def routed(self) -> DataFrame:
+        """owner, name of the actions that routes files name."""
+        return cut(routes(self.scan).where("action IS NOT NULL").select(F.col("controller").alias("owner"), F.col("action").alias("name")).distinct())
+
     # -- questions ----------------------------------------------------------
     def references(self, queries: list[str]) -> DataFrame:
         asked = self.spark.createDataFrame([(q,) for q in queries], "query string").withColumn("q", references.parse_query(F.col("query"))).select("query", "q.owner", "q.side", "q.name")
-        return references.gather(asked, self.calls, self.receivers, self.chains, self.methods, self.names)
+        return references.gather(F.broadcast(asked), self.calls, self.receivers, self.chains, self.methods, self.names, self.dynamic)
 
-    def all_references(self) -> DataFrame:
-        """References of every method that is defined."""
-        asked = self.methods.select(F.concat("owner", F.when(F.col("side") == "class", ".").otherwise("#"), "name").alias("query"), "owner", "side", "name").distinct()
-        return references.gather(asked, self.calls, self.receivers, self.chains, self.methods, self.names)
+    def references_of(self, methods: DataFrame) -> DataFrame:
+        """References of methods (query, owner, side, name)."""
+        asked = cut(methods.select("query", "owner", "side", "name").distinct())
+        return references.gather(asked, self.calls, self.receivers, self.chains, self.methods, self.names, self.dynamic)
 
     def answers(self) -> DataFrame:
         return references.answers(self.calls, self.receivers, self.chains, self.methods)
 
+    def includer_votes(self) -> DataFrame:
+        return references.includer_votes(self.calls, self.receivers, self.names, self.chains, self.methods)
+
+    def delegates(self) -> DataFrame:
+        return references.follow_delegates(self.answers().where("owner IS NOT NULL").select("call_id", "checkout", "owner", "owner_side", "name"), self.methods, self.chains, self.names)
+
     def ancestors(self, fqn: str) -> DataFrame:
         return C.ancestors(self.chains, fqn)
 
@@ -124,10 +142,11 @@ class Index:
         return found.withColumnRenamed("around", "scopes")
 
     def dead_methods(self) -> DataFrame:
-        dynamic = self.facts("ancestry").where("relation = 'dynamic'").join(self.files, "oid").withColumn("path_", F.filter("owner", lambda x: ~x.startswith("("))).select("checkout", F.col("path_").alias("path")).join(self.paths, ["checkout", "path"]).select("checkout", F.col("fqn").alias("owner")).distinct().withColumn("dynamic", F.lit(True))
+        dynamic = self.dynamic.select("checkout", "owner").distinct().withColumn("dynamic", F.lit(True))
         mine = dead.candidates(self.methods, extraction.call_names(self.wide), self.files).withColumn("query", F.concat("owner", F.when(F.col("side") == "class", ".").otherwise("#"), "name"))
         mine = relational.last_wins(mine.withColumn("o", F.struct("ord")), ["checkout", "query"], ["o"]).join(dynamic, ["checkout", "owner"], "left").withColumn("dynamic", F.coalesce("dynamic", F.lit(False)))
-        return dead.grade_methods(mine, self.all_references(), references.overriding(self.methods, self.chains))
+        mine = cut(mine)
+        return dead.grade_methods(mine, self.references_of(mine), references.overriding(self.methods, self.chains), self.routed)
 
     def dead_constants(self) -> DataFrame:
         return dead.grade_constants(self.own_names, self.constants())

@@ -186,7 +186,8 @@ def lookup(asked: DataFrame, chains: DataFrame, methods: DataFrame, after_owner:
     methods: checkout, owner, side, name, is_rbi, ord, and whatever is wanted of a
     landing.  Source is preferred to stubs along the whole chain; then the
     nearest owner; then the definition that is read last.  after_owner: only
-    what stands behind fqn itself, as for super."""
+    what stands behind fqn itself, as for super, or behind the owner in a column
+    named after."""
     keys = [c for c in asked.columns]
     extra = [c for c in methods.columns if c not in ("checkout", "owner", "side", "name", "is_rbi", "ord")]
     # an owner's last definition is found before anything is joined, so that a
@@ -196,8 +197,9 @@ def lookup(asked: DataFrame, chains: DataFrame, methods: DataFrame, after_owner:
     links = exploded(chains)
     rows = asked.join(links, ["checkout", "fqn", "side"])
     if after_owner:
-        own = links.where((F.col("owner") == F.col("fqn")) & (F.col("owner_side") == F.col("side"))).select("checkout", "fqn", "side", F.col("pos").alias("own_pos"))
-        rows = rows.join(own, ["checkout", "fqn", "side"]).where("pos > own_pos").drop("own_pos")
+        behind = F.col("after") if "after" in keys else F.col("fqn")
+        place = links.select("checkout", "fqn", "side", F.col("owner").alias("_own"), F.col("pos").alias("own_pos"))
+        rows = rows.withColumn("_own", behind).join(place, ["checkout", "fqn", "side", "_own"]).where("pos > own_pos").drop("own_pos", "_own")
     found = rows.join(last, ["checkout", "owner", "owner_side", "name"])
     best = found.groupBy(*keys).agg(F.min_by(F.struct("owner", "owner_side", "landing"), F.struct("is_rbi", "pos")).alias("b"))
     return best.select(*keys, "b.owner", "b.owner_side", *[F.col(f"b.landing.{c}").alias(c) for c in extra])

@@ -36,7 +36,7 @@ def candidates(methods: DataFrame, call_name: DataFrame, files: DataFrame, scope
     mine = mine.where(scope) if scope is not None else mine
     placed = call_name.join(files, "oid")
     written = F.col("calls") - F.col("symbols")
-    often = placed.groupBy("name").agg(F.sum(written).alias("total"), F.sum(F.when(~in_tests(F.col("path")), written).otherwise(0)).alias("outside")).where((F.col("total") > MOST_WRITTEN) & (F.col("outside") > 0))
+    often = placed.groupBy("name").agg(F.sum(written).alias("total"), F.sum(F.when(~in_tests(F.col("path")), written).otherwise(0)).alias("outside")).where((F.col("total") > MOST_WRITTEN) & (F.col("outside") > 0) & (F.col("name") != "initialize"))
     return mine.join(often.select("name"), "name", "left_anti")
 
 

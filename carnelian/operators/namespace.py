@@ -153,6 +153,7 @@ def place_edges(edges: DataFrame, placed: DataFrame, names_: DataFrame, aliases:
     rows = rows.join(around, ["checkout", "path"], "left").join(placed, ["checkout", "path"], "left")
     rows = rows.withColumn("scopes", F.coalesce("scopes", F.array().cast("array<string>")))
     rows = rows.withColumn("sent_to", F.when(sent, F.regexp_extract(F.element_at("owner", 1), r"^\(sent (.*)\)$", 1)))
+    rows = rows.where(~F.element_at("owner", 1).startswith("(mixed ") & ~F.element_at("owner", 1).startswith("(on_load "))
     by_body = rows.where("sent_to IS NULL").select("checkout", F.col("fqn").alias("owner"), "relation", "target", "scopes", "runtime", "ord")
     found = resolve_lexical(rows.where("sent_to IS NOT NULL").select("checkout", "relation", "target", "runtime", "ord", F.col("scopes").alias("around"), F.col("sent_to").alias("written"), "scopes"), names_)
     by_constant = found.where("fqn IS NOT NULL").select("checkout", F.col("fqn").alias("owner"), "relation", "target", F.col("around").alias("scopes"), "runtime", "ord")
@@ -165,6 +166,48 @@ def place_edges(edges: DataFrame, placed: DataFrame, names_: DataFrame, aliases:
     return got.select("checkout", "owner", "relation", F.col("as_written").alias("target"), F.coalesce("namespace", "fqn").alias("resolved"), F.struct("runtime", "ord").alias("ord"))
 
 
+def hook_edges(edges: DataFrame, placed: DataFrame, names_: DataFrame) -> DataFrame:
+    """checkout, module, relation, target, resolved of what modules mix into whatever mixes them in."""
+    rows = edges.where(F.element_at("owner", 1).startswith("(mixed ")).withColumn("path", F.concat(F.array(F.regexp_extract(F.element_at("owner", 1), r"^\(mixed (.*)\)$", 1)), F.slice("owner", 2, F.greatest(F.size("owner") - 1, F.lit(0)))))
+    asked = rows.join(scope_names(placed), ["checkout", "path"]).join(placed, ["checkout", "path"]).select("checkout", F.col("fqn").alias("module"), "relation", "target", F.col("target").alias("written"), "scopes")
+    return resolve_lexical(asked, names_).select("checkout", "module", "relation", "target", F.col("fqn").alias("resolved")).where("resolved IS NOT NULL")
+
+
+def apply_hooks(placed_edges: DataFrame, hooked: DataFrame, rounds: int = 8) -> DataFrame:
+    """placed_edges with what a module's hook mixes into whatever mixes the module in, right behind the module.
+
+    hooked: checkout, module, relation, target, resolved.  A hook may mix in a
+    module with a hook of its own, so rounds follow one another until no edge is
+    new."""
+    at = cut(placed_edges.withColumn("step", F.array().cast("array<int>")))
+    fresh = at
+    order = Window.partitionBy("checkout", "module").orderBy("target", "relation")
+    hooks = hooked.withColumn("n", F.row_number().over(order))
+    for _ in range(rounds):
+        more = fresh.where(F.col("relation").isin("include", "prepend")).join(hooks.select("checkout", F.col("module").alias("resolved"), F.col("relation").alias("r"), F.col("target").alias("t"), F.col("resolved").alias("to"), "n"), ["checkout", "resolved"])
+        more = more.select("checkout", "owner", F.col("r").alias("relation"), F.col("t").alias("target"), F.col("to").alias("resolved"), "ord", F.array_append("step", F.col("n")).alias("step"))
+        fresh = cut(more.join(at, ["checkout", "owner", "relation", "resolved"], "left_anti").dropDuplicates(["checkout", "owner", "relation", "resolved"]))
+        if fresh.isEmpty():
+            break
+        at = cut(at.unionByName(fresh))
+    return at.select("checkout", "owner", "relation", "target", "resolved", F.struct(F.col("ord"), F.col("step")).alias("ord"))
+
+
+def fan_out_load_hooks(on_load: DataFrame, run: DataFrame) -> DataFrame:
+    """checkout, owner, relation, target of mixins in on_load blocks, for each class that runs the hook.
+
+    on_load: checkout, hook, relation, target.  run: checkout, hook, owner."""
+    return on_load.join(run, ["checkout", "hook"]).select("checkout", "owner", "relation", "target", "hook")
+
+
+def place_dynamic(ancestry: DataFrame, placed: DataFrame, body_calls: DataFrame | None = None) -> DataFrame:
+    """checkout, owner, shape of classes whose source makes or forwards names that it doesn't spell."""
+    rows = ancestry.where("relation = 'dynamic'").withColumn("path", F.filter("owner", lambda x: ~x.startswith("(")))
+    at = rows.select("checkout", "path", F.col("target").alias("shape")).join(placed, ["checkout", "path"])
+    shape = F.when(F.col("shape").startswith("("), "*").otherwise(F.col("shape"))
+    return at.select("checkout", F.when(F.col("fqn") == "", "Object").otherwise(F.col("fqn")).alias("owner"), shape.alias("shape")).distinct()
+
+
 def choose_superclass(edges: DataFrame, names_: DataFrame) -> DataFrame:
     """checkout, owner, superclass, unresolved: the first written target that names a class."""
     kinds = names_.select("checkout", F.col("fqn").alias("resolved"), F.col("kind").alias("of"))

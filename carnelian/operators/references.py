@@ -28,26 +28,25 @@ def parse_query(text: Column) -> Column:
     return F.struct(F.regexp_replace(owner, "^::", "").alias("owner"), F.when(mark == "#", "instance").when(mark == ".", "class").alias("side"), name.alias("name"))
 
 
-def gather(queries: DataFrame, calls: DataFrame, receivers: DataFrame, chains: DataFrame, methods: DataFrame, names: DataFrame) -> DataFrame:
+def gather(queries: DataFrame, calls: DataFrame, receivers: DataFrame, chains: DataFrame, methods: DataFrame, names: DataFrame, dynamic: DataFrame | None = None) -> DataFrame:
     """One row for each query and call of its name: tier, why, via, proximity.
 
     queries: query, owner, side, name.  calls: call_id, checkout, path, scopes and
-    the columns of the calls table.  The join is on the name; a name that a third
+    the columns of the calls table.  dynamic: checkout, owner, shape of classes
+    that make methods at run time.  The join is on the name; a name that a third
     of all calls have is split by the engine's skew handling."""
-    target = C.lookup(queries.where("owner IS NOT NULL").join(chains.select("checkout").distinct(), how="cross").select("query", "checkout", F.col("owner").alias("fqn"), "side", "name"), chains, methods).select("query", "checkout", F.col("owner").alias("target"), F.col("owner_side").alias("target_side"), F.col("params").alias("target_params"), F.col("path").alias("target_path"))
-    asked = F.broadcast(queries.withColumnRenamed("side", "asked_side").withColumnRenamed("owner", "asked_owner"))
-    sites = calls.join(asked, "name")
-    # X.new runs initialize
-    made = calls.where("name = 'new'").join(asked.where("name = 'initialize'").withColumnRenamed("name", "asked_name"), how="cross").withColumn("name", F.col("asked_name")).drop("asked_name") if "name" in queries.columns else None
-    sites = sites.withColumn("construct", F.lit(False)).unionByName(made.withColumn("construct", F.lit(True)))
-    sites = sites.join(F.broadcast(target), ["query", "checkout"], "left").join(receivers.withColumnsRenamed({"fqn": "recv_fqn", "side": "recv_side"}), "call_id", "left")
-    sites = cut(sites)
-    own_side = F.when(F.col("construct"), F.lit("instance")).otherwise(F.col("recv_side"))
-    typed = sites.where("recv_fqn IS NOT NULL AND recv <> 'super'").select("query", "call_id", "checkout", F.col("recv_fqn").alias("fqn"), own_side.alias("side"), "name")
-    landed = C.lookup(typed, chains, methods).select("query", "call_id", F.col("owner").alias("landed"), F.col("owner_side").alias("landed_side"), F.col("params").alias("landed_params"))
+    roots = F.broadcast(chains.select("checkout").distinct())
+    target = cut(C.lookup(queries.where("owner IS NOT NULL").join(roots, how="cross").select("query", "checkout", F.col("owner").alias("fqn"), "side", "name"), chains, methods).select("query", "checkout", F.col("owner").alias("target"), F.col("owner_side").alias("target_side"), F.col("params").alias("target_params"), F.col("path").alias("target_path")))
+    typed_by = receivers.withColumnsRenamed({"fqn": "recv_fqn", "side": "recv_side"})
+    sites = named_calls(calls).join(queries.withColumnsRenamed({"side": "asked_side", "owner": "asked_owner"}), "name").join(target, ["query", "checkout"], "left").join(typed_by, "call_id", "left")
+    sites = cut(sites.unionByName(_constructions(queries, target, calls, typed_by, chains, methods), allowMissingColumns=True))
+    typed = sites.where("recv_fqn IS NOT NULL AND recv <> 'super' AND landed IS NULL").select("query", "call_id", "checkout", F.col("recv_fqn").alias("fqn"), F.col("recv_side").alias("side"), "name")
+    landed = C.lookup(typed, chains, methods).select("query", "call_id", F.col("owner").alias("landed_"), F.col("owner_side").alias("landed_side_"))
     above = sites.where("recv = 'super' AND recv_fqn IS NOT NULL").select("query", "call_id", "checkout", F.col("recv_fqn").alias("fqn"), F.col("recv_side").alias("side"), "name")
-    by_super = C.lookup(above, chains, methods, after_owner=True).select("query", "call_id", F.col("owner").alias("landed"), F.col("owner_side").alias("landed_side"), F.col("params").alias("landed_params"))
-    rows = cut(sites.join(cut(landed.unionByName(by_super)), ["query", "call_id"], "left"))
+    by_super = C.lookup(above, chains, methods, after_owner=True).select("query", "call_id", F.col("owner").alias("landed_"), F.col("owner_side").alias("landed_side_"))
+    rows = sites.join(cut(landed.unionByName(by_super)), ["query", "call_id"], "left")
+    rows = rows.join(_super_of_modules(sites, names, chains, methods), ["query", "call_id"], "left")
+    rows = cut(rows.withColumns({"landed": F.coalesce("landed", "landed_"), "landed_side": F.coalesce("landed_side", "landed_side_")}).drop("landed_", "landed_side_"))
 
     links = C.exploded(chains.where("side = 'instance'")).select("checkout", "fqn", "owner").distinct()
     below = links.select("checkout", F.col("owner").alias("recv_fqn"), F.col("fqn").alias("target")).withColumn("reaches_below", F.lit(True))
@@ -57,11 +56,55 @@ def gather(queries: DataFrame, calls: DataFrame, receivers: DataFrame, chains: D
     missing = methods.where("name = 'method_missing' AND side = 'instance'").select("checkout", F.col("owner").alias("target_m")).distinct()
     forwards = links.join(missing.withColumnRenamed("target_m", "owner"), ["checkout", "owner"], "left_semi").select("checkout", F.col("fqn").alias("recv_fqn")).distinct().withColumn("forwards", F.lit(True))
     rows = rows.join(whole, ["checkout", "recv_fqn"], "left").join(forwards, ["checkout", "recv_fqn"], "left")
+    rows = _makers(rows, links, dynamic)
     home = links.select("checkout", F.col("fqn").alias("home"), F.col("owner").alias("target")).withColumn("home_inherits", F.lit(True))
     rows = rows.withColumn("home", F.when(F.size("scopes") > 0, F.element_at("scopes", 1))).join(home, ["checkout", "home", "target"], "left")
     return _judge(rows).select("query", "call_id", "checkout", "path", "line", "col", "name", "recv", "via", "recv_fqn", "landed", "target", "tier", "why", "proximity", "symbol")
 
 
+def _makers(rows: DataFrame, links: DataFrame, dynamic: DataFrame | None) -> DataFrame:
+    """rows with makes: an ancestor makes methods whose names its source doesn't say, and the shape fits."""
+    from carnelian.functions.scalars import shape_matches
+
+    if dynamic is None:
+        return rows.withColumn("makes", F.lit(None).cast("boolean"))
+    marked = links.join(dynamic, ["checkout", "owner"]).select("checkout", F.col("fqn").alias("recv_fqn"), "shape").distinct()
+    named = rows.where("landed IS NULL AND recv_fqn IS NOT NULL").select("checkout", "recv_fqn", "name").distinct()
+    fits = named.join(marked, ["checkout", "recv_fqn"]).where((F.col("shape") == "*") | shape_matches(F.col("shape"), F.col("name"))).select("checkout", "recv_fqn", "name").distinct()
+    return rows.join(fits.withColumn("makes", F.lit(True)), ["checkout", "recv_fqn", "name"], "left")
+
+
+def named_calls(calls: DataFrame) -> DataFrame:
+    """calls, and once more under each name that a matcher asks by: be_x asks x?, have_x asks has_x?."""
+    bare = calls.where("recv = 'implicit'")
+    be = bare.where(F.col("name").rlike("^be_(an?_)?[a-z]")).withColumn("name", F.concat(F.regexp_replace("name", "^be_(an?_)?", ""), F.lit("?")))
+    have = bare.where(F.col("name").rlike("^have_[a-z]")).withColumn("name", F.concat(F.lit("has_"), F.regexp_replace("name", "^have_", ""), F.lit("?")))
+    asked = be.unionByName(have).withColumns({"recv": F.lit("other"), "symbol": F.lit(True), "argc": F.lit(None).cast("int")})
+    return calls.unionByName(asked)
+
+
+def _super_of_modules(sites: DataFrame, names: DataFrame, chains: DataFrame, methods: DataFrame) -> DataFrame:
+    """query, call_id, some_land, all_land: where super in a module leads, over the classes that mix it in."""
+    modules = names.where("kind = 'module'").select("checkout", F.col("fqn").alias("recv_fqn"))
+    own = sites.where("recv = 'super' AND recv_side = 'instance' AND target IS NOT NULL").join(modules, ["checkout", "recv_fqn"], "left_semi")
+    mixing = C.includers(chains, names).select("checkout", F.col("module").alias("recv_fqn"), F.explode("classes").alias("fqn"))
+    each = own.join(mixing, ["checkout", "recv_fqn"]).select("query", "call_id", "checkout", "fqn", F.lit("instance").alias("side"), "name", F.col("recv_fqn").alias("after"), F.col("target").alias("wanted"))
+    landed = C.lookup(each, chains, methods, after_owner=True).select("query", "call_id", (F.col("owner") == F.col("wanted")).alias("hit"))
+    return landed.groupBy("query", "call_id").agg(F.bool_or("hit").alias("some_land"), F.bool_and("hit").alias("all_land"))
+
+
+def _constructions(queries: DataFrame, target: DataFrame, calls: DataFrame, typed_by: DataFrame, chains: DataFrame, methods: DataFrame) -> DataFrame:
+    """Sites of X.new that run a queried initialize.
+
+    Only sites that run it are rows: every other new of a program is one of
+    another class, and listing them for each initialize would pair the two."""
+    made = calls.where("name = 'new'").join(typed_by.where("recv_side = 'class'"), "call_id")
+    asked = made.select("call_id", "checkout", F.col("recv_fqn").alias("fqn"), F.lit("instance").alias("side"), F.lit("initialize").alias("name"))
+    run = C.lookup(asked, chains, methods).select("call_id", "checkout", F.col("owner").alias("target"), F.col("owner_side").alias("target_side"), F.col("owner").alias("landed"), F.col("owner_side").alias("landed_side"))
+    wanted = target.join(queries.where("name = 'initialize'").select("query"), "query", "left_semi")
+    return run.join(wanted, ["checkout", "target", "target_side"]).join(made.drop("checkout", "name"), "call_id").withColumn("name", F.lit("initialize"))
+
+
 def _judge(rows: DataFrame) -> DataFrame:
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     bare = F.col("target").isNull()
@@ -76,6 +119,7 @@ def _judge(rows: DataFrame) -> DataFrame:
     rule = lambda tier, why: F.struct(F.lit(tier).alias("tier"), F.lit(why).alias("why"))
     decision = (
         F.when(bare, F.when(typed & found, rule("confirmed", "defined")).otherwise(rule("possible", "untyped receiver")))
+        .when((F.col("recv") == "super") & F.col("some_land").isNotNull() & ~match, F.when(F.col("all_land"), rule("confirmed", "super of every class mixing it in")).when(F.col("some_land"), rule("possible", "super of a class mixing it in")).otherwise(rule("excluded", "different_owner")))
         .when(F.col("recv") == "super", F.when(match, rule("confirmed", "super")).when(found, rule("excluded", "different_owner")).when(yes("complete"), rule("excluded", "no_such_method")).otherwise(rule("possible", "super of an unknown ancestor")))
         .when(~typed, untyped)
         .when((F.col("via") == "receiver_name") & ~match, rule("possible", "a guess by name"))
@@ -85,6 +129,7 @@ def _judge(rows: DataFrame) -> DataFrame:
         .when(yes("bound") & yes("reaches_below") & (F.col("recv_side") == F.col("target_side")), rule("possible", "a subclass may run it"))
         .when(found, rule("excluded", "different_owner"))
         .when(yes("forwards"), rule("possible", "method_missing"))
+        .when(yes("makes"), rule("possible", "made at run time"))
         .when(yes("complete"), rule("excluded", "no_such_method"))
         .otherwise(rule("possible", "an ancestor is unknown"))
     )
@@ -156,6 +201,36 @@ def answers(calls: DataFrame, receivers: DataFrame, chains: DataFrame, methods:
     return rows.select("call_id", "checkout", "path", "name", "line", "col", status.alias("status"), F.when(F.col("owner").isNotNull(), F.col("confidence")).otherwise(0.0).alias("confidence"), "via", F.col("fqn").alias("receiver"), "owner", "owner_side", "def_path", "def_line", "defined_via")
 
 
+def includer_votes(calls: DataFrame, receivers: DataFrame, names: DataFrame, chains: DataFrame, methods: DataFrame) -> DataFrame:
+    """call_id, owner, agreeing, total: for a module's call on itself that the module doesn't answer, the
+    owner that most classes mixing it in land on."""
+    modules = names.where("kind = 'module'").select("checkout", "fqn")
+    own = calls.join(receivers.where("via = 'self' AND side = 'instance'"), "call_id").join(modules, ["checkout", "fqn"], "left_semi")
+    direct = C.lookup(own.select("call_id", "checkout", "fqn", "side", "name"), chains, methods)
+    open_ = own.join(direct.select("call_id"), "call_id", "left_anti").select("call_id", "checkout", F.col("fqn").alias("module"), "name")
+    mixing = C.includers(chains, names).select("checkout", "module", F.explode("classes").alias("fqn"))
+    each = open_.join(mixing, ["checkout", "module"]).withColumn("side", F.lit("instance"))
+    total = each.groupBy("call_id").agg(F.count("*").alias("total"))
+    votes = C.lookup(each.select("call_id", "checkout", "fqn", "side", "name"), chains, methods).groupBy("call_id", "owner").agg(F.count("*").alias("agreeing"))
+    best = votes.groupBy("call_id").agg(F.min_by(F.struct("owner", "agreeing"), F.struct(-F.col("agreeing"), F.col("owner"))).alias("b"))
+    return best.join(total, "call_id").select("call_id", "b.owner", F.col("b.agreeing").alias("agreeing"), "total")
+
+
+def follow_delegates(answered: DataFrame, methods: DataFrame, chains: DataFrame, names: DataFrame) -> DataFrame:
+    """answers that land on a delegator with where it leads: the target's type is what its own method or association returns.
+
+    answered: call_id, checkout, owner, owner_side, name.  Adds to_owner, null where the target isn't typed."""
+    from carnelian.functions.scalars import camelize
+
+    via = methods.where("kind_via = 'delegate' AND target IS NOT NULL").select("checkout", "owner", F.col("side").alias("owner_side"), "name", F.regexp_extract("target", r"^(.*)\.([^.]+)$", 1).alias("to"), F.regexp_extract("target", r"^(.*)\.([^.]+)$", 2).alias("to_name"))
+    rows = answered.join(via, ["checkout", "owner", "owner_side", "name"])
+    declared = C.lookup(rows.select("call_id", "checkout", F.col("owner").alias("fqn"), F.lit("instance").alias("side"), F.col("to").alias("name")), chains, methods).select("call_id", "sig_returns")
+    typed = rows.join(declared, "call_id", "left").withColumn("leaf", F.coalesce("sig_returns", camelize(F.col("to"))))
+    known = typed.join(names.where("kind = 'class'").select("checkout", F.col("fqn").alias("leaf")), ["checkout", "leaf"], "left_semi")
+    landed = C.lookup(known.select("call_id", "checkout", F.col("leaf").alias("fqn"), F.lit("instance").alias("side"), F.col("to_name").alias("name")), chains, methods).select("call_id", F.col("owner").alias("to_owner"), F.col("path").alias("to_path"), F.col("line").alias("to_line"))
+    return rows.select("call_id", "name", "owner", "to", "to_name").join(landed, "call_id", "left")
+
+
 def call_hierarchy(references: DataFrame, defs: DataFrame) -> DataFrame:
     """incoming: confirmed references by the innermost definition around them."""
     around = enclosing(references.where("tier = 'confirmed'").select("query", "call_id", "checkout", "path", "line"), defs)

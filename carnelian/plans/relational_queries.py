@@ -154,16 +154,11 @@ def const_refs_named(spark, sf_dir):
     return R.const_refs_named(line_refs(spark, sf_dir), part_files(spark, sf_dir), wanted)
 
 
-_ORD = "row_number() OVER (ORDER BY layer, checkout, path, line, col, name)"
-
-
-@query(f"WITH {_PFILES}, {_DEFS}, {_CHECKOUTS} SELECT name, kind, checkout, path, line, col, layer, {_ORD} AS ord FROM (SELECT d.name, d.kind, checkout, path, line, col, CASE c.kind WHEN 'core' THEN 0 WHEN 'stdlib' THEN 1 WHEN 'gem' THEN 2 ELSE 3 END AS layer FROM defs d JOIN files USING (oid) JOIN checkouts c ON root = checkout WHERE d.kind IN ('class','module','constant'))")
+@query(f"WITH {_PFILES}, {_DEFS}, {_CHECKOUTS} SELECT d.name, d.kind, checkout, path, line, col, CASE c.kind WHEN 'core' THEN 0 WHEN 'stdlib' THEN 1 WHEN 'gem' THEN 2 ELSE 3 END AS layer FROM defs d JOIN files USING (oid) JOIN checkouts c ON root = checkout WHERE d.kind IN ('class','module','constant')")
 def declarations_in_order(spark, sf_dir):
-    from pyspark.sql.window import Window
-
+    # a row's place in the order is its layer, checkout, path, line and column
     rows = R.declarations(part_defs(spark, sf_dir), part_files(spark, sf_dir), checkouts(spark, sf_dir))
-    # the whole listing is numbered only to show the order
-    return rows.select("name", "kind", "checkout", "path", "line", "col", "layer", F.row_number().over(Window.orderBy("ord", "name")).cast("bigint").alias("ord"))
+    return rows.select("name", "kind", "ord.checkout", "ord.path", "ord.line", "ord.col", "ord.layer")
 
 
 @query(f"WITH {_PFILES}, {_DEFS}, {_CHECKOUTS}, m AS (SELECT d.name, checkout, path, line, col, CASE c.kind WHEN 'core' THEN 0 WHEN 'stdlib' THEN 1 WHEN 'gem' THEN 2 ELSE 3 END AS layer, nest FROM defs d JOIN files USING (oid) JOIN checkouts c ON root = checkout WHERE d.kind = 'method') SELECT name, nest AS owner, checkout, path, line, col FROM (SELECT *, row_number() OVER (PARTITION BY name, nest ORDER BY layer DESC, checkout DESC, path DESC, line DESC, col DESC) AS r FROM m) WHERE r = 1")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from carnelian.api import Index
 from carnelian.operators import chains as C
-from carnelian.operators import dead
+from carnelian.operators import conventions, dead, positions, specs, views
 from carnelian.operators import references as P
 from carnelian.plans.sample import FILES, TEXTS
 from carnelian.sources import bundles, dumps, routes, texts
@@ -132,6 +132,23 @@ def ruby_answers(spark, sf_dir):
     return index(spark).answers().drop("call_id", "checkout")
 
 
+@query
+def ruby_includer_votes(spark, sf_dir):
+    ix = index(spark)
+    return ix.includer_votes().join(ix.calls.select("call_id", "path", "line", "name"), "call_id").drop("call_id")
+
+
+@query
+def ruby_delegates(spark, sf_dir):
+    ix = index(spark)
+    return ix.delegates().join(ix.calls.select("call_id", F.col("path").alias("at_path"), F.col("line").alias("at_line")), "call_id").drop("call_id")
+
+
+@query
+def ruby_dynamic_markers(spark, sf_dir):
+    return index(spark).dynamic
+
+
 @query
 def ruby_residue(spark, sf_dir):
     ix = index(spark)
@@ -286,3 +303,147 @@ def yaml_names(spark, sf_dir):
 def generated_files(spark, sf_dir):
     rows = from_rows(spark, FILES + TEXTS)
     return rows.where(texts.is_generated(F.col("path"), F.col("content"))).select("path")
+
+
+# -- places -------------------------------------------------------------------------
+def _asked(spark):
+    places = [("app/models/order.rb", 24, 28), ("app/models/order.rb", 18, 13), ("app/services/charge.rb", 10, 8), ("app/models/order.rb", 17, 6), ("app/models/special_order.rb", 1, 25), ("app/models/order.rb", 90, 1)]
+    return spark.createDataFrame([("shop", *p) for p in places], "checkout string, path string, line int, col int")
+
+
+def _found(spark):
+    ix = index(spark)
+    return positions.under(_asked(spark), *[ix.placed_facts(k) for k in ("defs", "const_refs", "calls", "assigns")])
+
+
+@query
+def ruby_under_cursor(spark, sf_dir):
+    return _found(spark)
+
+
+@query
+def ruby_definition_at(spark, sf_dir):
+    ix = index(spark)
+    return positions.definitions_at(_found(spark), ix.answers(), ix.constants(), ix.names, ix.placed_facts("reaching"))
+
+
+@query
+def ruby_hover(spark, sf_dir):
+    ix = index(spark)
+    docs = texts.doc_above(from_rows(spark, FILES), ix.placed_facts("defs"))
+    return positions.hover(ruby_definition_at(spark, sf_dir), docs, ix.methods)
+
+
+@query
+def ruby_instance_variables(spark, sf_dir):
+    ix = index(spark)
+    return positions.variable_mentions(ix.placed_facts("assigns"), ix.placed_facts("calls"), ix.placed_facts("reaching"), ix.paths)
+
+
+@query
+def ruby_local_variables(spark, sf_dir):
+    ix = index(spark)
+    return positions.local_mentions(ix.placed_facts("assigns"), ix.placed_facts("reaching"))
+
+
+@query
+def ruby_requires(spark, sf_dir):
+    ix = index(spark)
+    path = spark.createDataFrame([("shop", 0, "lib", "repo"), ("shop", 1, "spec", "repo"), ("shop", 2, "", "stdlib")], "checkout string, ord int, dir string, kind string")
+    return positions.resolve_requires(positions.requires(from_rows(spark, FILES)), ix.files, path)
+
+
+@query
+def ruby_workspace_symbols(spark, sf_dir):
+    return positions.workspace_symbols(index(spark).placed_facts("defs"), "or")
+
+
+@query
+def ruby_implementations(spark, sf_dir):
+    ix = index(spark)
+    return positions.implementations(ix.chains, ix.methods, "Order", "total")
+
+
+# -- specs --------------------------------------------------------------------------
+def _specs(spark):
+    files = from_rows(spark, FILES)
+    return specs.groups(files), specs.members(files), specs.reads(files), specs.includes(files)
+
+
+@query
+def spec_reads(spark, sf_dir):
+    g, m, r, i = _specs(spark)
+    return specs.answered(r, m, g, i)
+
+
+@query
+def spec_unread_members(spark, sf_dir):
+    g, m, r, i = _specs(spark)
+    return specs.unread(m, specs.answered(r, m, g, i))
+
+
+@query
+def spec_unused_shared_groups(spark, sf_dir):
+    g, _, _, i = _specs(spark)
+    return specs.unused_shared(g, i)
+
+
+@query
+def spec_typed_members(spark, sf_dir):
+    g, m, _, _ = _specs(spark)
+    return specs.typed_members(m, g, index(spark).names)
+
+
+# -- templates -----------------------------------------------------------------------
+@query
+def view_renderings(spark, sf_dir):
+    files = from_rows(spark, FILES)
+    return views.rendered(views.renderings(files), views.templates(files))
+
+
+@query
+def view_controllers(spark, sf_dir):
+    files, ix = from_rows(spark, FILES), index(spark)
+    made = views.templates(files)
+    return views.reached_from(views.rendered(views.renderings(files), made), views.actions_of(made, ix.methods))
+
+
+@query
+def view_instance_variables(spark, sf_dir):
+    from carnelian.operators.receivers import settle_values
+
+    files, ix = from_rows(spark, FILES), index(spark)
+    assigns = ix.placed_facts("assigns").withColumn("assign_id", F.xxhash64("checkout", "path", "line", "col", "target"))
+    settled = settle_values(assigns, ix.scopes, ix.names, ix.chains, ix.methods)
+    writes = assigns.join(settled.where("side = 'instance'").select("assign_id", "fqn"), "assign_id", "left").join(ix.paths.select("checkout", F.col("path").alias("nesting"), F.col("fqn").alias("owner")), ["checkout", "nesting"]).select("checkout", "owner", "target", "fqn")
+    found = views.view_variables(ix.calls, view_controllers(spark, sf_dir), writes)
+    return found.join(ix.calls.select("call_id", "path", "line", "name", "recv_text"), "call_id").drop("call_id")
+
+
+@query
+def view_helpers(spark, sf_dir):
+    ix = index(spark)
+    return views.helpers(ix.names, ix.files)
+
+
+# -- conventions ------------------------------------------------------------------------
+@query
+def convention_methods(spark, sf_dir):
+    ix = index(spark)
+    return conventions.by_library(ix.methods, ix.chains, conventions.default_rules(spark))
+
+
+@query
+def convention_writers(spark, sf_dir):
+    ix = index(spark)
+    return conventions.attribute_writers(ix.methods, ix.chains)
+
+
+@query
+def built_names(spark, sf_dir):
+    return conventions.hedged(index(spark).methods, conventions.built_shapes(from_rows(spark, FILES)))
+
+
+@query
+def constants_in_text(spark, sf_dir):
+    return conventions.constants_named(from_rows(spark, FILES), index(spark).own_names)

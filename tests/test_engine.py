@@ -122,3 +122,29 @@ def test_incremental_load_parses_a_content_once(spark):
     files, blobs = split_scan(from_rows(spark, [("a", "x.rb", "A = 1"), ("b", "y.rb", "A = 1"), ("a", "z.txt", "no")]))
     assert (files.count(), blobs.count()) == (2, 1)
     assert unknown_blobs(files, blobs, blobs.select("oid")).count() == 0
+
+
+def test_every_ruby_query_runs_and_is_stable(spark):
+    from carnelian.plans import ruby_queries as R
+
+    for name in ("ruby_dead_methods", "ruby_definition_at", "spec_reads", "view_controllers", "ruby_delegates", "bundle_resolved"):
+        first, again = (sorted(map(str, R.QUERIES[name](spark, "").collect())) for _ in range(2))
+        assert first and first == again, name
+
+
+def test_sample_answers(spark):
+    from carnelian.plans import ruby_queries as R
+
+    ix = R.index(spark)
+    chains = {r.fqn: [x.owner for x in r.chain] for r in ix.chains.where("side = 'instance'").collect()}
+    assert chains["SpecialOrder"] == ["Audited", "SpecialOrder", "Order", "Comparable", "Priced", "ApplicationRecord"]
+    dead = {r["query"]: r.tier for r in ix.dead_methods().collect()}
+    assert dead["OrdersController#index"] == "convention-only" and dead["OrdersController#orphan"] == "unreferenced" and dead["Search#never_called"] == "test-only"
+    refs = {(r.path, r.line): r.tier for r in ix.references(["Charge#initialize"]).collect()}
+    assert refs == {("app/models/order.rb", 23): "confirmed"}
+    up = {(r.path, r.line): (r.tier, r.why) for r in ix.references(["Order#pay!"]).collect()}
+    assert up["app/models/concerns/search.rb", 10] == ("confirmed", "super of every class mixing it in")
+    unread = [r.name for r in R.spec_unread_members(spark, "").collect()]
+    assert unread == ["unused"]
+    (chosen,) = [r.version for r in R.bundle_resolved(spark, "").collect() if r.name == "tools"]
+    assert chosen == "1.3.1"
