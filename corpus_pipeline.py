@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from carnelian.llm import decontaminate, language, mixing, near_duplicates, secrets
 from carnelian.llm.frames import documents, stored
+from carnelian.plans.shipping import ship
 
 LEAST_POSTERIOR = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     model = language.learn_model(docs, language.not_held_out("doc_id"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     judged = language.identify(docs, model, [F.col(c) for c in docs.columns], schema)
@@ -36,10 +38,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return near_duplicates.keep_one(docs)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -48,6 +52,7 @@ def mask_owned_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return mixing.mix_sources(docs)
 
 
