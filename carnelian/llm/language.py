@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carnelian.llm.frames import broadcast, documents, text_bytes
+from carnelian.llm.frames import broadcast, documents, first_by_hash, text_bytes
 from carnelian.llm.text import _FOLDED, LOWER, Slice, hash_words, slices, words
 
 VOCABULARY = "word_bpe_49k.json"
@@ -191,11 +191,9 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: tuple[str, ...], rounds:
 def sample_counts(df: DataFrame, id_column: str, text_column: str, lang_column: str, learn, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS) -> dict[str, dict[str, int]]:
     """Word counts by language from the bounded sample of rows where learn holds.
 
-    Rows are ranked by a hash of the id, language by language, with a limit in
-    each task before the shuffle, and only then are their texts read."""
-    rows = df.where(learn & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.withColumn("place", rank).where(F.col("place") <= most_rows).select("id", "lang").distinct()
+    The rows are chosen by id and language alone; only then are texts read."""
+    rows = df.where(learn & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(lang_column).alias("group"))
+    chosen = first_by_hash(rows, most_rows).select("id", F.col("group").alias("lang")).distinct()
     texts = df.where(learn).select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("t")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
     first = F.slice(F.split(F.regexp_replace(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x60\x7B-\x7F]+", " "), " "), 1, ROW_WORDS)
     words_ = texts.select("lang", F.explode(first).alias("w")).where(F.col("w") != "").groupBy("lang", "w").agg(F.count("*").alias("n"))
