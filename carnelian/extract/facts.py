@@ -63,6 +63,7 @@ class Extractor:
 
     def run(self) -> dict[str, list[dict]]:
         self.visit(self.tree, Scope())
+        self.type_readers()
         for read, writes in reaching_writes(self.tree).items():
             for w in sorted(writes):
                 (rl, rc), (wl, wc) = self.parser.pos(read), self.parser.pos(w)
@@ -72,6 +73,32 @@ class Extractor:
             self.out["errors"].append({"message": what, "line": line, "col": col})
         return self.out
 
+    def type_readers(self) -> None:
+        """A reader returns the class that every write of its variable in the body makes."""
+        made: dict[tuple, set] = {}
+        for a in self.out["assigns"]:
+            if a["target"].startswith("@") and not a["target"].startswith("@@"):
+                made.setdefault((a["target"][1:], tuple(a["nesting"]), a["singleton"]), set()).add(a["value"] if a["shape"] == "new" else None)
+        for row in self.out["defs"]:
+            if row["via"] in ("attr_reader", "attr_accessor", "attr") and not row["name"].endswith("=") and row["sig_returns"] is None:
+                classes = made.get((row["name"], tuple(row["nesting"]), row["singleton"]), set())
+                if len(classes) == 1:
+                    row["sig_returns"] = next(iter(classes))
+
+    def evaluated(self, text: Node, scope: Scope) -> None:
+        """Source in a string that a class evaluates, read at its place in the file.
+
+        Interpolated source is read where the interpolation is no part of a name."""
+        begin, stop = text.body or (text.start + 1, text.end - 1)
+        if begin >= stop:
+            return
+        source = self.parser.s
+        blank = "".join(c if c == "\n" else " " for c in source[:begin]) + source[begin:stop]
+        inner = Extractor(blank.encode("latin-1"), self.table)
+        if not inner.parser.errors:
+            inner.out = self.out
+            inner.visit(inner.tree, scope)
+
     # -- rows ---------------------------------------------------------------
     def add_def(self, scope: Scope, name: str, kind: str, at: int, end: int, **more) -> dict:
         line, col = self.parser.pos(at)
@@ -347,6 +374,10 @@ class Extractor:
         at_body = scope.body and own
         if at_body and self.macro(node, scope):
             return
+        if own and scope.method and scope.singleton and node.name in macros.MIXINS:
+            for a in node.args or []:
+                if path_text(a):
+                    self.add_edge(scope.nesting, "macro", f"{node.name}|{scope.method}|{path_text(a)}", a.start)
         if not own:
             self.sent_mixin(node, scope)
         self.visit(node.recv, scope)
@@ -360,11 +391,17 @@ class Extractor:
         self.symbols(node, scope, own)
         for a in node.args or []:
             self.visit(a, scope)
+        if name in ("class_eval", "module_eval", "instance_eval") and node.args and node.args[0].kind == "str" and all(isinstance(p, str) for p in node.args[0].parts or []):
+            path = path_text(node.recv)
+            if path or own:
+                self.evaluated(node.args[0], Scope((path, *scope.nesting) if path else scope.nesting, name == "instance_eval"))
         if node.block is not None:
             self.visit_block(node, scope)
 
     def visit_block(self, node: Node, scope: Scope) -> None:
         path = path_text(node.recv)
+        if node.block is None:
+            return
         if node.name in ("class_eval", "class_exec", "module_eval") and path:
             self.visit(node.block, Scope((path, *scope.nesting)))
         elif scope.body and node.recv is None and node.name == "included":

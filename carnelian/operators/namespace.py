@@ -222,6 +222,20 @@ def conflicts(edges: DataFrame, names_: DataFrame) -> DataFrame:
     return rows.groupBy("checkout", "owner").agg(F.array_sort(F.collect_set("resolved")).alias("variants")).where(F.size("variants") > 1)
 
 
+def macro_mixins(ancestry: DataFrame, body_calls: DataFrame, methods: DataFrame, placed: DataFrame, chains: DataFrame) -> DataFrame:
+    """checkout, owner, relation, target: mixins that a class macro makes in the classes whose bodies call it.
+
+    ancestry: rows of relation macro, whose target is "how|method|Module".  A call
+    counts if the class's own side has that macro."""
+    from carnelian.operators.chains import lookup
+
+    parts = F.split("target", r"\|")
+    made = ancestry.where("relation = 'macro'").withColumn("path", F.filter("owner", lambda x: ~x.startswith("("))).join(placed, ["checkout", "path"]).select("checkout", F.col("fqn").alias("macro_owner"), parts[0].alias("relation"), parts[1].alias("name"), parts[2].alias("target"))
+    called = body_calls.select("checkout", F.col("nesting").alias("path"), "name").distinct().join(placed, ["checkout", "path"]).select("checkout", "fqn", "name")
+    landed = lookup(called.select("checkout", "fqn", F.lit("class").alias("side"), "name"), chains, methods)
+    return landed.join(made.withColumnRenamed("macro_owner", "owner"), ["checkout", "owner", "name"]).select("checkout", F.col("fqn").alias("owner"), "relation", "target").distinct()
+
+
 def nearest_variant(asked: DataFrame, variants: DataFrame) -> DataFrame:
     """asked (checkout, name, path) with the variant (checkout, name, variant, path) that shares most directories; a tie gives the name."""
     from carnelian.functions.scalars import shared_dirs

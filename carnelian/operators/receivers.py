@@ -16,7 +16,7 @@ from carnelian.functions.scalars import camelize, share
 from carnelian.operators import chains as C
 from carnelian.plans.lineage import cut
 
-RUNGS = ("self", "const", "local:new", "local:const", "literal", "local:rescue", "sig", "finder", "param", "receiver_name")
+RUNGS = ("self", "const", "local:new", "local:const", "literal", "local:rescue", "sig", "finder", "chain", "chain:name", "receiver_name")
 #: Class methods of a model that return the model.
 FINDERS = ("find", "find_by", "find_by!", "find_or_create_by", "find_or_create_by!", "find_or_initialize_by", "create", "create!", "first", "last", "take", "first!", "last!", "take!", "build")
 MOST_HOPS = 4
@@ -93,8 +93,10 @@ def type_receivers(calls: DataFrame, assigns: DataFrame, reaching: DataFrame, sc
 
     literal = _rung(rows.where(F.col("recv") == "other").where(F.col("recv_text").isin("String", "Symbol", "Integer", "Float", "Array", "Hash", "Regexp", "Range", "Proc")).withColumn("fqn", F.col("recv_text")), "literal")
     chained = _chains(rows, own.unionByName(by_const).unionByName(voted), chains, methods, names)
+    known = own.unionByName(main).unionByName(by_const).unionByName(voted).unionByName(literal).unionByName(chained)
+    agreed = cut(_by_return_vote(rows, known, methods, names))
     guess = _by_name(rows, names, methods)
-    rungs = [own, main, by_const, voted, literal, chained, guess]
+    rungs = [own, main, by_const, voted, literal, chained, agreed, guess]
     ordered = reduce(DataFrame.unionByName, [r.withColumn("rung", F.lit(k)) for k, r in enumerate(rungs)])
     best = ordered.groupBy("call_id").agg(F.min_by(F.struct("fqn", "side", "via", "agreeing", "total", "bound"), F.struct("rung", "via", "fqn")).alias("r")).select("call_id", "r.*")
     return best.withColumn("confidence", share(F.col("agreeing"), F.col("total")))
@@ -124,6 +126,16 @@ def _chains(rows: DataFrame, known: DataFrame, chains: DataFrame, methods: DataF
     return out.dropDuplicates(["call_id"])
 
 
+def _by_return_vote(rows: DataFrame, known: DataFrame, methods: DataFrame, names: DataFrame) -> DataFrame:
+    """A call on a call that nothing types: the class that all methods of the inner name return, as sure as they agree."""
+    place = rows.select(F.col("call_id").alias("inner_id"), "checkout", "oid", F.col("name").alias("inner"), F.col("line").alias("recv_line"), F.col("col").alias("recv_col"))
+    outer = rows.where("recv = 'other' AND recv_line IS NOT NULL").select("call_id", "checkout", "oid", "recv_line", "recv_col").join(place, ["checkout", "oid", "recv_line", "recv_col"])
+    untyped = outer.join(known.select(F.col("call_id").alias("inner_id")), "inner_id", "left_anti")
+    vote = C.return_vote(methods).select("checkout", F.col("name").alias("inner"), "returns", "agreeing", "total")
+    found = untyped.join(vote, ["checkout", "inner"]).join(names.where("kind = 'class'").select("checkout", F.col("fqn").alias("returns")), ["checkout", "returns"], "left_semi")
+    return _rung(found.withColumnRenamed("returns", "fqn"), "chain:name", F.col("agreeing"), F.col("total"))
+
+
 def _by_name(rows: DataFrame, names: DataFrame, methods: DataFrame) -> DataFrame:
     """widget.save: the class of that name, if it answers; other classes of the name are rivals."""
     word = F.regexp_replace("recv_text", "^@+", "")

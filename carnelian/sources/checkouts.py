@@ -83,3 +83,25 @@ def nearby(names: DataFrame, files: DataFrame, cap: int = 4) -> DataFrame:
     rows = wanted.join(held, ["checkout", "file"])
     near = Window.partitionBy("checkout", "path", "name").orderBy(F.desc(shared_dirs(F.col("path"), F.col("candidate"))), F.length("candidate"), "candidate")
     return rows.withColumn("at", F.row_number().over(near)).where(F.col("at") <= cap).select("checkout", "path", "name", "candidate", "at")
+
+
+def git_fingerprint(root: str) -> str | None:
+    """What git's index looks like from outside; while it is the same, nothing was staged or checked out."""
+    import os
+
+    try:
+        s = os.stat(os.path.join(root, ".git", "index"))
+    except OSError:
+        return None
+    return f"{s.st_mtime_ns}:{s.st_size}:{s.st_ino}"
+
+
+def load_order(files: DataFrame, open_paths: list[str], roots: DataFrame) -> DataFrame:
+    """files with batch: what is open and its directory first, then the checkout, the gems it names, and the rest.
+
+    roots: checkout, kind."""
+    where = F.regexp_replace("path", r"[^/]+$", "")
+    near = [p.rsplit("/", 1)[0] + "/" if "/" in p else "" for p in open_paths]
+    rows = files.join(F.broadcast(roots), "checkout")
+    batch = F.when(F.col("path").isin(open_paths), 0).when(where.isin(near), 1).when(F.col("kind") == "repo", 2).when(F.col("kind") == "gem", 3).otherwise(4)
+    return rows.withColumn("batch", batch).drop("kind")

@@ -19,6 +19,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, version: int = schema.VERSION):
         self.spark, self.root, self.version = spark, root.rstrip("/"), version
         self.facts_path = f"{self.root}/facts/v={version}"
+        moved = self._read(f"{self.root}/compactions/v={version}", "at timestamp, path string").orderBy(F.desc("at")).limit(1).collect()
+        if moved:
+            self.facts_path = moved[0].path
 
     def _read(self, path: str, columns: str) -> DataFrame:
         from pyspark.errors import AnalysisException
@@ -62,6 +65,20 @@ class Store:
         delta.unpersist()
         return {"parsed": n, "changed": changed}
 
+    def compact(self, files: int = 1) -> bool:
+        """Rewrites the facts in that many files under a new folder and names it, if there are more; readers of the old one are not disturbed.
+
+        Facts that no file maps any more are left behind."""
+        wide = self.wide()
+        held = wide.inputFiles()
+        if len(held) <= files:
+            return False
+        fresh = f"{self.facts_path}-{uuid.uuid4().hex}"
+        wide.join(self.files().select("oid").distinct(), "oid", "left_semi").dropDuplicates(["oid"]).coalesce(files).sortWithinPartitions("oid").write.parquet(fresh)
+        self.spark.createDataFrame([(fresh,)], "path string").select(F.current_timestamp().alias("at"), "path").coalesce(1).write.mode("append").parquet(f"{self.root}/compactions/v={self.version}")
+        self.facts_path = fresh
+        return True
+
     def write_kinds(self, path: str) -> None:
         """A table for each kind of fact, for readers that want them flat."""
         for kind in KINDS:

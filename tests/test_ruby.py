@@ -96,3 +96,19 @@ def test_bundles_and_signatures():
     stub = signatures.to_stubs("class A < B\n  def x: (Integer n, ?k: String) -> Foo\n  def self.y: () { () -> void } -> (A | B)\nend")
     got = defs(stub)
     assert got["x", False]["sig_returns"] == "Foo" and got["y", True]["sig_returns"] is None
+
+
+def test_source_in_strings_is_read_at_its_place():
+    got = defs("class A\n  class_eval <<~RUBY\n    def made(x)\n      x\n    end\n  RUBY\n  B.class_eval 'def other; end'\nend")
+    assert (got["made", False]["line"], got["made", False]["col"], got["made", False]["nesting"]) == (3, 9, ["A"])
+    assert got["other", False]["nesting"] == ["B", "A"]
+
+
+def test_readers_return_what_every_write_makes():
+    got = defs("class A\n attr_reader :a, :b\n def initialize\n  @a = X.new\n  @b = X.new\n end\n def set; @b = 1; end\nend")
+    assert got["a", False]["sig_returns"] == "X" and got["b", False]["sig_returns"] is None
+
+
+def test_mixins_in_macros_are_marked():
+    rows = [(r["relation"], r["target"]) for r in extract(b"module M\n def self.acts(x)\n  include Acting\n end\nend")["ancestry"]]
+    assert rows == [("macro", "include|acts|Acting")]

@@ -18,6 +18,8 @@ def test_a_load_parses_only_new_contents(spark, tmp_path):
     assert load(spark, store, [*ROWS[:2], ("b", "z.rb", "Z = 1")]) == {"parsed": 1, "changed": 2}
     assert sorted((r.checkout, r.path) for r in store.files().collect()) == [("a", "x.rb"), ("a", "y.rb"), ("b", "z.rb")]
     assert store.facts("defs").count() == 4
+    assert store.compact() and not store.compact() and store.facts("defs").count() == 4
+    assert Store(spark, str(tmp_path)).facts("defs").count() == 4 and load(spark, store, [*ROWS[:2], ("b", "z.rb", "Z = 2")])["parsed"] == 1
     assert Store(spark, str(tmp_path), version=999).facts("defs").count() == 0
 
 
