@@ -1,4 +1,4 @@
-"""Sending the package to Python workers that can't import it where they run."""
+"""Making a session ready: the package on every executor, and batches that fit long texts."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 import carnelian
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: whole texts are rows, and each of a task's copies of a batch counts.
+BATCH_ROWS = 2_000
 
 
 def archive() -> str:
@@ -28,7 +30,12 @@ def archive() -> str:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Hands the package to the session's executors, once for each application; Spark's own file server serves it."""
+    """Hands the package to the session's executors, once for each application; Spark's own file server serves it.
+
+    A smaller number of rows a batch that the session has is left alone."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if spark.sparkContext.applicationId not in _shipped:
         spark.sparkContext.addPyFile(archive())
         _shipped.add(spark.sparkContext.applicationId)
