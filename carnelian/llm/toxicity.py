@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnelian.llm.frames import broadcast, documents, stored, text_bytes
+from carnelian.llm.frames import broadcast, documents, first_by_hash, stored, text_bytes
 from carnelian.llm.text import HashSet, prefixes, slices, to_signed, words
 
 MOST_EXAMPLES = 4_000
@@ -45,7 +45,7 @@ LEAST_LIFT = 3.0
 NEIGHBOURS = 12
 BLOCK = 64
 SOFT = 0.05
-MEMO_QUERIES = 200_000
+MEMO_QUERIES = 10_000
 
 
 def weights_of(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -145,7 +145,6 @@ class Model:
                     y.append(toxic)
                     w.append(self.mass[entry, toxic])
         self.knots, self.levels = isotonic(np.array(x), np.array(y, dtype=float), np.array(w)) if x else (np.zeros(0), np.zeros(0))
-        self.memo: dict[tuple, tuple] = {}
 
     def _vote(self, terms, weights, without: int = -1, own=None) -> tuple[float, list]:
         """Share of toxic weight among the neighbours; own: what is left of the entry that is asked about."""
@@ -158,20 +157,22 @@ class Model:
         vote = (mass[1] + 1e-9 * self.prior) / (total + 1e-9)
         return float(vote), [(self.names[a], float(c)) for a, c in zip(at[:3].tolist(), cosine[:3].tolist(), strict=True)]
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-        """(probability, evidence) for term numbers and their counts."""
+    def score(self, terms: np.ndarray, counts: np.ndarray, memo: dict) -> tuple[float, list]:
+        """(probability, evidence) for term numbers and their counts.
+
+        memo: what was asked before in this task; a worker outlives its tasks, so it is not the model's."""
         if not len(terms):
             return float(self.bare), []
         key = (terms.tobytes(), counts.tobytes())
-        if key not in self.memo:
+        if key not in memo:
             vote, evidence = self._vote(terms, weights_of(terms, counts, self.idf))
             at = min(int(np.searchsorted(self.knots, vote)), len(self.levels) - 1)
             level = float(self.levels[at]) if at >= 0 else self.prior
-            if len(self.memo) >= MEMO_QUERIES:
-                self.memo.clear()
+            if len(memo) >= MEMO_QUERIES:
+                memo.clear()
             # a hundredth of the raw vote parts rows on one level
-            self.memo[key] = (min(1.0, max(0.0, 0.99 * level + 0.01 * vote)), evidence)
-        return self.memo[key]
+            memo[key] = (min(1.0, max(0.0, 0.99 * level + 0.01 * vote)), evidence)
+        return memo[key]
 
 
 def terms_of(part) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +196,7 @@ def sample_labels(labels: DataFrame, learn, id_column: str, label_column: str, m
     """(id, toxic) of the first rows of each class by a hash of the id, and the classes' shares."""
     usable = labels.where(learn & F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("toxic"))
     counts = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = [r for c in (0, 1) for r in usable.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
+    rows = first_by_hash(usable.withColumnRenamed("toxic", "group"), most).select("id", F.col("group").alias("toxic")).collect()
     total = sum(counts.values())
     return [(r.id, r.toxic) for r in rows], {c: n / total for c, n in counts.items()}
 
@@ -264,12 +265,12 @@ def score_toxicity(df: DataFrame, model: Model, columns: list, schema: str, text
     sent, n = broadcast(df.sparkSession, model), len(columns)
 
     def run(batches):
-        m = sent.value
+        m, memo = sent.value, {}
         for batch in batches:
             scores, evidence = [], []
             for part in slices(batch.column(n)):
                 for terms, counts in vectors(part, m.vocabulary):
-                    score, near = m.score(terms, counts)
+                    score, near = m.score(terms, counts, memo)
                     scores.append(score)
                     evidence.append([{"id": str(i), "cosine": c} for i, c in near])
             kind = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64())]))
