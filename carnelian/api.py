@@ -68,8 +68,22 @@ class Index:
     @cached_property
     def edges(self) -> DataFrame:
         placed = namespace.place_edges(self.raw_edges, self.paths, self.names, self.aliases)
+        lazy = namespace.load_hook_edges(self.placed_facts("ancestry"), self.paths, self.names)
+        if not lazy.isEmpty():
+            # what a hook mixes in comes after everything that bodies say
+            zero = F.struct(F.lit(9).alias("layer"), F.col("checkout").alias("checkout"), F.lit("").alias("path"), F.lit(0).alias("line"), F.lit(0).alias("col"))
+            placed = placed.unionByName(lazy.withColumn("ord", F.struct(F.lit(2).alias("runtime"), zero.alias("ord"))))
         return cut(namespace.apply_hooks(placed, namespace.hook_edges(self.raw_edges, self.paths, self.names)))
 
+    @cached_property
+    def macro_mixins(self) -> DataFrame:
+        """Mixins that class macros make; their chains are the callers' own business."""
+        return cut(namespace.macro_mixins(self.placed_facts("ancestry"), self.placed_facts("body_calls"), self.methods, self.paths, self.chains))
+
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        return cut(namespace.conflicts(self.edges, self.names))
+
     @cached_property
     def dynamic(self) -> DataFrame:
         return cut(namespace.place_dynamic(self.placed_facts("ancestry"), self.paths))

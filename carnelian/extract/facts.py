@@ -388,6 +388,8 @@ class Extractor:
         if at_body and name and name not in self.names:
             args = [text_of(a.name) if a.kind == "sym" and a.name else a.parts[0] if a.kind == "str" and len(a.parts or []) == 1 and isinstance(a.parts[0], str) else None for a in node.args or []]
             self.out["body_calls"].append({"name": text_of(name), "nesting": list(scope.nesting), "args": args, "line": self.parser.pos(node.name_at)[0]})
+        if path_text(node.recv) == "ActiveSupport" and name == "run_load_hooks" and literal_names((node.args or [])[:1]):
+            self.add_edge(scope.nesting, "load_hooks", literal_names(node.args[:1])[0], node.name_at)
         self.symbols(node, scope, own)
         for a in node.args or []:
             self.visit(a, scope)
@@ -412,7 +414,7 @@ class Extractor:
             self.add_def(scope, "ClassMethods", "module", node.name_at, node.end, singleton=False, via="class_methods")
             self.visit(node.block, Scope(("ClassMethods", *scope.nesting)))
         elif node.recv is not None and path_text(node.recv) == "ActiveSupport" and node.name == "on_load" and literal_names(node.args[:1]):
-            self.visit(node.block, Scope((f"(on_load {literal_names(node.args[:1])[0]})", *scope.nesting)))
+            self.visit(node.block, Scope((f"(on_load {literal_names(node.args[:1])[0]})", *(n for n in scope.nesting if not n.startswith("(")))))
         else:
             inner = Scope(scope.nesting, scope.singleton, scope.method, body=False)
             self.visit(node.block, inner)

@@ -173,6 +173,16 @@ def hook_edges(edges: DataFrame, placed: DataFrame, names_: DataFrame) -> DataFr
     return resolve_lexical(asked, names_).select("checkout", "module", "relation", "target", F.col("fqn").alias("resolved")).where("resolved IS NOT NULL")
 
 
+def load_hook_edges(ancestry: DataFrame, placed: DataFrame, names_: DataFrame) -> DataFrame:
+    """checkout, owner, relation, target, resolved of what on_load blocks mix into the classes that run their hook."""
+    clean = F.filter("owner", lambda x: ~x.startswith("("))
+    lazy = ancestry.where(F.element_at("owner", 1).startswith("(on_load ")).select("checkout", F.regexp_extract(F.element_at("owner", 1), r"^\(on_load (.*)\)$", 1).alias("hook"), "relation", "target", clean.alias("path"))
+    known = lazy.join(scope_names(placed), ["checkout", "path"], "left").withColumn("scopes", F.coalesce("scopes", F.array().cast("array<string>")))
+    found = resolve_lexical(known.select("checkout", "hook", "relation", "target", F.col("target").alias("written"), "scopes"), names_).select("checkout", "hook", "relation", "target", F.col("fqn").alias("resolved"))
+    run = ancestry.where("relation = 'load_hooks'").select("checkout", F.col("target").alias("hook"), clean.alias("path")).join(placed, ["checkout", "path"]).select("checkout", "hook", F.col("fqn").alias("owner")).distinct()
+    return found.where("resolved IS NOT NULL").join(run, ["checkout", "hook"]).select("checkout", "owner", "relation", "target", "resolved").distinct()
+
+
 def apply_hooks(placed_edges: DataFrame, hooked: DataFrame, rounds: int = 8) -> DataFrame:
     """placed_edges with what a module's hook mixes into whatever mixes the module in, right behind the module.
 
@@ -193,13 +203,6 @@ def apply_hooks(placed_edges: DataFrame, hooked: DataFrame, rounds: int = 8) ->
     return at.select("checkout", "owner", "relation", "target", "resolved", F.struct(F.col("ord"), F.col("step")).alias("ord"))
 
 
-def fan_out_load_hooks(on_load: DataFrame, run: DataFrame) -> DataFrame:
-    """checkout, owner, relation, target of mixins in on_load blocks, for each class that runs the hook.
-
-    on_load: checkout, hook, relation, target.  run: checkout, hook, owner."""
-    return on_load.join(run, ["checkout", "hook"]).select("checkout", "owner", "relation", "target", "hook")
-
-
 def place_dynamic(ancestry: DataFrame, placed: DataFrame, body_calls: DataFrame | None = None) -> DataFrame:
     """checkout, owner, shape of classes whose source makes or forwards names that it doesn't spell."""
     rows = ancestry.where("relation = 'dynamic'").withColumn("path", F.filter("owner", lambda x: ~x.startswith("(")))
@@ -232,7 +235,7 @@ def macro_mixins(ancestry: DataFrame, body_calls: DataFrame, methods: DataFrame,
     parts = F.split("target", r"\|")
     made = ancestry.where("relation = 'macro'").withColumn("path", F.filter("owner", lambda x: ~x.startswith("("))).join(placed, ["checkout", "path"]).select("checkout", F.col("fqn").alias("macro_owner"), parts[0].alias("relation"), parts[1].alias("name"), parts[2].alias("target"))
     called = body_calls.select("checkout", F.col("nesting").alias("path"), "name").distinct().join(placed, ["checkout", "path"]).select("checkout", "fqn", "name")
-    landed = lookup(called.select("checkout", "fqn", F.lit("class").alias("side"), "name"), chains, methods)
+    landed = lookup(called.select("checkout", "fqn", F.lit("class").alias("side"), "name"), chains, methods).select("checkout", "fqn", "owner", "name")
     return landed.join(made.withColumnRenamed("macro_owner", "owner"), ["checkout", "owner", "name"]).select("checkout", F.col("fqn").alias("owner"), "relation", "target").distinct()
 
 

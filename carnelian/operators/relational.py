@@ -94,7 +94,7 @@ def methods(defs: DataFrame, files: DataFrame, checkouts: DataFrame, name: str |
 
 def edges(ancestry: DataFrame, files: DataFrame, checkouts: DataFrame, relations: list[str] | None = None) -> DataFrame:
     """Ancestry rows with their order; by default all that place something (no dynamic or macro rows)."""
-    chosen = F.col("relation").isin(relations) if relations else ~F.col("relation").isin("dynamic", "macro")
+    chosen = F.col("relation").isin(relations) if relations else ~F.col("relation").isin("dynamic", "macro", "load_hooks")
     return _placed(ancestry.where(chosen), files, checkouts).withColumn("ord", F.struct("layer", "checkout", "path", "line", "col"))
 
 

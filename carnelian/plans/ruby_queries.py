@@ -447,3 +447,38 @@ def built_names(spark, sf_dir):
 @query
 def constants_in_text(spark, sf_dir):
     return conventions.constants_named(from_rows(spark, FILES), index(spark).own_names)
+
+
+# -- assembly ---------------------------------------------------------------------------
+@query
+def ruby_macro_mixins(spark, sf_dir):
+    return index(spark).macro_mixins
+
+
+@query
+def ruby_conflicting_superclasses(spark, sf_dir):
+    return index(spark).conflicts.select("checkout", "owner", F.array_join("variants", " ").alias("variants"))
+
+
+@query
+def ruby_nearest_variant(spark, sf_dir):
+    from carnelian.operators.namespace import nearest_variant
+
+    variants = spark.createDataFrame([("shop", "Split", "Split@1", "lib/one.rb"), ("shop", "Split", "Split@2", "app/models/two.rb")], "checkout string, name string, variant string, path string")
+    asked = spark.createDataFrame([("shop", "Split", p) for p in ("lib/x.rb", "app/models/y.rb", "config/z.rb")], "checkout string, name string, path string")
+    return nearest_variant(asked, variants)
+
+
+@query
+def ruby_load_order(spark, sf_dir):
+    from carnelian.sources.checkouts import load_order
+
+    ix = index(spark)
+    return load_order(ix.files, ["app/models/order.rb"], ix.checkouts.select(F.col("root").alias("checkout"), "kind")).select("path", "batch")
+
+
+@query
+def ruby_explained(spark, sf_dir):
+    """Every reference as a line of text."""
+    rows = ruby_references(spark, sf_dir)
+    return rows.select(F.concat_ws(" ", F.concat("path", F.lit(":"), "line", F.lit(":"), "col"), "tier", F.concat(F.lit("("), "why", F.lit(")")), F.concat(F.lit("via "), "via")).alias("text"), "query")

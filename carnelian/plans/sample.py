@@ -68,6 +68,9 @@ end
     ("shop", "app/views/orders/list.html.erb", "<%= render 'line', line: @line %>\n<%= render partial: 'orders/line' %>\n"),
     ("shop", "app/helpers/money_helper.rb", "module MoneyHelper\n  def euro(x); send(\"as_#{x}\"); end\n  def as_cents; end\nend\n"),
     ("shop", "lib/tasks/run.rb", "require 'gate'\nrequire 'json'\nload 'tasks/run.rb'\nKlass = 'ImportJob'.constantize\n"),
+    ("shop", "lib/plugins.rb", "module Acting\n  def act; end\nend\nmodule Plugin\n  def self.extended(x); end\n  def acts_as_actor\n    include Acting\n  end\nend\nclass Host\n  def self.acts\n    include Acting\n  end\n  ActiveSupport.run_load_hooks(:host, self)\nend\nclass Guest < Host\n  acts\nend\nmodule Late; def late; end; end\nActiveSupport.on_load(:host) { include Late }\n"),
+    ("shop", "lib/one.rb", "class Split < Host\nend\n"),
+    ("shop", "lib/two.rb", "class Split < Order\nend\n"),
     ("shop", "config/routes.rb", "Rails.application.routes.draw do\n  resources :orders, only: [:index, :show]\n  namespace(:admin) { resource :profile }\nend\n"),
     ("shop", "db/schema.rb", "ActiveRecord::Schema.define(version: 3) do\n  create_table \"orders\" do |t|\n    t.string \"state\", null: false\n    t.decimal \"amount\"\n    t.bigint \"customer_id\"\n    t.index [\"customer_id\"]\n    t.timestamps\n  end\n  create_table \"order_lines\" do |t|\n    t.integer \"quantity\"\n    t.jsonb \"extra\"\n  end\nend\n"),
     ("shop", "sig/broken.rb", "class Broken\n  def a(\n  x = ]\nend\nclass Fine\n  def ok; end\nend\n"),

@@ -148,3 +148,14 @@ def test_sample_answers(spark):
     assert unread == ["unused"]
     (chosen,) = [r.version for r in R.bundle_resolved(spark, "").collect() if r.name == "tools"]
     assert chosen == "1.3.1"
+
+
+def test_load_hooks_macros_and_splits(spark):
+    from carnelian.plans import ruby_queries as R
+
+    ix = R.index(spark)
+    chains = {r.fqn: [x.owner for x in r.chain] for r in ix.chains.where("side = 'instance'").collect()}
+    assert chains["Guest"][:3] == ["Guest", "Host", "Late"]
+    assert [(r.owner, r.target) for r in ix.macro_mixins.collect()] == [("Guest", "Acting")]
+    assert [(r.owner, r.variants) for r in R.ruby_conflicting_superclasses(spark, "").collect()] == [("Split", "Host Order")]
+    assert {r.path: r.variant for r in R.ruby_nearest_variant(spark, "").collect()} == {"lib/x.rb": "Split@1", "app/models/y.rb": "Split@2", "config/z.rb": "Split"}
