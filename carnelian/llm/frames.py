@@ -42,10 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared folder and read again: lineage ends there."""
+    """df, written as a table in the shared folder and read again: lineage ends there.
+
+    The table goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/carnelian-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
