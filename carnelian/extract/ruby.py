@@ -196,7 +196,7 @@ class Parser:
             except Stop as stop:
                 self.errors.append((self.i, str(stop)))
                 self.recover(before)
-            except (RecursionError, IndexError) as stop:
+            except (RecursionError, IndexError, AttributeError, TypeError) as stop:
                 self.errors.append((self.i, type(stop).__name__))
                 self.recover(before)
         self.depth -= 1
@@ -695,7 +695,7 @@ class Parser:
         w = self.keyword()
         if w:
             return self.keyword_atom(w, commands)
-        if c.isdigit():
+        if c in "0123456789":
             m = NUMBER.match(s, start)
             self.i = m.end()
             return Node("float" if re.search(r"[.eE]", m.group()) and not m.group().startswith("0x") else "int", start, self.i, text=m.group())
@@ -1457,7 +1457,7 @@ def parse(source: bytes) -> tuple[Node, Parser]:
     parser = Parser(source)
     try:
         tree = parser.program()
-    except (Stop, RecursionError, IndexError, ValueError) as stop:
+    except (Stop, RecursionError, IndexError, ValueError, AttributeError, TypeError) as stop:
         parser.errors.append((parser.i, str(stop)))
         tree = Node("seq", 0, parser.n, body=[])
     return tree, parser
