@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnelian.llm.frames import broadcast, documents, text_bytes
+from carnelian.llm.frames import broadcast, documents, first_by_hash, text_bytes
 from carnelian.llm.text import Slice, Words, mix, ngrams, slices, words
 
 BUCKET_BITS = 16
@@ -93,7 +93,7 @@ def rules(part: Slice, found: Words) -> dict[str, np.ndarray]:
 def trusted_ids(labels: DataFrame, id_column: str = "doc_id", quality_column: str = "quality", most: int = MOST_TRUSTED) -> list:
     """Ids of good labels: all, or the first of them by a hash of the id."""
     good = labels.where((F.col(quality_column) == 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id")).distinct()
-    return [r.id for r in good.orderBy(F.xxhash64("id"), "id").limit(most).collect()]
+    return [r.id for r in first_by_hash(good.withColumn("group", F.lit(1)), most).collect()]
 
 
 def log_ratios(df: DataFrame, trusted: list, id_column: str = "doc_id", text_column: str = "text", smoothing: float = SMOOTHING) -> np.ndarray:
