@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnelian.llm.frames import broadcast, documents, text_bytes
+from carnelian.llm.frames import broadcast, documents, first_by_hash, text_bytes
 from carnelian.llm.text import Slice, mix, slices, words
 
 TEXT_BITS = 14
@@ -227,10 +227,9 @@ def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_i
     spark, kind = df.sparkSession, df.schema[id_column].dataType.simpleString()
     usable = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.min(label_column).cast("int").alias("label"))
     mine = usable.where(learn)
-    by_hash = lambda rows, n: rows.orderBy(F.xxhash64("id"), "id").limit(n)
-    chosen = [tuple(r) for c in (0, 1) for r in by_hash(mine.where(F.col("label") == c), most).collect()]
+    chosen = [(r.id, r.group) for r in first_by_hash(mine.withColumnRenamed("label", "group"), most).select("id", "group").collect()]
     bare = df.select(F.col(id_column).alias("id")).where("id is not null").join(usable, "id", "left_anti").distinct()
-    chosen += [(r.id, -1) for r in by_hash(bare, most_pool).collect()]
+    chosen += [(r.id, -1) for r in first_by_hash(bare.withColumn("group", F.lit(-1)), most_pool).collect()]
     listed = F.broadcast(spark.createDataFrame(chosen, f"id {kind}, label int"))  # at most 2 * most + most_pool rows
     rows = df.select(F.col(id_column).alias("id"), *_columns(df, text_column, source_column, lang_column)).join(listed, "id").select("id", "label", "text", "source", "lang")
     rows = rows.mapInArrow(_features, f"id {kind}, label int, columns array<int>, values array<float>, metadata array<float>")
