@@ -15,7 +15,8 @@ ORACLES: dict = {}
 
 def _folder(spark) -> str:
     cut(spark.range(1))  # sets the folder where none is
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf_dir):
