@@ -36,11 +36,13 @@ def files(spark, sf_dir) -> DataFrame:
 
 
 def call_name(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    rows = d.select(S.git_oid(F.col("text")).alias("oid"), "text").dropDuplicates(["oid"])
-    tokens = rows.select("oid", F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("name")).where("name <> ''")
-    counted = tokens.groupBy("oid", "name").agg(F.count("*").alias("calls"))
-    return counted.withColumn("symbols", F.floor(F.col("calls") / 3))
+    """A posting list of documents' words.  Equal texts are one blob: counts are over all copies, divided by their number, so that no text is shuffled."""
+    d = table(spark, sf_dir, "documents").select(S.git_oid(F.col("text")).alias("oid"), "text")
+    tokens = d.select("oid", F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("name")).where("name <> ''")
+    counted = tokens.groupBy("oid", "name").agg(F.count("*").alias("n"))
+    copies = d.groupBy("oid").agg(F.count("*").alias("copies"))
+    once = counted.join(copies, "oid").select("oid", "name", F.expr("n div copies").alias("calls"))
+    return once.withColumn("symbols", F.floor(F.col("calls") / 3))
 
 
 def checkouts(spark, sf_dir) -> DataFrame:
