@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from carnelian.operators import chains as C
 from carnelian.operators import dead, extraction, namespace, receivers, references, relational
 from carnelian.plans.lineage import cut
-from carnelian.sources.checkouts import split_scan
+from carnelian.sources.checkouts import compose, split_scan
 from carnelian.sources.routes import routes
+from carnelian.sources.stubs import with_stubs
 
 #: Names that every program has, with the edges between them.
 CORE = (("BasicObject", "class"), ("Object", "class"), ("Module", "class"), ("Class", "class"), ("Kernel", "module"), ("Comparable", "module"), ("Enumerable", "module"), ("Struct", "class"))
@@ -29,6 +30,13 @@ class Index:
         self.checkouts = checkouts if checkouts is not None else roots.select("root", F.lit("repo").alias("kind"))
         self.wide = cut(extraction.extract_blobs(self.blobs, macros))
 
+    @classmethod
+    def of_applications(cls, spark: SparkSession, scan: DataFrame, checkouts: DataFrame, gem_use: DataFrame, stubs: bool = True, macros: list | None = None) -> Index:
+        """An index of every application among the checkouts (root, kind), each with its gems, the standard library and stubs."""
+        if stubs:
+            scan, checkouts = with_stubs(spark, scan, checkouts)
+        return cls(spark, compose(scan, checkouts, gem_use), checkouts.where("kind = 'repo'"), macros)
+
     def facts(self, kind: str) -> DataFrame:
         return extraction.facts(self.wide, kind)
 
@@ -157,13 +165,16 @@ class Index:
 
     def dead_methods(self) -> DataFrame:
         dynamic = self.dynamic.select("checkout", "owner").distinct().withColumn("dynamic", F.lit(True))
-        mine = dead.candidates(self.methods, extraction.call_names(self.wide), self.files).withColumn("query", F.concat("owner", F.when(F.col("side") == "class", ".").otherwise("#"), "name"))
+        own = self.methods.where(F.col("ord.layer") == relational.LAYERS["repo"])
+        mine = dead.candidates(own, extraction.call_names(self.wide), self.files).withColumn("query", F.concat("owner", F.when(F.col("side") == "class", ".").otherwise("#"), "name"))
         mine = relational.last_wins(mine.withColumn("o", F.struct("ord")), ["checkout", "query"], ["o"]).join(dynamic, ["checkout", "owner"], "left").withColumn("dynamic", F.coalesce("dynamic", F.lit(False)))
         mine = cut(mine)
         return dead.grade_methods(mine, self.references_of(mine), references.overriding(self.methods, self.chains), self.routed)
 
     def dead_constants(self) -> DataFrame:
-        return dead.grade_constants(self.own_names, self.constants())
+        ours = self.decls.where(F.col("layer") == relational.LAYERS["repo"]).select("checkout", F.col("file").alias("_first")).distinct()
+        own = self.own_names.where(F.size("sites") > 0).withColumn("_first", F.element_at("sites", 1)["path"]).join(ours, ["checkout", "_first"], "left_semi").drop("_first")
+        return dead.grade_constants(own, self.constants())
 
     def symbols(self, path: str) -> DataFrame:
         return self.placed_facts("defs").where(F.col("path") == path).select("checkout", "name", "kind", "visibility", "line", "col").orderBy("line", "col", "name")

@@ -120,7 +120,9 @@ def _chains(rows: DataFrame, known: DataFrame, chains: DataFrame, methods: DataF
         asked = outer.join(at.select(F.col("call_id").alias("inner_id"), "fqn", "side"), "inner_id").select("call_id", "checkout", "fqn", "side", F.col("inner").alias("name"))
         made = asked.where("side = 'class' AND name = 'new'").select("call_id", "fqn")
         sig = _returned(C.lookup(asked, chains, methods).where("sig_returns IS NOT NULL"), names).select("call_id", "fqn")
-        step = cut(_rung(made.unionByName(sig).dropDuplicates(["call_id"]), "chain"))
+        declared = cut(made.unionByName(sig).dropDuplicates(["call_id"]))
+        finder = asked.where((F.col("side") == "class") & F.col("name").isin(*FINDERS)).select("call_id", "fqn").join(declared, "call_id", "left_anti")
+        step = cut(_rung(declared.unionByName(finder).dropDuplicates(["call_id"]), "chain"))
         out = step if out is None else out.unionByName(step)
         at = step
     return out.dropDuplicates(["call_id"])

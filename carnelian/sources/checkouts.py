@@ -33,7 +33,7 @@ def _quoted(text: str) -> str:
 def split_scan(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
     """files and blobs of a scan (checkout, path, content); each content is a blob once."""
     rows = scan.where(is_indexed(F.col("path"))).withColumn("oid", git_oid(F.col("content")))
-    files = rows.select("checkout", "path", "oid")
+    files = rows.select("checkout", "path", "oid", *[c for c in scan.columns if c == "layer"])
     blobs = rows.select("oid", "content", reader_of(F.col("path")).alias("reader")).dropDuplicates(["oid"])
     return files, blobs
 
@@ -105,3 +105,20 @@ def load_order(files: DataFrame, open_paths: list[str], roots: DataFrame) -> Dat
     rows = files.join(F.broadcast(roots), "checkout")
     batch = F.when(F.col("path").isin(open_paths), 0).when(where.isin(near), 1).when(F.col("kind") == "repo", 2).when(F.col("kind") == "gem", 3).otherwise(4)
     return rows.withColumn("batch", batch).drop("kind")
+
+
+def compose(scan: DataFrame, checkouts: DataFrame, gem_use: DataFrame) -> DataFrame:
+    """The scan of every application: its own files, those of the gems it uses, and those of the standard library and core.
+
+    checkouts: root, kind.  gem_use: checkout, gem_root.  Files of other checkouts
+    are named by their root and path; layer says what is read before what."""
+    from carnelian.operators.relational import layer
+
+    apps = checkouts.where("kind = 'repo'").select(F.col("root").alias("app"))
+    own = apps.select("app", F.col("app").alias("root"))
+    gems = gem_use.select(F.col("checkout").alias("app"), F.col("gem_root").alias("root")).join(apps, "app", "left_semi")
+    shared = checkouts.where("kind IN ('stdlib', 'core')").select("root").join(apps, how="cross").select("app", "root")
+    pairs = own.unionByName(gems).unionByName(shared).distinct().join(checkouts.select("root", "kind"), "root")
+    rows = scan.withColumnRenamed("checkout", "root").join(F.broadcast(pairs), "root")
+    path = F.when(F.col("root") == F.col("app"), F.col("path")).otherwise(F.concat("root", F.lit("/"), "path"))
+    return rows.select(F.col("app").alias("checkout"), path.alias("path"), "content", layer(F.col("kind")).alias("layer"))

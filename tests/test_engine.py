@@ -159,3 +159,24 @@ def test_load_hooks_macros_and_splits(spark):
     assert [(r.owner, r.target) for r in ix.macro_mixins.collect()] == [("Guest", "Acting")]
     assert [(r.owner, r.variants) for r in R.ruby_conflicting_superclasses(spark, "").collect()] == [("Split", "Host Order")]
     assert {r.path: r.variant for r in R.ruby_nearest_variant(spark, "").collect()} == {"lib/x.rb": "Split@1", "app/models/y.rb": "Split@2", "config/z.rb": "Split"}
+
+
+def test_an_application_with_its_gems_and_stubs(spark):
+    scan = from_rows(
+        spark,
+        [
+            ("app", "app/order.rb", "class Order < ActiveRecord::Base\n  def pay\n    Order.find(1).save\n    Money.new(2).round\n    puts 1\n  end\nend\n"),
+            ("other", "x.rb", "class Money; def round; end; end\n"),
+            ("/gems/money", "lib/money.rb", "class Money\n  def initialize(x); end\n  def round; end\n  def unused; end\nend\n"),
+            ("/gems/far", "lib/far.rb", "class Far; end\n"),
+        ],
+    )
+    checkouts = spark.createDataFrame([("app", "repo"), ("other", "repo"), ("/gems/money", "gem"), ("/gems/far", "gem")], "root string, kind string")
+    ix = Index.of_applications(spark, scan, checkouts, spark.createDataFrame([("app", "/gems/money")], "checkout string, gem_root string"))
+    got = {(r.line, r.name): (r.owner, r.def_path) for r in ix.answers().where("path = 'app/order.rb' AND owner IS NOT NULL").collect()}
+    assert got[3, "find"] == ("ActiveRecord::Querying", "(stubs)/activerecord.rbi")
+    assert got[3, "save"][0] == "ActiveRecord::Base" and got[5, "puts"][0] == "Kernel"
+    assert got[4, "round"] == ("Money", "/gems/money/lib/money.rb") and got[4, "new"][1] == "/gems/money/lib/money.rb"
+    assert ix.names.where("fqn = 'Far'").isEmpty()
+    assert {r["query"] for r in ix.dead_methods().collect()} == {"Order#pay", "Money#round"}
+    assert "/gems/money" not in str(ix.dead_constants().collect())
