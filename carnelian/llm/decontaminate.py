@@ -250,15 +250,50 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", t
 def remove_spans(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, group_words: int = GROUP_WORDS) -> DataFrame:
     """df without the hit spans: each is cut from its text, from its first word
     to its last; rows of which more than max_coverage of the words are hit go.
-    Columns stay as they are."""
-    out = df
-    for bench in groups(benchmark, item_column, "text", window, group_words):
-        out = _cut(out, text_column, broadcast(df.sparkSession, bench), max_coverage)
-    return out
+    Columns stay as they are.
+
+    With more than one automaton, each marks its hits on the text as it came, in
+    a column of runs; the last unites them, judges the coverage and cuts."""
+    *before, last = groups(benchmark, item_column, "text", window, group_words)
+    out, runs = df, "_runs"
+    while runs in df.columns:
+        runs += "_"
+    for bench in before:
+        out = _mark(out, text_column, runs, broadcast(df.sparkSession, bench))
+    return _cut(out, df.schema, text_column, runs, broadcast(df.sparkSession, last), max_coverage)
+
+
+def _hits(bench: Benchmark, part: Slice, found: Words, batch: pa.RecordBatch, runs: str) -> np.ndarray:
+    """Which words of a slice are hit, now or in the runs (first, stop, first, stop, ...) that were marked before."""
+    hit, _ = bench.find(found)
+    if runs in batch.schema.names:
+        for r, marked in enumerate(batch.column(runs).slice(part.at, len(part)).to_pylist()):
+            for x, y in zip(marked[::2], marked[1::2], strict=True):
+                hit[found.first[r] + x : found.first[r] + y] = True
+    return hit
+
+
+def _mark(df: DataFrame, text_column: str, runs: str, sent) -> DataFrame:
+    """df with the runs of hit words of each row added to those in the column runs."""
+    place, columns = df.columns.index(text_column), [c for c in df.columns if c != runs]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), f"`{runs}` array<bigint>"])
+
+    def run(batches):
+        bench = sent.value
+        for batch in batches:
+            marked = []
+            for part in slices(batch.column(place)):
+                found = words(part)
+                hit = _hits(bench, part, found, batch, runs)
+                rows = set(np.unique(found.rows[hit]).tolist())
+                marked += [[x for span in spans_of(hit[found.first[r] : found.first[r + 1]]) for x in span] if r in rows else [] for r in range(len(part))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(marked, pa.list_(pa.int64()))], [*batch.schema.names[: len(columns)], runs])
+
+    return df.mapInArrow(run, schema)
 
 
-def _cut(df: DataFrame, text_column: str, sent, max_coverage: float) -> DataFrame:
-    place, schema = df.columns.index(text_column), df.schema
+def _cut(df: DataFrame, schema, text_column: str, runs: str, sent, max_coverage: float) -> DataFrame:
+    place, width = df.columns.index(text_column), len(schema)
 
     def run(batches):
         bench = sent.value
@@ -266,7 +301,7 @@ def _cut(df: DataFrame, text_column: str, sent, max_coverage: float) -> DataFram
             keep, changed = [], {}
             for part in slices(batch.column(place)):
                 found = words(part)
-                hit, _ = bench.find(found)
+                hit = _hits(bench, part, found, batch, runs)
                 counts, hits = found.counts(), np.bincount(found.rows[hit], minlength=len(part))
                 keep += (hits <= max_coverage * counts).tolist()
                 for r in np.flatnonzero((hits > 0) & (hits <= max_coverage * counts)).tolist():
@@ -277,6 +312,7 @@ def _cut(df: DataFrame, text_column: str, sent, max_coverage: float) -> DataFram
                         pieces.append(text[at:begin])
                         at = end
                     changed[part.at + r] = b"".join([*pieces, text[at:]]).decode()
+            batch = batch.select(batch.schema.names[:width])
             if changed:
                 texts = batch.column(place).to_pylist()
                 for r, text in changed.items():

@@ -267,6 +267,25 @@ def test_spans_are_cut(spark, make, nothing):
     assert decontaminate.remove_spans(df, bench.limit(0)).count() == 4
 
 
+def test_spans_are_cut_alike_with_any_number_of_automata(spark, make):
+    a, b, c = ([f"{x}{i}" for i in range(21)] for x in "abc")
+    bench = spark.createDataFrame([(1, " ".join(a[:15])), (2, " ".join(a[10:21])), (3, " ".join(b[:12])), (4, " ".join(c[:12]))], "item_id bigint, text string")
+    long = [f"w{i}" for i in range(60)]
+    texts = [
+        " ".join(b[:12] + long[:16] + c[:12]),  # each item covers 30 %, both 60 %
+        " ".join(long + a + ["end"]),  # passages of two items overlap
+        " ".join(long[:30] + c[:6] + b[:12] + c[6:12] + long[30:]),  # a cut would bring an item's words together
+        None,
+        "",
+        " ".join(long),
+    ]
+    df = make([(i, t, "en", "s") for i, t in enumerate(texts)])
+    one, many = ({r.doc_id: r for r in decontaminate.remove_spans(df, bench, group_words=n).collect()} for n in (decontaminate.GROUP_WORDS, 12))
+    assert len(decontaminate.groups(bench, "item_id", "text", 10, 12)) == 4
+    assert many == one and 0 not in many
+    assert many[1].text == " ".join(long) + "  end" and many[2].text.split() == long[:30] + c[:12] + long[30:]
+
+
 def test_automaton_matches_longest_suffixes():
     items = ["abcab", "bcx", "aab"]
     automaton = decontaminate.SuffixAutomaton()
