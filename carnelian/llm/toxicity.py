@@ -2,28 +2,34 @@
 
 Examples are a bounded sample of labelled rows: for each class the MOST_EXAMPLES
 that come first by a hash of their id.  Terms are folded words, and the first
-4 to 10 bytes of words that go on after them.  Vectors are over the terms that tell the classes apart by a chi-square test on the examples, at
-most MOST_TERMS of them; their document frequencies are counted over the whole
-corpus.  Examples with equal vectors share one entry of the index.
-
-The index keeps, for each term, its postings in ranges of BLOCK entries and the
-largest weight of each range.  A query sums those maxima to an upper bound for
-each range, visits ranges by falling bound, and stops when the k-th best cosine
-is at least the next bound: the neighbours are exact.  They vote with weights
+4 to 10 bytes of words that go on after them.  Vectors are over all terms of the
+examples; their document frequencies are counted over the whole corpus.  The
+length of a text's vector is over all its terms: one that no example has counts
+with the weight of a term that a single row has.  It scales the cosines of that
+text, but doesn't change which examples are near.  Examples with equal vectors
+share one entry of the index.
+
+The index keeps the postings of each term, and those of common terms also as
+rows of a matrix, with the largest weight of each range of BLOCK entries.  A
+query sums the postings of its other terms, adds the maxima of the common ones
+to an upper bound for each range, visits spans of ranges by falling bound, and
+skips those whose bound is below the k-th best cosine: the neighbours are exact.
+Queries go through in batches.  They vote with weights
 1 / (distance + SOFT); an isotonic fit of leave-one-out votes on the examples,
 weighted to the classes' shares in all labels, turns votes into probabilities.
 The neighbours' ids and cosines are the evidence.
 
-Defined cases: a null, empty or wordless text, and one without a chosen term,
-has the share of toxic rows among examples without a chosen term (with a class
-prior).  Ties between neighbours go to the entry that comes first.  Rows
-repeated in the input come out repeated; a row labelled both ways counts as
-toxic.  With no labels, or labels of one class, every score is that class's
-share (0 without labels).
+Defined cases: a null, empty or wordless text has the share of toxic rows among
+wordless examples, 0 if there is none.  A text without a term of any example has
+no neighbour, and its vote is the class prior.  Ties between neighbours go to the
+entry that comes first.  Rows repeated in the input come out repeated; a row
+labelled both ways counts as toxic.  With no labels, or labels of one class,
+every score is that class's share (0 without labels).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -32,63 +38,113 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carnelian.llm.frames import broadcast, documents, first_by_hash, stored, text_bytes
-from carnelian.llm.text import HashSet, prefixes, slices, to_signed, words
+from carnelian.llm.text import HashSet, prefixes, slices, words
 
 MOST_EXAMPLES = 4_000
-MOST_TERMS = 384
 #: Bytes of the beginnings of words that are terms.
 BEGINNINGS = range(4, 11)
-#: Least chi-square value of a term, and the least number of examples it is in.
-LEAST_CHI, LEAST_EXAMPLES = 25.0, 4
-#: Least ratio of a term's shares in toxic and other examples.
-LEAST_LIFT = 3.0
 NEIGHBOURS = 12
 BLOCK = 64
+#: Blocks that are visited at a time, and queries in a batch.
+SPAN, BATCH = 8, 32
+#: A term in more than this share of the entries is common; the matrix has at most so many, the others keep to their postings.
+COMMON_SHARE, MOST_COMMON = 1 / 16, 2_048
+#: More than single precision loses in a bound or a cosine.
+MARGIN = 1e-5
 SOFT = 0.05
-MEMO_QUERIES = 10_000
+#: Bits of the table of known terms.
+TERM_BITS = 22
 
 
-def weights_of(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF weights of the terms (numbers into idf)."""
+def weights_of(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, unknown: float = 0.0) -> np.ndarray:
+    """TF-IDF weights of the terms (numbers into idf) in a unit vector.
+
+    unknown: the sum of (1 + log count) ** 2 over terms that have no number; the last of idf is theirs."""
     w = (1 + np.log(counts)) * idf[terms]
-    return w / np.sqrt((w * w).sum())
+    return w / np.sqrt((w * w).sum() + unknown * idf[-1] ** 2)
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors, by term, with the largest weight of each range of entries."""
+    """Postings of unit vectors, by term, and of common terms the largest weight of each range of entries."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
-        by_term: list[list] = [[] for _ in range(n_terms)]
-        for entry, (terms, weights) in enumerate(vectors):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                by_term[t].append((entry, w))
-        self.entries = [np.array([e for e, _ in p], dtype=np.int64) for p in by_term]
-        self.weights = [np.array([w for _, w in p]) for p in by_term]
-        self.edges = [np.searchsorted(e, np.arange(self.n_blocks + 1) * BLOCK) for e in self.entries]
-        self.maxima = np.zeros((n_terms, self.n_blocks))
-        for t, (entries, weights) in enumerate(zip(self.entries, self.weights, strict=True)):
-            np.maximum.at(self.maxima[t], entries // BLOCK, weights)
+        terms = np.concatenate([np.zeros(0, dtype=np.int32), *(t.astype(np.int32) for t, _ in vectors)])
+        weights = np.concatenate([np.zeros(0, dtype=np.float32), *(w.astype(np.float32) for _, w in vectors)])
+        entries = np.repeat(np.arange(self.n, dtype=np.uint16 if self.n <= 1 << 16 else np.int32), [len(t) for t, _ in vectors])
+        order = np.argsort(terms, kind="stable")
+        self.entries, self.weights = entries[order], weights[order]
+        n_of = np.bincount(terms, minlength=n_terms)
+        self.edges = np.concatenate([[0], np.cumsum(n_of)])
+        most = np.argsort(-n_of, kind="stable")[:MOST_COMMON]
+        self.common = np.sort(most[n_of[most] > COMMON_SHARE * self.n])
+        self.place = np.full(n_terms, -1, dtype=np.int32)
+        self.place[self.common] = np.arange(len(self.common))
+        self.dense = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "maxima": None}
+
+    def _fill(self) -> None:
+        """The matrix of common terms, which isn't sent but made where it is used."""
+        self.dense = np.zeros((self.n_blocks * BLOCK, len(self.common)), dtype=np.float32)
+        for column, t in enumerate(self.common.tolist()):
+            lo, hi = self.edges[t], self.edges[t + 1]
+            self.dense[self.entries[lo:hi], column] = self.weights[lo:hi]
+        self.maxima = self.dense.reshape(self.n_blocks, BLOCK, -1).max(axis=1)
+
+    def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Dot products with all entries over terms that aren't common."""
+        begins, lengths = self.edges[terms], self.edges[terms + 1] - self.edges[terms]
+        stops = np.cumsum(lengths)
+        at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(begins - stops + lengths, lengths)
+        return np.bincount(self.entries[at], np.repeat(weights, lengths) * self.weights[at], self.n)
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights), nearest(); without: an entry to leave out, or -1."""
+        if not self.n:
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in queries]
+        if self.dense is None:
+            self._fill()
+        out = []
+        for a in range(0, len(queries), BATCH):
+            out += self._batch(queries[a : a + BATCH], k, without[a : a + BATCH] if without else [])
+        return out
+
+    def _batch(self, queries, k: int, without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        m = len(queries)
+        rest = np.full((m, self.n_blocks * BLOCK), -np.inf)
+        asked = np.zeros((m, len(self.common)))
+        for i, (terms, weights) in enumerate(queries):
+            place = self.place[terms]
+            rest[i, : self.n] = self._rare(terms[place < 0], weights[place < 0])
+            asked[i, place[place >= 0]] = weights[place >= 0]
+        for i, entry in enumerate(without):
+            if entry >= 0:
+                rest[i, entry] = -np.inf
+        single = asked.astype(np.float32)
+        bound = rest.reshape(m, self.n_blocks, BLOCK).max(axis=2) + single @ self.maxima.T
+        bound = np.maximum.reduceat(bound, np.arange(0, self.n_blocks, SPAN), axis=1) + MARGIN
+        total, best = np.full(rest.shape, -np.inf), np.zeros((m, k))
+        for span in np.argsort(-bound.max(axis=0), kind="stable").tolist():
+            live = np.flatnonzero(bound[:, span] > best[:, 0] - MARGIN)
+            if len(live):
+                lo, hi = span * SPAN * BLOCK, (span + 1) * SPAN * BLOCK
+                found = rest[live, lo:hi] + single[live] @ self.dense[lo:hi].T
+                total[live, lo:hi] = found
+                best[live] = np.partition(np.concatenate([best[live], found], axis=1), -k, axis=1)[:, -k:]
+        out = []
+        for i in range(m):
+            at = np.flatnonzero(total[i] > max(best[i, 0] - 2 * MARGIN, -MARGIN))
+            cosine = rest[i, at] + self.dense[at].astype(np.float64) @ asked[i]
+            at, cosine = at[cosine > 0], cosine[cosine > 0]
+            order = np.lexsort((at, -cosine))[:k]
+            out.append((at[order], cosine[order]))
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the k nearest with a cosine above 0, best first, ties by entry."""
-        bound = weights @ self.maxima[terms]
-        best_at, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and best[k - 1] > bound[b] + 1e-9:
-                break
-            total = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.edges[t][b], self.edges[t][b + 1]
-                if lo < hi:
-                    total[self.entries[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            if without // BLOCK == b and without >= 0:
-                total[without % BLOCK] = 0
-            hit = np.flatnonzero(total > 0)
-            best_at, best = np.concatenate([best_at, hit + b * BLOCK]), np.concatenate([best, total[hit]])
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        return self.nearest_of([(terms, weights)], k, [without])[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,63 +172,59 @@ class Model:
         self.vocabulary, self.idf, self.k = vocabulary, idf, k
         n_of = {c: sum(1 for e in examples if e[1] == c) for c in (0, 1)}
         scale = {c: shares.get(c, 0.0) / n_of[c] if n_of[c] else 0.0 for c in (0, 1)}
-        entries: dict[tuple, list] = defaultdict(lambda: [0.0, 0.0, []])
+        entries: dict[bytes, list] = defaultdict(lambda: [0.0, 0.0, []])
+        vectors: dict[bytes, tuple] = {}
         bare = [0.0, 0.0]
         for name, toxic, terms, counts in examples:
             if not len(terms):
                 bare[toxic] += scale[toxic]
                 continue
-            entry = entries[tuple(zip(terms.tolist(), counts.tolist(), strict=True))]
+            key = terms.astype(">i8").tobytes() + counts.astype(">i8").tobytes()
+            key = hashlib.sha256(key).digest()
+            entry = entries[key]
             entry[toxic] += scale[toxic]
             entry[2].append(name)
+            if key not in vectors:
+                vectors[key] = (terms, weights_of(terms, counts, idf).astype(np.float32))
         keys = sorted(entries)
         self.prior = shares.get(1, 0.0)
-        self.bare = (bare[1] + 1e-4 * self.prior) / (sum(bare) + 1e-4)
+        self.bare = (bare[1] + (0.0 if keys else 1e-4 * self.prior)) / (sum(bare) + 1e-4)
         self.mass = np.array([entries[key][:2] for key in keys]).reshape(-1, 2)
         self.names = [min(entries[key][2]) for key in keys]
-        vectors = []
-        for key in keys:
-            terms, counts = np.array([t for t, _ in key]), np.array([c for _, c in key])
-            vectors.append((terms, weights_of(terms, counts, idf)))
-        self.index = BlockMaxIndex(vectors, len(vocabulary.values))
-        x, y, w = [], [], []
-        for entry, (terms, weights) in enumerate(vectors):
-            for toxic in (0, 1):
-                if self.mass[entry, toxic]:
-                    own = self.mass[entry].copy()
-                    own[toxic] -= scale[toxic]
-                    x.append(self._vote(terms, weights, entry, own)[0])
-                    y.append(toxic)
-                    w.append(self.mass[entry, toxic])
-        self.knots, self.levels = isotonic(np.array(x), np.array(y, dtype=float), np.array(w)) if x else (np.zeros(0), np.zeros(0))
-
-    def _vote(self, terms, weights, without: int = -1, own=None) -> tuple[float, list]:
-        """Share of toxic weight among the neighbours; own: what is left of the entry that is asked about."""
-        at, cosine = self.index.nearest(terms, weights, self.k, without)
-        pull = 1 / (np.maximum(0.0, 1 - cosine) + SOFT)
-        mass = (self.mass[at] * pull[:, None]).sum(axis=0) if len(at) else np.zeros(2)
-        if own is not None:
-            mass = mass + np.maximum(own, 0) / SOFT
-        total = mass.sum()
-        vote = (mass[1] + 1e-9 * self.prior) / (total + 1e-9)
-        return float(vote), [(self.names[a], float(c)) for a, c in zip(at[:3].tolist(), cosine[:3].tolist(), strict=True)]
-
-    def score(self, terms: np.ndarray, counts: np.ndarray, memo: dict) -> tuple[float, list]:
-        """(probability, evidence) for term numbers and their counts.
-
-        memo: what was asked before in this task; a worker outlives its tasks, so it is not the model's."""
-        if not len(terms):
-            return float(self.bare), []
-        key = (terms.tobytes(), counts.tobytes())
-        if key not in memo:
-            vote, evidence = self._vote(terms, weights_of(terms, counts, self.idf))
-            at = min(int(np.searchsorted(self.knots, vote)), len(self.levels) - 1)
-            level = float(self.levels[at]) if at >= 0 else self.prior
-            if len(memo) >= MEMO_QUERIES:
-                memo.clear()
+        ordered = [vectors[key] for key in keys]
+        self.index = BlockMaxIndex(ordered, len(vocabulary.values))
+        asked = [(entry, toxic) for entry in range(len(keys)) for toxic in (0, 1) if self.mass[entry, toxic]]
+        own = self.mass[[e for e, _ in asked]] if asked else np.zeros((0, 2))
+        for left, (_, toxic) in zip(own, asked, strict=True):
+            left[toxic] -= scale[toxic]
+        x = np.array([v for v, _ in self._votes([ordered[e] for e, _ in asked], [e for e, _ in asked], own)])
+        y, w = np.array([toxic for _, toxic in asked], dtype=float), np.array([self.mass[e, toxic] for e, toxic in asked])
+        self.knots, self.levels = isotonic(x, y, w) if asked else (np.zeros(0), np.zeros(0))
+
+    def _votes(self, queries: list[tuple], without: list[int] | None = None, own=None) -> list[tuple[float, list]]:
+        """For each query, the share of toxic weight among its neighbours, and the nearest; own: what is left of the entries that are asked about."""
+        out = []
+        for i, (at, cosine) in enumerate(self.index.nearest_of(queries, self.k, without)):
+            pull = 1 / (np.maximum(0.0, 1 - cosine) + SOFT)
+            mass = (self.mass[at] * pull[:, None]).sum(axis=0) if len(at) else np.zeros(2)
+            if own is not None:
+                mass = mass + np.maximum(own[i], 0) / SOFT
+            vote = (mass[1] + 1e-9 * self.prior) / (mass.sum() + 1e-9)
+            out.append((float(vote), [(self.names[a], float(c)) for a, c in zip(at[:3].tolist(), cosine[:3].tolist(), strict=True)]))
+        return out
+
+    def score(self, rows: list[tuple[np.ndarray, np.ndarray, float]]) -> list[tuple[float, list]]:
+        """(probability, evidence) for each row's term numbers, their counts, and its unknown terms (see weights_of)."""
+        out: list[tuple[float, list]] = [(float(self.bare), [])] * len(rows)
+        if not len(self.levels):
+            return out
+        worded = [i for i, (terms, _, unknown) in enumerate(rows) if len(terms) or unknown]
+        votes = self._votes([(terms, weights_of(terms, counts, self.idf, unknown)) for terms, counts, unknown in (rows[i] for i in worded)])
+        for i, (vote, evidence) in zip(worded, votes, strict=True):
+            level = float(self.levels[min(int(np.searchsorted(self.knots, vote)), len(self.levels) - 1)])
             # a hundredth of the raw vote parts rows on one level
-            memo[key] = (min(1.0, max(0.0, 0.99 * level + 0.01 * vote)), evidence)
-        return memo[key]
+            out[i] = (min(1.0, max(0.0, 0.99 * level + 0.01 * vote)), evidence)
+        return out
 
 
 def terms_of(part) -> tuple[np.ndarray, np.ndarray]:
@@ -182,14 +234,26 @@ def terms_of(part) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([found.hashes, begun]), np.concatenate([found.rows, rows])
 
 
-def vectors(part, vocabulary: HashSet) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of a slice, the sorted numbers of its vocabulary terms and their counts."""
+def counted(part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct term hashes of a slice; for each distinct term of each row, by row, its number among them and its count; the rows' edges."""
     hashes, rows = terms_of(part)
-    n = max(1, len(vocabulary.values))
-    hit = np.flatnonzero(vocabulary.has(hashes))
-    key, counts = np.unique(rows[hit] * n + np.searchsorted(vocabulary.values, hashes[hit]), return_counts=True)
-    edges = np.searchsorted(key, np.arange(len(part) + 1) * n)
-    return [(key[a:b] % n, counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    distinct, number = np.unique(hashes, return_inverse=True)
+    n = max(1, len(distinct))
+    key, counts = np.unique(rows * n + number, return_counts=True)
+    return distinct, key % n, counts, np.searchsorted(key, np.arange(len(part) + 1) * n)
+
+
+def vectors(part, vocabulary: HashSet) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each row of a slice, the sorted numbers of its vocabulary terms, their counts, and its unknown terms (see weights_of)."""
+    distinct, number, counts, edges = counted(part)
+    known = vocabulary.has(distinct)[number]
+    terms = np.searchsorted(vocabulary.values, distinct)[number]
+    unknown = np.concatenate([[0.0], np.cumsum(np.where(known, 0.0, (1 + np.log(counts)) ** 2))])
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        held = known[a:b]
+        out.append((terms[a:b][held], counts[a:b][held], 0.0 if held.all() else float(unknown[b] - unknown[a])))
+    return out
 
 
 def sample_labels(labels: DataFrame, learn, id_column: str, label_column: str, most: int) -> tuple[list, dict[int, float]]:
@@ -202,15 +266,14 @@ def sample_labels(labels: DataFrame, learn, id_column: str, label_column: str, m
 
 
 def _terms(batches):
-    """Distinct term hashes of every row, with their counts; a batch for each slice, as terms take more room than texts."""
+    """Distinct term hashes of every row, with their counts, as bytes; a batch for each slice, as terms take more room than texts."""
     for batch in batches:
         for part in slices(batch.column("text")):
-            hashes, rows = terms_of(part)
-            order = np.argsort(rows, kind="stable")
-            hashes, edges = to_signed(hashes[order]), np.searchsorted(rows[order], np.arange(len(part) + 1))
-            pairs = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            distinct, number, counts, edges = counted(part)
+            ends = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
             own = [batch.column(name).slice(part.at, len(part)) for name in ("id", "toxic")]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array([p[k] for p in pairs], pa.list_(pa.int64())) for k in (0, 1))], ["id", "toxic", "terms", "counts"])
+            terms, counts = [distinct[number[a:b]].tobytes() for a, b in ends], [counts[a:b].astype(np.uint32).tobytes() for a, b in ends]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["id", "toxic", "terms", "counts"])
 
 
 def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_examples: int = MOST_EXAMPLES) -> Model:
@@ -220,29 +283,20 @@ def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_i
     chosen, shares = sample_labels(labels, learn, id_column, label_column, most_examples)
     listed = F.broadcast(spark.createDataFrame(chosen, f"id {kind}, toxic int"))  # two classes of most_examples rows
     texts = df.select(F.col(id_column).alias("id"), text_bytes(text_column)).join(listed, "id")
-    examples = stored(texts.select("id", "toxic", "text").mapInArrow(_terms, f"id {kind}, toxic int, terms array<bigint>, counts array<bigint>"))
+    examples = stored(texts.select("id", "toxic", "text").mapInArrow(_terms, f"id {kind}, toxic int, terms binary, counts binary"))
     total = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     if not n0 or not n1:
-        return Model(HashSet(np.zeros(0, dtype=np.uint64)), np.zeros(0), [], shares)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")  # examples of class 1 and 0 with the term
-    chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n0 + n1) / ((a + b) * (n0 + n1 - a - b) * n1 * n0)
-    terms = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    picked = terms.where((a + b >= LEAST_EXAMPLES) & (a / n1 >= LEAST_LIFT * b / n0)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(MOST_TERMS).select("term").collect()
-    vocabulary = HashSet(np.array([r.term for r in picked], dtype=np.int64).view(np.uint64))
-    number = {int(t): i for i, t in enumerate(to_signed(vocabulary.values).tolist())}
-    held = []
-    wanted = F.array(*[F.lit(t) for t in number]) if number else F.array().cast("array<bigint>")
-    slim = examples.select("id", "toxic", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(wanted, x["terms"])).alias("v"))
-    for r in slim.toLocalIterator():
-        pairs = sorted((number[x.terms], x.counts) for x in r.v)
-        held.append((r.id, r.toxic, np.array([p for p, _ in pairs], dtype=np.int64), np.array([c for _, c in pairs], dtype=np.int64)))
+        return Model(HashSet(np.zeros(0, dtype=np.uint64)), np.zeros(1), [], shares)
+    held = [(r.id, r.toxic, np.frombuffer(r.terms, dtype=np.uint64), np.frombuffer(r.counts, dtype=np.uint32)) for r in examples.toLocalIterator()]
     held.sort(key=lambda e: e[0])
-    return Model(vocabulary, idf(df, vocabulary, text_column), held, shares)
+    vocabulary = HashSet(np.concatenate([np.zeros(0, dtype=np.uint64), *(e[2] for e in held)]), TERM_BITS)
+    numbered = [(name, toxic, np.searchsorted(vocabulary.values, terms).astype(np.int32), counts) for name, toxic, terms, counts in held]
+    return Model(vocabulary, idf(df, vocabulary, text_column), numbered, shares)
 
 
 def idf(df: DataFrame, vocabulary: HashSet, text_column: str) -> np.ndarray:
-    """log((rows + 1) / (rows with the term + 1)), counted over all rows of df."""
+    """log((rows + 1) / (rows with the term + 1)), counted over all rows of df; at the end, that of a term of one row."""
     sent = broadcast(df.sparkSession, vocabulary)
 
     def run(batches):
@@ -250,14 +304,18 @@ def idf(df: DataFrame, vocabulary: HashSet, text_column: str) -> np.ndarray:
         for batch in batches:
             total[-1] += batch.num_rows
             for part in slices(batch.column("text")):
-                for terms, _ in vectors(part, sent.value):
-                    total[terms] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
+                distinct, number, _, _ = counted(part)
+                known = sent.value.has(distinct)
+                total[np.searchsorted(sent.value.values, distinct[known])] += np.bincount(number, minlength=len(distinct))[known]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
-    counts = np.zeros(len(vocabulary.values) + 1)
-    for r in df.select(text_bytes(text_column)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        counts[r.term] = r.n
-    return np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1e-6
+    n = len(vocabulary.values)
+    counts = np.zeros(n + 1)
+    # Arrow, as the vocabulary of the examples has many terms
+    found = df.select(text_bytes(text_column)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return np.log((counts[-1] + 1) / (np.append(counts[:-1], 1) + 1)) + 1e-6
 
 
 def score_toxicity(df: DataFrame, model: Model, columns: list, schema: str, text_column: str = "text") -> DataFrame:
@@ -265,12 +323,11 @@ def score_toxicity(df: DataFrame, model: Model, columns: list, schema: str, text
     sent, n = broadcast(df.sparkSession, model), len(columns)
 
     def run(batches):
-        m, memo = sent.value, {}
+        m = sent.value
         for batch in batches:
             scores, evidence = [], []
             for part in slices(batch.column(n)):
-                for terms, counts in vectors(part, m.vocabulary):
-                    score, near = m.score(terms, counts, memo)
+                for score, near in m.score(vectors(part, m.vocabulary)):
                     scores.append(score)
                     evidence.append([{"id": str(i), "cosine": c} for i, c in near])
             kind = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64())]))

@@ -132,6 +132,37 @@ def test_toxicity_learns_and_leaves_held_out_labels_alone(spark, make):
     assert [r.score for r in toxicity.score_toxicity(docs, again, [F.col("doc_id")], "doc_id bigint").sort("doc_id").collect()] == [got[i].score for i in sorted(got)]
 
 
+def test_toxicity_cosines_are_over_all_terms(spark, make):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, 12)) + f" own{i}" + (" scoundrel" * (i % 6 == 0)) for i in range(120)]
+    texts += [" ".join(f"unseen{k}" for k in range(40)) + " scoundrel", "own3", "nothing known"]
+    docs = make([(i, t, "en", "s") for i, t in enumerate(texts)])
+    learnt = {i: int(i % 6 == 0) for i in range(100)}
+    model = toxicity.learn_model(docs, spark.createDataFrame(list(learnt.items()), "doc_id bigint, toxic int"), F.lit(True))
+
+    def terms(text):
+        count = {}
+        for w in fold(text):
+            for t in [(w, 0), *((w[:n], n) for n in toxicity.BEGINNINGS if len(w) > n)]:
+                count[t] = count.get(t, 0) + 1
+        return count
+
+    of = [terms(t) for t in texts]
+    seen = {t for i in learnt for t in of[i]}
+    df = {t: sum(t in v for v in of) for t in seen}
+
+    def vector(v):
+        w = {t: (1 + np.log(c)) * (np.log((len(texts) + 1) / (df.get(t, 1) + 1)) + 1e-6) for t, c in v.items()}
+        size = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    unit = [vector(v) for v in of]
+    assert len(model.vocabulary.values) == len(seen)
+    for r in toxicity.score_toxicity(docs, model, [F.col("doc_id")], "doc_id bigint").collect():
+        want = sorted((sum(x * unit[i].get(t, 0) for t, x in unit[r.doc_id].items()) for i in learnt), reverse=True)
+        assert np.allclose([e.cosine for e in r.evidence], [c for c in want[:3] if c > 0], atol=1e-5), r.doc_id
+
+
 def test_toxicity_without_labels(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.learn_model(docs, none, F.lit(True))
