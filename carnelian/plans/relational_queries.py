@@ -193,6 +193,11 @@ def checkout_status(spark, sf_dir):
     return R.status(checkouts(spark, sf_dir), files(spark, sf_dir).where(F.col("path").endswith("7.rb")))
 
 
+@query(f"WITH {_FILES}, {_CHECKOUTS} SELECT root, kind, count(path) AS files, count(DISTINCT oid) AS blobs FROM checkouts LEFT JOIN files ON checkout = root GROUP BY root, kind")
+def checkout_status_whole(spark, sf_dir):
+    return R.status(checkouts(spark, sf_dir), files(spark, sf_dir))
+
+
 @query(f"WITH {_FILES}, {_CALLS} SELECT 'files' AS what, count(*) AS n FROM files UNION ALL SELECT 'blobs', count(DISTINCT oid) FROM files UNION ALL SELECT 'defs', count(*) FROM part UNION ALL SELECT 'calls', CAST(sum(calls) AS BIGINT) FROM call_name")
 def store_totals(spark, sf_dir):
     return R.totals(part_defs(spark, sf_dir), call_name(spark, sf_dir), files(spark, sf_dir))
