@@ -83,14 +83,23 @@ def includers(spark, sf_dir):
     return rows.select("module", F.size("classes").cast("bigint").alias("classes"), F.element_at("classes", 1).alias("first"))
 
 
-@query("WITH e AS (SELECT 'P' || (p_partkey % 40) AS module, CASE WHEN p_partkey % 3 = 0 THEN 'K' ELSE 'P' END || ((p_partkey % 40) + 1 + p_size % 2) AS mixer FROM part WHERE p_partkey % 40 < 30), r AS (SELECT DISTINCT module, mixer FROM e), rec AS (WITH RECURSIVE t AS (SELECT module, mixer FROM r UNION SELECT t.module, r.mixer FROM t JOIN r ON r.module = t.mixer) SELECT * FROM t) SELECT module, mixer FROM rec WHERE mixer LIKE 'K%'")
-def mixers_closure(spark, sf_dir):
+def _mixers_closure(spark, sf_dir, which):
     k = F.col("p_partkey")
-    e = Q.table(spark, sf_dir, "part").where(k % 40 < 30).select(F.lit("t").alias("checkout"), F.lit("include").alias("relation"), F.concat(F.lit("P"), (k % 40).cast("string")).alias("resolved"), F.concat(F.when(k % 3 == 0, "K").otherwise("P"), ((k % 40) + 1 + F.col("p_size") % 2).cast("string")).alias("owner"))
+    e = Q.table(spark, sf_dir, "part").where(which).select(F.lit("t").alias("checkout"), F.lit("include").alias("relation"), F.concat(F.lit("P"), (k % 40).cast("string")).alias("resolved"), F.concat(F.when(k % 3 == 0, "K").otherwise("P"), ((k % 40) + 1 + F.col("p_size") % 2).cast("string")).alias("owner"))
     names = e.select("checkout", F.col("owner").alias("fqn"), F.when(F.col("owner").startswith("K"), "class").otherwise("module").alias("kind")).distinct()
     return C.mixers(e, names).select("module", "mixer")
 
 
+@query("WITH e AS (SELECT 'P' || (p_partkey % 40) AS module, CASE WHEN p_partkey % 3 = 0 THEN 'K' ELSE 'P' END || ((p_partkey % 40) + 1 + p_size % 2) AS mixer FROM part WHERE p_partkey % 40 < 30), r AS (SELECT DISTINCT module, mixer FROM e), rec AS (WITH RECURSIVE t AS (SELECT module, mixer FROM r UNION SELECT t.module, r.mixer FROM t JOIN r ON r.module = t.mixer) SELECT * FROM t) SELECT module, mixer FROM rec WHERE mixer LIKE 'K%'")
+def mixers_closure(spark, sf_dir):
+    return _mixers_closure(spark, sf_dir, F.col("p_partkey") % 40 < 30)
+
+
+@query("WITH e AS (SELECT 'P' || (p_partkey % 40) AS module, CASE WHEN p_partkey % 3 = 0 THEN 'K' ELSE 'P' END || ((p_partkey % 40) + 1 + p_size % 2) AS mixer FROM part), r AS (SELECT DISTINCT module, mixer FROM e), rec AS (WITH RECURSIVE t AS (SELECT module, mixer FROM r UNION SELECT t.module, r.mixer FROM t JOIN r ON r.module = t.mixer) SELECT * FROM t) SELECT module, mixer FROM rec WHERE mixer LIKE 'K%'")
+def mixers_closure_whole(spark, sf_dir):
+    return _mixers_closure(spark, sf_dir, F.lit(True))
+
+
 # -- methods: a brand's name on suppliers' classes of nations
 def star_methods(spark, sf_dir):
     """A part is a method of the class of nation, region, segment or customer that its size picks."""
@@ -206,23 +215,41 @@ def as_of_last_write(spark, sf_dir):
     return last.join(m, "event_id")
 
 
-@query("WITH d AS (SELECT l_suppkey AS f, l_orderkey % 200 AS a, l_orderkey % 200 + l_linenumber * 7 AS b, l_orderkey AS name FROM lineitem WHERE l_linenumber <= 3), c AS (SELECT o_orderkey AS call, o_custkey % 100 + 1 AS f, o_orderkey % 250 AS line FROM orders), h AS (SELECT call, line, name, a, b, row_number() OVER (PARTITION BY call ORDER BY b - a, -a, 'm' || name) AS r FROM c JOIN d USING (f) WHERE line BETWEEN a AND b) SELECT call, 'm' || name AS def_name, CAST(a AS INTEGER) AS def_line FROM h WHERE r = 1")
-def enclosing_method(spark, sf_dir):
+def _enclosing_method(spark, sf_dir, which):
     k = F.col("l_orderkey")
-    defs = Q.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.lit("t").alias("checkout"), F.col("l_suppkey").cast("string").alias("path"), F.lit("method").alias("kind"), F.concat(F.lit("m"), k.cast("string")).alias("name"), (k % 200).cast("int").alias("line"), (k % 200 + F.col("l_linenumber") * 7).cast("int").alias("end_line"))
+    defs = Q.table(spark, sf_dir, "lineitem").where(which).select(F.lit("t").alias("checkout"), F.col("l_suppkey").cast("string").alias("path"), F.lit("method").alias("kind"), F.concat(F.lit("m"), k.cast("string")).alias("name"), (k % 200).cast("int").alias("line"), (k % 200 + F.col("l_linenumber") * 7).cast("int").alias("end_line"))
     calls = Q.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"), F.lit("t").alias("checkout"), (F.col("o_custkey") % 100 + 1).cast("string").alias("path"), (F.col("o_orderkey") % 250).cast("int").alias("line"))
     return P.enclosing(calls, defs).select("call", "def_name", "def_line")
 
 
-@query("WITH a AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages), b AS (SELECT DISTINCT p[1:2] AS q FROM a WHERE page_id % 10 = 0) SELECT page_id, max(CASE WHEN p[1] = q[1] THEN 1 ELSE 0 END) AS shared FROM a, b GROUP BY page_id")
-def nearest_by_directory(spark, sf_dir):
+@query("WITH d AS (SELECT l_suppkey AS f, l_orderkey % 200 AS a, l_orderkey % 200 + l_linenumber * 7 AS b, l_orderkey AS name FROM lineitem WHERE l_linenumber <= 3), c AS (SELECT o_orderkey AS call, o_custkey % 100 + 1 AS f, o_orderkey % 250 AS line FROM orders), h AS (SELECT call, line, name, a, b, row_number() OVER (PARTITION BY call ORDER BY b - a, -a, 'm' || name) AS r FROM c JOIN d USING (f) WHERE line BETWEEN a AND b) SELECT call, 'm' || name AS def_name, CAST(a AS INTEGER) AS def_line FROM h WHERE r = 1")
+def enclosing_method(spark, sf_dir):
+    return _enclosing_method(spark, sf_dir, F.expr("l_linenumber <= 3"))
+
+
+@query("WITH d AS (SELECT l_suppkey AS f, l_orderkey % 200 AS a, l_orderkey % 200 + l_linenumber * 7 AS b, l_orderkey AS name FROM lineitem), c AS (SELECT o_orderkey AS call, o_custkey % 100 + 1 AS f, o_orderkey % 250 AS line FROM orders), h AS (SELECT call, line, name, a, b, row_number() OVER (PARTITION BY call ORDER BY b - a, -a, 'm' || name) AS r FROM c JOIN d USING (f) WHERE line BETWEEN a AND b) SELECT call, 'm' || name AS def_name, CAST(a AS INTEGER) AS def_line FROM h WHERE r = 1")
+def enclosing_method_whole(spark, sf_dir):
+    return _enclosing_method(spark, sf_dir, F.lit(True))
+
+
+def _nearest_by_directory(spark, sf_dir, which):
     path = F.regexp_replace("url", "^[a-z]+://", "")
     a = Q.table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
-    b = a.where("page_id % 10 = 0").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("other")).distinct()
+    b = a.where(which).select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("other")).distinct()
     # candidates are the few roots of a checkout
     return a.join(F.broadcast(b)).groupBy("page_id").agg(F.max(S.shared_dirs(F.col("path"), F.col("other"))).alias("shared"))
 
 
+@query("WITH a AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages), b AS (SELECT DISTINCT p[1:2] AS q FROM a WHERE page_id % 10 = 0) SELECT page_id, max(CASE WHEN p[1] = q[1] THEN 1 ELSE 0 END) AS shared FROM a, b GROUP BY page_id")
+def nearest_by_directory(spark, sf_dir):
+    return _nearest_by_directory(spark, sf_dir, F.expr("page_id % 10 = 0"))
+
+
+@query("WITH a AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages), b AS (SELECT DISTINCT p[1:2] AS q FROM a) SELECT page_id, max(CASE WHEN p[1] = q[1] THEN 1 ELSE 0 END) AS shared FROM a, b GROUP BY page_id")
+def nearest_by_directory_whole(spark, sf_dir):
+    return _nearest_by_directory(spark, sf_dir, F.lit(True))
+
+
 @query("WITH s AS (SELECT DISTINCT p_type[1:2] || '*' AS shape, '^' || p_type[1:2] || '.+$' AS re FROM part UNION SELECT '*' || p_name[-1:], '^.+' || p_name[-1:] || '$' FROM part) SELECT DISTINCT shape, name FROM s, (SELECT DISTINCT p_type AS name FROM part UNION SELECT p_name FROM part) WHERE regexp_matches(name, re)")
 def shape_match(spark, sf_dir):
     p = Q.table(spark, sf_dir, "part")
@@ -232,28 +259,46 @@ def shape_match(spark, sf_dir):
     return names.join(F.broadcast(shapes), S.shape_matches(F.col("shape"), F.col("name"))).select("shape", "name").distinct()
 
 
-@query("WITH s AS (SELECT l_suppkey AS f, l_orderkey % 200 AS a, l_orderkey % 200 + 9 AS b, l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_linenumber = 1), c AS (SELECT id, f, (id * 7) % 200 AS ln FROM s) SELECT c.id AS id, count(*) AS n FROM c JOIN s ON s.f = c.f AND c.ln BETWEEN s.a AND s.b AND s.id <> c.id GROUP BY c.id")
-def candidate_callers(spark, sf_dir):
+def _candidate_callers(spark, sf_dir, which):
     from carnelian.operators.dead import inside_candidates
 
     k = F.col("l_orderkey")
     ident = k * 10 + F.col("l_linenumber")
-    rows = Q.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(ident.alias("query"), F.lit("t").alias("checkout"), F.col("l_suppkey").cast("string").alias("path"), (k % 200).alias("line"), (k % 200 + 9).alias("end_line"), F.lit("single-caller").alias("tier"))
+    rows = Q.table(spark, sf_dir, "lineitem").where(which).select(ident.alias("query"), F.lit("t").alias("checkout"), F.col("l_suppkey").cast("string").alias("path"), (k % 200).alias("line"), (k % 200 + 9).alias("end_line"), F.lit("single-caller").alias("tier"))
     rows = rows.withColumn("caller", F.struct("path", ((F.col("query") * 7) % 200).alias("line")))
     return inside_candidates(rows).groupBy(F.col("query").alias("id")).agg(F.count("*").alias("n"))
 
 
+@query("WITH s AS (SELECT l_suppkey AS f, l_orderkey % 200 AS a, l_orderkey % 200 + 9 AS b, l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_linenumber = 1), c AS (SELECT id, f, (id * 7) % 200 AS ln FROM s) SELECT c.id AS id, count(*) AS n FROM c JOIN s ON s.f = c.f AND c.ln BETWEEN s.a AND s.b AND s.id <> c.id GROUP BY c.id")
+def candidate_callers(spark, sf_dir):
+    return _candidate_callers(spark, sf_dir, F.expr("l_linenumber = 1"))
+
+
+@query("WITH s AS (SELECT l_suppkey AS f, l_orderkey % 200 AS a, l_orderkey % 200 + 9 AS b, l_orderkey * 10 + l_linenumber AS id FROM lineitem), c AS (SELECT id, f, (id * 7) % 200 AS ln FROM s) SELECT c.id AS id, count(*) AS n FROM c JOIN s ON s.f = c.f AND c.ln BETWEEN s.a AND s.b AND s.id <> c.id GROUP BY c.id")
+def candidate_callers_whole(spark, sf_dir):
+    return _candidate_callers(spark, sf_dir, F.lit(True))
+
+
 # -- dead code ----------------------------------------------------------------------
-@query("WITH r AS (SELECT l_partkey AS q, count(*) FILTER (l_linenumber % 3 = 0 AND l_suppkey % 2 = 0) AS written, count(*) FILTER (l_linenumber % 3 = 1 AND l_suppkey % 2 = 0) AS supers, count(*) FILTER (l_linenumber % 3 = 2 AND l_suppkey % 2 = 0) AS symbols FROM lineitem WHERE l_quantity > 40 GROUP BY q) SELECT q, CASE WHEN written = 0 AND supers = 0 AND symbols = 0 THEN 'unreferenced' WHEN written = 0 AND supers = 0 THEN 'convention-only' WHEN written = 0 THEN 'super-only' WHEN written = 1 AND supers = 0 THEN 'single-caller' END AS tier FROM r")
-def dead_tiers(spark, sf_dir):
+def _dead_tiers(spark, sf_dir, which):
     from carnelian.operators.dead import tier_of
 
     live = F.col("l_suppkey") % 2 == 0
     part = lambda n, name: F.count_if(live & (F.col("l_linenumber") % 3 == n)).alias(name)
-    rows = Q.table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_partkey").alias("q")).agg(part(0, "written"), part(1, "supers"), part(2, "symbols"))
+    rows = Q.table(spark, sf_dir, "lineitem").where(which).groupBy(F.col("l_partkey").alias("q")).agg(part(0, "written"), part(1, "supers"), part(2, "symbols"))
     return rows.select("q", tier_of(F.col("written"), F.col("supers"), F.col("symbols")).alias("tier"))
 
 
+@query("WITH r AS (SELECT l_partkey AS q, count(*) FILTER (l_linenumber % 3 = 0 AND l_suppkey % 2 = 0) AS written, count(*) FILTER (l_linenumber % 3 = 1 AND l_suppkey % 2 = 0) AS supers, count(*) FILTER (l_linenumber % 3 = 2 AND l_suppkey % 2 = 0) AS symbols FROM lineitem WHERE l_quantity > 40 GROUP BY q) SELECT q, CASE WHEN written = 0 AND supers = 0 AND symbols = 0 THEN 'unreferenced' WHEN written = 0 AND supers = 0 THEN 'convention-only' WHEN written = 0 THEN 'super-only' WHEN written = 1 AND supers = 0 THEN 'single-caller' END AS tier FROM r")
+def dead_tiers(spark, sf_dir):
+    return _dead_tiers(spark, sf_dir, F.expr("l_quantity > 40"))
+
+
+@query("WITH r AS (SELECT l_partkey AS q, count(*) FILTER (l_linenumber % 3 = 0 AND l_suppkey % 2 = 0) AS written, count(*) FILTER (l_linenumber % 3 = 1 AND l_suppkey % 2 = 0) AS supers, count(*) FILTER (l_linenumber % 3 = 2 AND l_suppkey % 2 = 0) AS symbols FROM lineitem GROUP BY q) SELECT q, CASE WHEN written = 0 AND supers = 0 AND symbols = 0 THEN 'unreferenced' WHEN written = 0 AND supers = 0 THEN 'convention-only' WHEN written = 0 THEN 'super-only' WHEN written = 1 AND supers = 0 THEN 'single-caller' END AS tier FROM r")
+def dead_tiers_whole(spark, sf_dir):
+    return _dead_tiers(spark, sf_dir, F.lit(True))
+
+
 @query("SELECT tier, confidence, kind, count(*) AS n FROM (SELECT l_returnflag AS tier, l_linestatus AS confidence, CASE WHEN l_linenumber = 1 THEN 'method' ELSE 'constant' END AS kind FROM lineitem) GROUP BY GROUPING SETS ((tier), (confidence), (kind))")
 def dead_summary(spark, sf_dir):
     from carnelian.operators.dead import summary
