@@ -1,19 +1,23 @@
 """Language identification by segmentation-marginalised unigram models.
 
 Each language has a probability for every piece of a fixed public vocabulary
-(the pieces of up to MOST_CHARS characters, and every single character).  The
+(its pieces of letters, of any length, and every single character seen).  The
 probability of a word is the sum over all its segmentations into pieces, which
 a forward pass gives; a text's log probability is the sum over its words.  The
 pieces' probabilities are fitted by expectation-maximisation (forward-backward
-over all segmentations) on the words of a bounded sample of labelled rows: for
-each language, MOST_ROWS rows that come first by a hash of their id, and of
-each the words in its first ROW_WORDS.
-
-Texts are scored whole.  Equal words of a slice are scored once; a worker also
-remembers words across slices, up to MEMO_WORDS.  The score of the answer is
-its posterior probability under equal priors, with the log probabilities
-divided by the square root of the number of words (words of a text are not
-independent).  Ties go to the language that comes first by code point.
+over all segmentations) on all words of a bounded sample of labelled rows: for
+each language, MOST_ROWS rows that come first by a hash of their id.
+
+Pieces are found by walking a table of the hashes of their beginnings, so only
+places where a piece can go on are looked at.  Texts are scored whole, and so
+are words: a long word (a line of an unspaced script, say) goes through the
+forward pass in stretches that hand on the sums at their last places.  Only in
+learning is a word of more than LEARN_CHARS characters taken in parts.  Equal
+words of a slice are scored once; a worker also remembers words across slices,
+up to MEMO_WORDS.  The score of the answer is its posterior probability under
+equal priors, with the log probabilities divided by the square root of the
+number of words (words of a text are not independent).  Ties go to the language
+that comes first by code point.
 
 Defined cases: a null text, one without a letter, and any text where there is
 nothing to learn from, are "und" with score 0.  Rows with a null language or a
@@ -29,23 +33,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from carnelian.llm.frames import broadcast, documents, first_by_hash, text_bytes
-from carnelian.llm.text import _FOLDED, LOWER, Slice, hash_words, slices, words
+from carnelian.llm.text import _FOLDED, LOWER, Slice, slices, words
 
 VOCABULARY = "word_bpe_49k.json"
-MOST_CHARS = 6
-MOST_ROWS, ROW_WORDS = 400, 2_000
-#: Distinct words of a language that are learned from: the most frequent ones.
-MOST_WORDS = 6_000
+MOST_ROWS = 400
 ROUNDS = 3
 #: Expected count that every piece has besides what is seen.
 PRIOR = 0.05
 #: Log probability of a character that is in no piece.
 UNKNOWN = -18.0
-#: Longer words are scored in parts of this many characters.
-LONGEST = 24
+#: Characters that go through the forward pass at a time; longer words go in stretches.
+BATCH_CHARS, STRETCH = 1 << 16, 1 << 12
+LEARN_CHARS = 1 << 12
 MEMO_WORDS = 400_000
 UNDECIDED = "und"
 
@@ -65,7 +66,7 @@ def pieces(name: str = VOCABULARY) -> tuple[str, ...]:
             piece = bytes(byte_of[c] for c in raw).decode()
         except (KeyError, UnicodeDecodeError):
             continue
-        if piece.isalpha() and 1 < len(piece) <= MOST_CHARS:
+        if piece.isalpha() and len(piece) > 1:
             out.add(piece.lower())
     return tuple(sorted(out))
 
@@ -78,80 +79,166 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def _keys(codes: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
-    """A 63-bit key of the size characters from each begin on, along the last axis."""
-    key = np.zeros(begin.shape, dtype=np.uint64)
-    for k in range(size):
-        key = (key ^ codes[..., k : k + begin.shape[-1]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key >> np.uint64(1)
-
+def _grow(key: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The keys of strings that are longer by one character each."""
+    key = (key ^ codes.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(29))
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+
+
+class PieceTable:
+    """The beginnings of all pieces by key, with the number of the piece where one ends."""
+
+    def __init__(self, known: list[str]):
+        self.n, self.longest = len(known), max(map(len, known), default=1)
+        lengths = np.array([len(p) for p in known], dtype=np.int64)
+        codes, first = _codes(known), np.concatenate([[0], np.cumsum(lengths)])[:-1]
+        key, alive = np.zeros(self.n, dtype=np.uint64), np.arange(self.n)
+        keys, pieces = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for size in range(1, self.longest + 1):
+            alive = alive[lengths[alive] >= size]
+            key[alive] = _grow(key[alive], codes[first[alive] + size - 1])
+            keys.append(key[alive])
+            pieces.append(np.where(lengths[alive] == size, alive, -1))
+        # of equal keys the piece, if there is one
+        all_keys, all_pieces = np.concatenate(keys), np.concatenate(pieces)
+        order = np.lexsort((-all_pieces, all_keys))
+        new = np.concatenate([[True], all_keys[order][1:] != all_keys[order][:-1]]) if len(order) else np.zeros(0, dtype=bool)
+        self.keys, self.pieces = all_keys[order][new], all_pieces[order][new]
+
+    def matches(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, piece) of every piece in the codes; room: how many characters a place may use.
+
+        A character that is no piece counts as the piece after the last."""
+        begins, sizes, pieces = [], [], []
+        alive = np.flatnonzero(room > 0)
+        key = np.zeros(len(alive), dtype=np.uint64)
+        for size in range(1, self.longest + 1):
+            if size > 1:
+                fits = room[alive] >= size
+                alive, key = alive[fits], key[fits]
+            if not len(alive):
+                break
+            key = _grow(key, codes[alive + size - 1])
+            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            known = self.keys[at] == key if len(self.keys) else np.zeros(len(at), dtype=bool)
+            piece = np.where(known, self.pieces[at] if len(self.keys) else -1, -1)
+            if size == 1:
+                piece = np.where(piece < 0, self.n, piece)
+            found = piece >= 0
+            begins.append(alive[found])
+            sizes.append(np.full(int(found.sum()), size))
+            pieces.append(piece[found])
+            alive, key = alive[known], key[known]
+        if not begins:
+            return (np.zeros(0, dtype=np.int64),) * 3
+        return np.concatenate(begins), np.concatenate(sizes), np.concatenate(pieces)
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of the runs of rows that begin at starts."""
+    top = np.maximum.reduceat(values, starts, axis=0)
+    size = np.diff(np.append(starts, len(values)))
+    return top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, size, axis=0)), starts, axis=0))
+
+
+class Lattice:
+    """All segmentations of some words; place i of word w is the node first[w] + i."""
+
+    def __init__(self, table: PieceTable, texts: list[str]):
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        room = np.repeat(first + self.lengths, self.lengths) - np.arange(int(self.lengths.sum()))
+        begin, size, self.piece = table.matches(_codes(texts), room)
+        word = np.searchsorted(first + self.lengths, begin, side="right")
+        self.first, self.last = first + np.arange(len(texts)), first + np.arange(len(texts)) + self.lengths
+        self.begin, self.end = begin + word, begin + word + size
+        self.step = self.end - self.first[word]  # place at which a match ends
+        self.n = int(self.lengths.sum()) + len(texts)
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """log sums [node, language] over the segmentations up to each node."""
+        out = np.full((self.n, logs.shape[1]), -np.inf)
+        out[self.first] = 0
+        order = np.lexsort((self.end, self.step))
+        for run in np.split(order, np.flatnonzero(np.diff(self.step[order])) + 1) if len(order) else []:
+            ends = self.end[run]
+            starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+            out[ends[starts]] = _sums(out[self.begin[run]] + logs[self.piece[run]], starts)
+        return out
 
-def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points, padded with zeros to LONGEST + MOST_CHARS, and lengths."""
-    width = LONGEST + MOST_CHARS
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    flat = np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le"), dtype=np.uint32)
-    return flat.reshape(len(texts), width), lengths
+    def expected(self, logs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces (one language) in weighted words."""
+        alpha, beta = self.forward(logs[:, None])[:, 0], np.full(self.n, -np.inf)
+        beta[self.last] = 0
+        word = np.searchsorted(self.last, self.begin)
+        place = self.begin - self.first[word]
+        order = np.lexsort((self.begin, -place))
+        for run in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []:
+            begins = self.begin[run]
+            starts = np.flatnonzero(np.concatenate([[True], begins[1:] != begins[:-1]]))
+            beta[begins[starts]] = _sums((logs[self.piece[run]] + beta[self.end[run]])[:, None], starts)[:, 0]
+        share = np.exp(alpha[self.begin] + logs[self.piece] + beta[self.end] - alpha[self.last][word])
+        return np.bincount(self.piece, weights=share * weights[word], minlength=len(logs))
+
+
+def _batches(texts: list[str], most: int = BATCH_CHARS):
+    """(first, stop) of runs of texts with about most characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
 
 
 class Model:
-    """languages, and log probabilities [piece, language] for the pieces' sorted keys."""
-
-    def __init__(self, languages: list[str], keys: np.ndarray, logs: np.ndarray):
-        self.languages, self.keys, self.logs = languages, keys, logs
-
-    def ids(self, codes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """For each size, the piece's number at every place of every word; -1 where there is none."""
-        out, place = [], np.arange(LONGEST)[None, :]
-        for size in range(1, MOST_CHARS + 1):
-            key = _keys(codes, np.broadcast_to(place, (len(codes), LONGEST)), size)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            fits = (self.keys[at] == key) & (place + size <= lengths[:, None])
-            out.append(np.where(fits, at, -1))
-        return out
+    """languages, and log probabilities [piece, language]; the last row is that of unknown characters."""
 
-    def forward(self, texts: list[str]) -> np.ndarray:
+    def __init__(self, languages: list[str], table: PieceTable, logs: np.ndarray):
+        self.languages, self.table = languages, table
+        self.logs = np.vstack([logs, np.full((1, len(languages)), UNKNOWN)])
+
+    def forward(self, texts: list[str], most: int = BATCH_CHARS, stretch: int = STRETCH) -> np.ndarray:
         """log probability [word, language], over all segmentations."""
-        if not texts:
-            return np.zeros((0, len(self.languages)))
-        codes, lengths = _matrix(texts)
-        return self._forward(self.ids(codes, lengths), lengths)[np.arange(len(texts)), lengths]
-
-    def _forward(self, ids: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
-        n, width, logs = len(lengths), int(lengths.max(initial=0)), np.vstack([self.logs, np.full(len(self.languages), -np.inf)])
-        out = np.full((n, LONGEST + 1, len(self.languages)), -np.inf)
-        out[:, 0] = 0
-        for end in range(1, width + 1):
-            total = np.where((ids[0][:, end - 1] < 0)[:, None], out[:, end - 1] + UNKNOWN, -np.inf)
-            for size in range(1, min(MOST_CHARS, end) + 1):
-                total = np.logaddexp(total, out[:, end - size] + logs[ids[size - 1][:, end - size]])
-            out[:, end] = total
+        out = np.zeros((len(texts), len(self.languages)))
+        # words of like length together, so that a pass has few empty steps
+        order = sorted((i for i, t in enumerate(texts) if len(t) <= stretch), key=lambda i: len(texts[i]))
+        ordered = [texts[i] for i in order]
+        for a, b in _batches(ordered, most):
+            lattice = Lattice(self.table, ordered[a:b])
+            out[order[a:b]] = lattice.forward(self.logs)[lattice.last]
+        for i, t in enumerate(texts):
+            if len(t) > stretch:
+                out[i] = self._long(_codes([t]), stretch)
         return out
 
-    def expected(self, ids: list[np.ndarray], lengths: np.ndarray, weights: np.ndarray, language: int) -> np.ndarray:
-        """Expected counts of the pieces in weighted words of one language."""
-        one = Model([self.languages[language]], self.keys, self.logs[:, [language]])
-        alpha = one._forward(ids, lengths)[:, :, 0]
-        n, rows = len(lengths), np.arange(len(lengths))
-        whole = alpha[rows, lengths]
-        beta = np.full((n, LONGEST + MOST_CHARS + 1), -np.inf)
-        beta[rows, lengths] = 0
-        counts = np.zeros(len(self.keys))
-        for begin in range(int(lengths.max(initial=0)) - 1, -1, -1):
-            total = np.where((ids[0][:, begin] < 0) & (begin < lengths), beta[:, begin + 1] + UNKNOWN, -np.inf)
-            for size in range(1, MOST_CHARS + 1):
-                piece = ids[size - 1][:, begin]
-                has = np.flatnonzero(piece >= 0)
-                step = one.logs[piece[has], 0] + beta[has, begin + size]
-                total[has] = np.logaddexp(total[has], step)
-                np.add.at(counts, piece[has], weights[has] * np.exp(alpha[has, begin] + step - whole[has]))
-            beta[:, begin] = np.where(begin < lengths, total, beta[:, begin])
-        return counts
-
-
-def parts(word: str) -> list[str]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+    def _long(self, codes: np.ndarray, stretch: int) -> np.ndarray:
+        """The same for one word, in stretches: places hand their sums on to the ends of their pieces."""
+        n, reach = len(codes), self.table.longest
+        sums = np.full((stretch + reach + 1, len(self.languages)), -np.inf)
+        sums[0] = 0
+        for at in range(0, n, stretch):
+            part = codes[at : at + stretch + reach]
+            room = np.minimum(len(part) - np.arange(len(part)), reach)
+            room[stretch:] = 0
+            begin, size, piece = self.table.matches(part, room)
+            order = np.lexsort((size, begin))
+            begin, size, piece = begin[order], size[order], piece[order]
+            edges = np.searchsorted(begin, np.arange(min(stretch, n - at) + 1)).tolist()
+            for place, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                ends = place + size[x:y]
+                sums[ends] = np.logaddexp(sums[ends], sums[place] + self.logs[piece[x:y]])
+            if at + stretch >= n:
+                return sums[n - at]
+            sums[: reach + 1] = sums[stretch:].copy()
+            sums[reach + 1 :] = -np.inf
+        return sums[0]
 
 
 def fold_words(text: str) -> list[str]:
@@ -165,43 +252,41 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: tuple[str, ...], rounds:
         return None
     characters = {c for by_word in counts.values() for w in by_word for c in w}
     known = sorted({*vocabulary, *characters})
-    codes, _ = _matrix(known)
-    keys = np.zeros(len(known), dtype=np.uint64)
     sizes = np.array([len(p) for p in known])
-    for size in range(1, MOST_CHARS + 1):
-        chosen = sizes == size
-        keys[chosen] = _keys(codes[chosen], np.zeros((int(chosen.sum()), 1), dtype=np.int64), size)[:, 0]
-    order = np.argsort(keys)
-    start = np.full((len(known), len(languages)), 0.0)
-    start -= 3.0 * sizes[order][:, None] ** 0.5 + np.log(len(known))
-    model = Model(languages, keys[order], start)
+    start = -3.0 * sizes**0.5 - np.log(len(known))
+    model = Model(languages, PieceTable(known), np.repeat(start[:, None], len(languages), axis=1))
     for k, language in enumerate(languages):
         flat: dict[str, int] = {}
         for w, c in counts[language].items():
-            for part in parts(w):
+            for i in range(0, len(w), LEARN_CHARS):
+                part = w[i : i + LEARN_CHARS]
                 flat[part] = flat.get(part, 0) + c
-        codes, lengths = _matrix(list(flat))
-        ids, weights = model.ids(codes, lengths), np.array(list(flat.values()), dtype=float)
+        texts = sorted(flat, key=len)
+        weights = np.array([flat[t] for t in texts], dtype=float)
         for _ in range(rounds):
-            seen = model.expected(ids, lengths, weights, k) + PRIOR
-            model.logs[:, k] = np.log(seen / seen.sum())
+            seen = np.zeros(len(known) + 1)
+            for a, b in _batches(texts):
+                seen += Lattice(model.table, texts[a:b]).expected(model.logs[:, k], weights[a:b])
+            seen = seen[:-1] + PRIOR
+            model.logs[:-1, k] = np.log(seen / seen.sum())
     return model
 
 
-def sample_counts(df: DataFrame, id_column: str, text_column: str, lang_column: str, learn, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS) -> dict[str, dict[str, int]]:
+def sample_counts(df: DataFrame, id_column: str, text_column: str, lang_column: str, learn, most_rows: int = MOST_ROWS) -> dict[str, dict[str, int]]:
     """Word counts by language from the bounded sample of rows where learn holds.
 
-    The rows are chosen by id and language alone; only then are texts read."""
-    rows = df.where(learn & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(lang_column).alias("group"))
-    chosen = first_by_hash(rows, most_rows).select("id", F.col("group").alias("lang")).distinct()
+    The rows are chosen by id and language alone; only then are texts read, whole."""
+    rows = df.where(learn & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(lang_column).alias("group")).distinct()
+    chosen = first_by_hash(rows, most_rows).select("id", F.col("group").alias("lang"))
     texts = df.where(learn).select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("t")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
-    first = F.slice(F.split(F.regexp_replace(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x60\x7B-\x7F]+", " "), " "), 1, ROW_WORDS)
-    words_ = texts.select("lang", F.explode(first).alias("w")).where(F.col("w") != "").groupBy("lang", "w").agg(F.count("*").alias("n"))
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+    # of the copies of a row one is read, so that what is learned from is bounded as the rows are
+    texts = texts.groupBy("id", "lang").agg(F.min("t").alias("t"))
+    split = F.split(F.regexp_replace(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x60\x7B-\x7F]+", " "), " ")
+    counted = texts.select("lang", F.explode(split).alias("w")).where(F.col("w") != "").groupBy("lang", "w").agg(F.count("*").alias("n")).toArrow()
     out: dict[str, dict[str, int]] = {}
-    for r in words_.withColumn("place", top).where(F.col("place") <= most_words).toLocalIterator():
-        out.setdefault(r.lang, {})[r.w] = r.n
-    return out
+    for lang, w, n in zip(*(counted.column(c).to_pylist() for c in ("lang", "w", "n")), strict=True):
+        out.setdefault(lang, {})[w] = n
+    return {lang: dict(sorted(found.items())) for lang, found in out.items()}
 
 
 class Scorer:
@@ -227,11 +312,7 @@ class Scorer:
             starts, ends = found.starts[keep][first[new]], found.ends[keep][first[new]]
             text = part.buf.tobytes()
             texts = [text[a:b].translate(_LETTERS).decode("utf-8", "replace").replace(" ", "") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            split = [parts(t) for t in texts]
-            flat = np.concatenate([self.model.forward(chunk) for chunk in _chunks([p for row in split for p in row])] or [np.zeros((0, out.shape[1]))])
-            owner = np.repeat(np.arange(len(new)), [len(row) for row in split])
-            for k in range(out.shape[1]):
-                out[new, k] = np.bincount(owner, weights=flat[:, k], minlength=len(new))
+            out[new] = self.model.forward(texts)
             self._remember(distinct[new], out[new])
         return out[which]
 
@@ -261,12 +342,6 @@ class Scorer:
 _LETTERS = bytes(LOWER[b] if _FOLDED[b] and not 48 <= b <= 57 else 32 for b in range(256))
 
 
-def _chunks(items: list[str], size: int = 4096):
-    order = items
-    for i in range(0, len(order), size):
-        yield order[i : i + size]
-
-
 def _has_letter(part: Slice, found) -> np.ndarray:
     """Rows with an ASCII letter; of the others those where a character is a letter."""
     ascii_letter = np.zeros(256, dtype=bool)

@@ -457,26 +457,70 @@ def test_the_memory_of_chunks_is_bounded(monkeypatch, library):
 
 
 # -- 10 --------------------------------------------------------------------------
+def brute_word(model, known, word, k):
+    """The probability of a word by its last piece."""
+    sums = [1.0]
+    for end in range(1, len(word) + 1):
+        total = 0.0
+        for begin in range(end):
+            piece = word[begin:end]
+            if piece in known:
+                total += sums[begin] * math.exp(model.logs[known.index(piece), k])
+            elif len(piece) == 1:
+                total += sums[begin] * math.exp(language.UNKNOWN)
+        sums.append(total)
+    return sums[-1]
+
+
 def test_forward_sums_all_segmentations():
-    model = language.fit({"a": {"abab": 3, "ba": 2, "abc": 1}, "b": {"cc": 4, "abc": 2}}, ("ab", "ba", "abc", "bab"))
-    index = {int(k): i for i, k in enumerate(model.keys)}
+    vocabulary = ("ab", "ba", "abc", "bab", "abcabcabcabc")
+    model = language.fit({"a": {"abab": 3, "ba": 2, "abc": 1, "abcabcabcabc": 2}, "b": {"cc": 4, "abc": 2}}, vocabulary)
+    known = sorted({*vocabulary, *"abc"})
+    rng = np.random.default_rng(8)
+    texts = ["abab", "ababc", "zab", "cccccccc", "b", "", *("".join(rng.choice(list("abcz"), n)) for n in (3, 26, 33, 70)), "abc" * 20]
+    want = [[math.log(brute_word(model, known, w, k)) for k in range(2)] for w in texts]
+    for most, stretch in ((1 << 16, 1 << 12), (10, 1 << 12), (10, 7), (1, 1), (100, 30)):
+        assert np.allclose(model.forward(texts, most, stretch), want), (most, stretch)
+    assert np.allclose(np.exp(model.logs[:-1]).sum(axis=0), 1)
+
+
+def test_predictions_equal_brute_force(spark, make):
+    """Texts, words and pieces are longer than any buffer; each is scored whole."""
+    rng = np.random.default_rng(6)
+    stock = {"en": "the and of that with".split(), "fr": "le la de que et".split()}
+    text = lambda lang, n, glue: glue.join(rng.choice(stock[lang], n))
+    rows = [(i, text(lang, 30, " "), lang, "s") for i in range(60) for lang in ["en" if i % 2 else "fr"]]
+    rows += [(100, text("en", 40, ""), None, "s"), (101, text("fr", 2500, ""), None, "s"), (102, text("en", 9000, " ") + " " + text("fr", 9100, " "), None, "s"), (103, "the la of", None, "s")]
+    df = make(rows)
+    vocabulary = ("th", "the", "an", "and", "of", "that", "with", "le", "la", "qu", "que", "et", "andthatofthe")
+    model = language.learn_model(df, F.lit(True), vocabulary=vocabulary)
+    known = sorted({*vocabulary, *"".join(w for ws in stock.values() for w in ws)})
+    got = {r.doc_id: r for r in language.identify(df, model, [F.col("doc_id")], "doc_id bigint").collect()}
+    for i, t, _, _ in rows:
+        if i == 101:  # beyond the range of a product of probabilities
+            whole = model.forward([t])[0]
+        else:
+            each = Counter(t.split())
+            whole = [sum(n * math.log(brute_word(model, known, w, k)) for w, n in each.items()) for k in range(2)]
+        odds = math.exp(min(700.0, abs(whole[0] - whole[1]) / math.sqrt(max(1, len(t.split())))))
+        assert got[i].lang_pred == model.languages[int(np.argmax(whole))] and abs(got[i].score - odds / (1 + odds)) < 1e-9
+
+
+def test_language_learns_from_whole_rows(make):
+    """Words far into a row, long words and rare ones all take part; a copy of a row counts once."""
+    rows = [(1, "a " * 3000 + "zq " + "x" * 40, "en", "s"), (1, "a " * 3000 + "zq " + "x" * 40, "en", "s"), (3, " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)), "fr", "s")]
+    counts = language.sample_counts(make(rows), "doc_id", "text", "lang", F.lit(True))
+    assert counts["en"] == {"a": 3000, "zq": 1, "x" * 40: 1} and len(counts["fr"]) == 600
+    assert max(map(len, language.pieces())) > 6
+
+
+def test_language_ties_go_to_the_first():
+    model = language.fit({"b": {"ab": 1}, "a": {"ab": 1}}, ("ab",))
+    import pyarrow as pa
 
-    def brute(word, k):
-        if not word:
-            return 1.0
-        total = 0.0
-        for n in range(1, min(6, len(word)) + 1):
-            codes, _ = language._matrix([word[:n]])
-            key = int(language._keys(codes, np.zeros((1, 1), dtype=np.int64), n)[0, 0])
-            if key in index:
-                total += math.exp(model.logs[index[key], k]) * brute(word[n:], k)
-            elif n == 1:
-                total += math.exp(language.UNKNOWN) * brute(word[1:], k)
-        return total
-
-    for word in ("abab", "ababc", "zab", "cccccccc", "b"):
-        assert np.allclose(model.forward([word])[0], [math.log(brute(word, k)) for k in range(2)])
-    assert np.allclose(np.exp(model.logs).sum(axis=0), 1)
+    (part,) = slices(pa.array(["ab ab"]))
+    best, score = language.Scorer(model).rows(part)
+    assert model.languages[best[0]] == "a" and score[0] == 0.5
 
 
 def test_expectation_maximisation_never_loses_likelihood():
