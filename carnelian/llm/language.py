@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carnelian.llm.frames import broadcast, documents, first_by_hash, text_bytes
-from carnelian.llm.text import _FOLDED, LOWER, Slice, slices, words
+from carnelian.llm.text import _FOLDED, LOWER, PieceTable, Slice, byte_characters, codes_of, slices, words
 
 VOCABULARY = "word_bpe_49k.json"
 MOST_ROWS = 400
@@ -58,7 +58,7 @@ def pieces(name: str = VOCABULARY) -> tuple[str, ...]:
 
     with open(public_tokenizers.path(name), encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
-    byte_of = {c: b for b, c in _byte_characters().items()}
+    byte_of = {c: b for b, c in byte_characters().items()}
     out = set()
     for entry in vocabulary:
         raw = entry.removesuffix("</w>")
@@ -71,73 +71,6 @@ def pieces(name: str = VOCABULARY) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
-def _byte_characters() -> dict[int, str]:
-    """The printable character that byte-level vocabularies write for each byte:
-    itself where Latin-1 prints it, else the next free one from U+0100."""
-    printed = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in set(printed)]
-    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-def _grow(key: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The keys of strings that are longer by one character each."""
-    key = (key ^ codes.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return key ^ (key >> np.uint64(29))
-
-
-def _codes(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-
-
-class PieceTable:
-    """The beginnings of all pieces by key, with the number of the piece where one ends."""
-
-    def __init__(self, known: list[str]):
-        self.n, self.longest = len(known), max(map(len, known), default=1)
-        lengths = np.array([len(p) for p in known], dtype=np.int64)
-        codes, first = _codes(known), np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        key, alive = np.zeros(self.n, dtype=np.uint64), np.arange(self.n)
-        keys, pieces = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-        for size in range(1, self.longest + 1):
-            alive = alive[lengths[alive] >= size]
-            key[alive] = _grow(key[alive], codes[first[alive] + size - 1])
-            keys.append(key[alive])
-            pieces.append(np.where(lengths[alive] == size, alive, -1))
-        # of equal keys the piece, if there is one
-        all_keys, all_pieces = np.concatenate(keys), np.concatenate(pieces)
-        order = np.lexsort((-all_pieces, all_keys))
-        new = np.concatenate([[True], all_keys[order][1:] != all_keys[order][:-1]]) if len(order) else np.zeros(0, dtype=bool)
-        self.keys, self.pieces = all_keys[order][new], all_pieces[order][new]
-
-    def matches(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, size, piece) of every piece in the codes; room: how many characters a place may use.
-
-        A character that is no piece counts as the piece after the last."""
-        begins, sizes, pieces = [], [], []
-        alive = np.flatnonzero(room > 0)
-        key = np.zeros(len(alive), dtype=np.uint64)
-        for size in range(1, self.longest + 1):
-            if size > 1:
-                fits = room[alive] >= size
-                alive, key = alive[fits], key[fits]
-            if not len(alive):
-                break
-            key = _grow(key, codes[alive + size - 1])
-            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-            known = self.keys[at] == key if len(self.keys) else np.zeros(len(at), dtype=bool)
-            piece = np.where(known, self.pieces[at] if len(self.keys) else -1, -1)
-            if size == 1:
-                piece = np.where(piece < 0, self.n, piece)
-            found = piece >= 0
-            begins.append(alive[found])
-            sizes.append(np.full(int(found.sum()), size))
-            pieces.append(piece[found])
-            alive, key = alive[known], key[known]
-        if not begins:
-            return (np.zeros(0, dtype=np.int64),) * 3
-        return np.concatenate(begins), np.concatenate(sizes), np.concatenate(pieces)
-
-
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log of the sum of exp of the runs of rows that begin at starts."""
     top = np.maximum.reduceat(values, starts, axis=0)
@@ -152,7 +85,7 @@ class Lattice:
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         room = np.repeat(first + self.lengths, self.lengths) - np.arange(int(self.lengths.sum()))
-        begin, size, self.piece = table.matches(_codes(texts), room)
+        begin, size, self.piece = table.matches(codes_of(texts), room)
         word = np.searchsorted(first + self.lengths, begin, side="right")
         self.first, self.last = first + np.arange(len(texts)), first + np.arange(len(texts)) + self.lengths
         self.begin, self.end = begin + word, begin + word + size
@@ -215,7 +148,7 @@ class Model:
             out[order[a:b]] = lattice.forward(self.logs)[lattice.last]
         for i, t in enumerate(texts):
             if len(t) > stretch:
-                out[i] = self._long(_codes([t]), stretch)
+                out[i] = self._long(codes_of([t]), stretch)
         return out
 
     def _long(self, codes: np.ndarray, stretch: int) -> np.ndarray:

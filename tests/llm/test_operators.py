@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -434,18 +435,49 @@ def test_counts_equal_the_library(make, corpus, nothing, library):
     for i, text in enumerate(texts):
         n = len(library.encode(text or "", add_special_tokens=False))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((text or "").encode()), n, n > 50)
-    assert token_counts.count_tokens(nothing).count() == 0
+        kept = (text or "").encode()[: got[i].limit_bytes].decode()
+        assert len(library.encode(kept, add_special_tokens=False)) == min(n, 50)
+        assert kept == (text or "") or len(library.encode(text[: len(kept) + 1], add_special_tokens=False)) > 50
+    assert token_counts.count_tokens(nothing).count() == 0 and token_counts.prefix_counts(nothing).count() == 0
+
+
+def test_the_programme_counts_every_prefix(library):
+    """Random texts of words, marks, jamo, odd spaces and special strings; short, and longer than a batch takes."""
+    rng = random.Random(3)
+    stock = ["abcdefghijklmnopqrstuvwxyz", "ABCdef'strevml !?.,-_", "0123", "éèßöüÄñ²ªºÉ", "日本語テスト", "e\u0301\u0300a\u0308", "กข\u0e47ค", "\x00\x1c\x7f\u00a0\u3000\x85", "İıſKΣς", "🙂👍🏽", "한ᄒ\u1161\u11ab", "don't we'll it's 've"]
+    count = token_counts.counter(token_counts.vocabulary_path())
+    seen = unstable = 0
+    for i in range(1500):
+        parts = ["".join(rng.choice(p) for _ in range(rng.randint(1, 6))) for p in rng.choices(stock, k=rng.randint(1, 4))]
+        if i % 10 == 0:
+            parts.insert(rng.randint(0, len(parts)), rng.choice(["<|endoftext|>", "<|startoftext|>", "<|endof"]))
+        if i % 100 == 0:
+            parts.append("".join(rng.choice("abcthe") for _ in range(300)))
+        for chunk in "".join(parts).encode().split():
+            text = chunk.decode()
+            want = [0, *(len(e) for e in library.encode_batch([text[:n] for n in range(1, len(text) + 1)], add_special_tokens=False))]
+            rows = count.programme([text])[0]
+            assert rows is None or rows == want, text
+            assert list(count.of([chunk])[0]) == want, text
+            seen, unstable = seen + 1, unstable + (rows is None)
+    assert unstable < 0.01 * seen
+
+
+def test_stored_counts_are_those_of_every_prefix(make, library):
+    texts = [*TOKENS, None, "", " \n a", "a b\t"]
+    got = {r.doc_id: r.counts for r in token_counts.prefix_counts(make([(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == [len(library.encode((text or "")[:n], add_special_tokens=False)) for n in range(len(text or "") + 1)]
 
 
 def test_prefix_tables_answer_every_prefix_and_budget(library):
     for text in TOKENS[:4] + ["", None]:
-        table = token_counts.PrefixTable(text)
         text = (text or "")[:60]
-        table = token_counts.PrefixTable(text)
+        table = token_counts.PrefixTable.of(text)
         counts = [len(library.encode(text[:i], add_special_tokens=False)) for i in range(len(text) + 1)]
         assert [table.count(len(text[:i].encode())) for i in range(len(text) + 1)] == counts
         for budget in range(max(counts) + 2):
-            assert len(library.encode(table.cut(budget).decode(), add_special_tokens=False)) <= budget
+            assert len(library.encode(table.data[: table.cut(budget)].decode(), add_special_tokens=False)) <= budget
 
 
 def test_the_memory_of_chunks_is_bounded(monkeypatch, library):
@@ -453,7 +485,7 @@ def test_the_memory_of_chunks_is_bounded(monkeypatch, library):
     counter = token_counts.Counter(token_counts.vocabulary_path())
     for text in ("a bb ccc", "dddd ee f gg", "a bb h i j k l m n", "x" * 100 + " a"):
         chunks = text.encode().split()
-        assert sum(counter.of(chunks)) == len(library.encode(text, add_special_tokens=False)) and len(counter.memo) <= 5
+        assert sum(rows[-1] for rows in counter.of(chunks)) == len(library.encode(text, add_special_tokens=False)) and len(counter.memo) <= 5 and len(counter.words) <= 5
 
 
 # -- 10 --------------------------------------------------------------------------
