@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnelian.llm.frames import documents, stored, text_bytes
+from carnelian.llm.frames import documents, fresh, stored, text_bytes
 from carnelian.llm.text import member, mix, ngrams, sequence_hashes, slices, to_signed, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -329,12 +329,12 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, target: float = TARGET_RECALL, node_rows: int = NODE_ROWS) -> DataFrame:
     """df with one row of each class: that with the smallest id.  Of equal rows
     one stays; rows without an id, which nothing tells apart, all stay."""
+    id_, key_ = fresh(df, "_id", "_key")
     found = stored(_classified(df, id_column, text_column, similarity, target, node_rows))
-    gone = found.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    key = F.xxhash64(df[text_column])
-    same = (df[id_column] == F.col("_id")) & (key == F.col("_key"))
+    gone = found.where(F.col("id") != F.col("class_id")).select(F.col("id").alias(id_), F.col("key").alias(key_)).distinct()
+    same = (df[id_column] == F.col(id_)) & (F.xxhash64(df[text_column]) == F.col(key_))
     kept = df.join(gone, same, "left_anti")
-    again = stored(found.where(F.col("id") == F.col("class_id")).groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    again = stored(found.where(F.col("id") == F.col("class_id")).groupBy(F.col("id").alias(id_), F.col("key").alias(key_)).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     if again.isEmpty():
         return kept
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_column]))

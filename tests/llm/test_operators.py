@@ -351,6 +351,50 @@ def test_secrets_equal_a_scan(make, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_keys_beside_base_spans(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 3, 40, 300):
+        base = sorted({(a, rng.randrange(3), a + rng.randint(1, 30)) for a in (rng.randrange(20 * n + 1) for _ in range(n))})
+        starts = sorted(rng.sample(range(20 * n + 1), n))
+        keys = [(a, 3, min(a + rng.randint(1, 25), b)) for a, b in zip(starts, [*starts[1:], 10**6])]
+        want = sorted(base + [k for k in keys if not any(k[0] < b[2] and b[0] < k[2] for b in base)])
+        kind = "array<struct<start: int, kind: int, stop: int, value: bigint>>"
+        df = spark.createDataFrame([([(*x, 7) for x in base], [(*x, 7) for x in keys])], f"base {kind}, keys {kind}")
+        got = df.select(secrets.beside(F.col("base"), F.col("keys")).alias("x")).first().x
+        assert [(x.start, x.kind, x.stop) for x in got] == want
+
+
+def test_a_long_text_of_secrets(make):
+    """Some megabytes with a match every few words: found and masked whole."""
+    words_ = [f"token=aB{i:07d}xYz é" if i % 2 else f"Qw3rTy8uIo9pAsD2fGh{i:07d} AKIA{'Z' * 20}" for i in range(20_000)]
+    text = " ".join(words_)
+    df = make([(1, text, "en", "s0"), (2, "none", "en", "s1")])
+    row = secrets.find_secrets(df).where("id = 1").first()
+    assert [(s.start, s.kind, s.stop) for s in row.base] == brute_secrets(text) and len(row.spans) > len(row.base)
+    masked = secrets.mask_secrets(df).where("doc_id = 1").first().text
+    assert masked == re.sub(r"token=\w+|Qw3r\w+|AKIAZ+", lambda m: secrets.MASK, text)
+
+
+def test_repositories_of_one_owner_count(make):
+    key = "password=Zx81aQw3rTy8"
+    rows = [(i, f"a {key} b", f"l{i}", "s0") for i in range(5)] + [(9, "password=owned123 c", "l0", "s0"), (10, "password=owned123 d", "l1", "s0")]
+    live = {r.id: len(r.live) for r in secrets.find_secrets(make(rows)).collect()}
+    assert live == {**dict.fromkeys(range(5), 0), 9: 1, 10: 1}
+    # one repository for all: nothing but owners decides
+    live = {r.id: len(r.live) for r in secrets.find_secrets(make(rows), repository=F.lit("r")).collect()}
+    assert set(live.values()) == {1}
+    # two owners
+    live = {r.id: len(r.live) for r in secrets.find_secrets(make(rows), owner="lang", repository=F.lit("r")).collect()}
+    assert set(live.values()) == {0}
+
+
+def test_internal_names_may_be_columns(docs):
+    clash = docs.withColumns({n: F.lit(1) for n in ("live", "_id", "_row", "_live", "_key", "_text", "row", "n", "key", "_runs", "class_id")})
+    assert secrets.mask_secrets(clash).columns == clash.columns and secrets.mask_secrets(clash).count() == docs.count()
+    assert near_duplicates.keep_one(clash).columns == clash.columns
+    assert near_duplicates.keep_one(clash).count() == near_duplicates.keep_one(docs).count()
+
+
 def test_widely_held_values_are_examples(make):
     key = "token=Zx81aQw3rTy8uIo9pAsD2fGh"
     df = make([(i, f"a {key} b", None, f"s{i}") for i in range(4)] + [(9, "token=owned123", None, None), (9, "token=owned123", None, None)])
