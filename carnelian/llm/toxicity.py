@@ -15,7 +15,9 @@ query sums the postings of its other terms, adds the maxima of the common ones
 to an upper bound for each range, visits spans of ranges by falling bound, and
 skips those whose bound is below the k-th best cosine: the neighbours are exact.
 Queries go through in batches.  They vote with weights
-1 / (distance + SOFT); an isotonic fit of leave-one-out votes on the examples,
+1 / (distance + SOFT).  How many of them vote is the number, of those tried, with
+which leave-one-out votes on the examples part the classes best (by the area
+under the curve; of equals the smallest).  An isotonic fit of leave-one-out votes on the examples,
 weighted to the classes' shares in all labels, turns votes into probabilities.
 The neighbours' ids and cosines are the evidence.
 
@@ -43,7 +45,8 @@ from carnelian.llm.text import HashSet, prefixes, slices, words
 MOST_EXAMPLES = 4_000
 #: Bytes of the beginnings of words that are terms.
 BEGINNINGS = range(4, 11)
-NEIGHBOURS = 12
+#: Numbers of neighbours that are tried.
+NEIGHBOURS = (12, 25, 50, 100, 200)
 BLOCK = 64
 #: Blocks that are visited at a time, and queries in a batch.
 SPAN, BATCH = 8, 32
@@ -164,12 +167,22 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
 
 
+def area_under(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The chance that a positive has a greater x than a negative, by weight; a half where x is equal."""
+    levels, which = np.unique(x, return_inverse=True)
+    pos, neg = (np.bincount(which, weights=w * (y == c), minlength=len(levels)) for c in (1, 0))
+    both = pos.sum() * neg.sum()
+    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / both) if both else 0.0
+
+
 class Model:
     """The index over a vocabulary of term hashes, its votes and their calibration."""
 
-    def __init__(self, vocabulary: HashSet, idf: np.ndarray, examples: list[tuple], shares: dict[int, float], k: int = NEIGHBOURS):
+    def __init__(self, vocabulary: HashSet, idf: np.ndarray, examples: list[tuple], shares: dict[int, float], k: int | tuple = NEIGHBOURS):
         """examples: (id, toxic, term numbers, counts); shares: of the classes in all labels."""
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
+        self.vocabulary, self.idf = vocabulary, idf
+        tried = (k,) if isinstance(k, int) else k
+        self.k = tried[0]
         n_of = {c: sum(1 for e in examples if e[1] == c) for c in (0, 1)}
         scale = {c: shares.get(c, 0.0) / n_of[c] if n_of[c] else 0.0 for c in (0, 1)}
         entries: dict[bytes, list] = defaultdict(lambda: [0.0, 0.0, []])
@@ -197,21 +210,29 @@ class Model:
         own = self.mass[[e for e, _ in asked]] if asked else np.zeros((0, 2))
         for left, (_, toxic) in zip(own, asked, strict=True):
             left[toxic] -= scale[toxic]
-        x = np.array([v for v, _ in self._votes([ordered[e] for e, _ in asked], [e for e, _ in asked], own)])
         y, w = np.array([toxic for _, toxic in asked], dtype=float), np.array([self.mass[e, toxic] for e, toxic in asked])
-        self.knots, self.levels = isotonic(x, y, w) if asked else (np.zeros(0), np.zeros(0))
-
-    def _votes(self, queries: list[tuple], without: list[int] | None = None, own=None) -> list[tuple[float, list]]:
-        """For each query, the share of toxic weight among its neighbours, and the nearest; own: what is left of the entries that are asked about."""
-        out = []
-        for i, (at, cosine) in enumerate(self.index.nearest_of(queries, self.k, without)):
-            pull = 1 / (np.maximum(0.0, 1 - cosine) + SOFT)
-            mass = (self.mass[at] * pull[:, None]).sum(axis=0) if len(at) else np.zeros(2)
-            if own is not None:
-                mass = mass + np.maximum(own[i], 0) / SOFT
-            vote = (mass[1] + 1e-9 * self.prior) / (mass.sum() + 1e-9)
-            out.append((float(vote), [(self.names[a], float(c)) for a, c in zip(at[:3].tolist(), cosine[:3].tolist(), strict=True)]))
-        return out
+        near = self.index.nearest_of([ordered[e] for e, _ in asked], max(tried), [e for e, _ in asked]) if asked else []
+        best = -1.0
+        self.knots, self.levels = np.zeros(0), np.zeros(0)
+        for n in tried if asked else ():
+            x = np.array([self._vote(at[:n], cosine[:n], left) for (at, cosine), left in zip(near, own, strict=True)])
+            parted = area_under(x, y, w)
+            if parted > best + 1e-9:
+                best, self.k = parted, n
+                self.knots, self.levels = isotonic(x, y, w)
+
+    def _vote(self, at: np.ndarray, cosine: np.ndarray, left: np.ndarray | None = None) -> float:
+        """The share of toxic weight among neighbours; left: what is left of the entry itself."""
+        pull = 1 / (np.maximum(0.0, 1 - cosine) + SOFT)
+        mass = (self.mass[at] * pull[:, None]).sum(axis=0) if len(at) else np.zeros(2)
+        if left is not None:
+            mass = mass + np.maximum(left, 0) / SOFT
+        return float((mass[1] + 1e-9 * self.prior) / (mass.sum() + 1e-9))
+
+    def _votes(self, queries: list[tuple]) -> list[tuple[float, list]]:
+        """For each query, the share of toxic weight among its neighbours, and the nearest."""
+        found = self.index.nearest_of(queries, self.k)
+        return [(self._vote(at, cosine), [(self.names[a], float(c)) for a, c in zip(at[:3].tolist(), cosine[:3].tolist(), strict=True)]) for at, cosine in found]
 
     def score(self, rows: list[tuple[np.ndarray, np.ndarray, float]]) -> list[tuple[float, list]]:
         """(probability, evidence) for each row's term numbers, their counts, and its unknown terms (see weights_of)."""
