@@ -2,7 +2,8 @@
 
 Every source has a weight and a target in words; targets stop at CAP times what
 the source holds, and what is above is shared out again by weight.  The mix is
-a whole number of equal blocks of BLOCK words.  Blocks go to sources one at a
+a whole number of equal blocks of BLOCK words, but that the last block which a
+limit allows may be short.  Blocks go to sources one at a
 time by the highest quotient target / (2 * blocks + 1); within a source, the
 blocks go to its shards by the same rule on the shards' sizes.  A shard is laid
 end to end in an order seeded by document; its quota is the blocks from the
@@ -36,7 +37,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the query's mix.
 WEIGHTS, SHARE, CAP = (3, 1, 2), Fraction(3, 2), 2
 BLOCK = 8
-SHARD_WORDS, MOST_SHARDS = 200_000, 1024
+#: Words of a shard; a source has at most so many shards, which grow beyond that.
+SHARD_WORDS, MOST_SHARDS = 200_000, 1 << 16
+#: Most rows of a table (a row a source, or a shard) that is broadcast.
+MOST_BROADCAST = 200_000
 SEED = 20240229
 
 
@@ -106,8 +110,8 @@ def plan(totals: list[tuple], weights: tuple = WEIGHTS, share: Fraction = SHARE,
     sizes = [n for _, n in totals]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), cap)
     total = sum(goal)
-    seats = int(total / block + Fraction(1, 2))
-    blocks = sainte_lague(seats, goal, [cap * n // block for n in sizes])
+    seats = max(int(total / block + Fraction(1, 2)), min(1, math.ceil(total)))
+    blocks = sainte_lague(seats, goal, [-(-cap * n // block) for n in sizes])
     shards = [min(MOST_SHARDS, max(1, n // SHARD_WORDS)) for n in sizes]
     return [(name, n, float(t), b, s) for (name, n), t, b, s in zip(totals, goal, blocks, shards, strict=True)]
 
@@ -117,8 +121,8 @@ def _quotas(block: int, cap: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
-        held = sainte_lague(int(rows["blocks"].iloc[0]), rows["words"].tolist(), [cap * int(w) // block for w in rows["words"]])
-        return pd.DataFrame({"source_key": rows["source_key"].to_numpy(), "shard": rows["shard"].to_numpy(), "shard_words": rows["words"].to_numpy(), "quota": [h * block for h in held]})
+        held = sainte_lague(int(rows["blocks"].iloc[0]), rows["words"].tolist(), [-(-cap * int(w) // block) for w in rows["words"]])
+        return pd.DataFrame({"source_key": rows["source_key"].to_numpy(), "shard": rows["shard"].to_numpy(), "shard_words": rows["words"].to_numpy(), "quota": [min(h * block, cap * int(w)) for h, w in zip(held, rows["words"], strict=True)]})
 
     return run
 
@@ -132,14 +136,14 @@ def mix_sources(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     table = [(i, *row) for i, row in enumerate(plan(totals, weights, share, cap, block))]
     sources = spark.createDataFrame(table, "source_key int, source_name string, source_size bigint, target double, blocks bigint, shards int")
     # a row for each source
-    placed = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("source_name"))).withColumn("shard", F.pmod(F.xxhash64("turn"), F.col("shards")).cast("int"))
+    sources = F.broadcast(sources) if len(table) <= MOST_BROADCAST else sources
+    placed = rows.join(sources, F.col("source").eqNullSafe(F.col("source_name"))).withColumn("shard", F.pmod(F.xxhash64("turn"), F.col("shards")).cast("int"))
     words = placed.groupBy("source_key", "shard", "blocks").agg(F.sum("size").alias("words"))
     quotas = words.groupBy("source_key").applyInPandas(_quotas(block, cap), "source_key int, shard int, shard_words bigint, quota bigint")
     order = Window.partitionBy("source_key", "shard").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     known = stored(quotas.withColumnsRenamed({"source_key": "k", "shard": "s"}))
-    at_most = MOST_SHARDS * len(table)  # rows of the quotas
-    known = F.broadcast(known) if at_most <= 1_000_000 else known
+    known = F.broadcast(known) if sum(row[-1] for row in table) <= MOST_BROADCAST else known
     out = laid.join(known, (F.col("source_key") == F.col("k")) & (F.col("shard") == F.col("s")), "left")
     around = F.floor(F.col("quota") / F.greatest(F.col("shard_words"), F.lit(1)))
     rest = F.col("quota") - around * F.col("shard_words")
