@@ -91,11 +91,24 @@ class SuffixAutomaton:
                 matched = 0
             yield state, matched
 
-    def holding(self, state: int, size: int) -> int:
-        """The state that holds the suffix of that size of the state's strings."""
-        while self.length[self.link[state]] >= size:
-            state = self.link[state]
-        return state
+    def windows(self, sequence, window: int):
+        """(state, longest matching length up to window) after each symbol.
+
+        The state is that of the match itself, not of a longer one that ends there, so a step climbs few links."""
+        moves, link, length = self.next, self.link, self.length
+        state = matched = 0
+        for symbol in sequence:
+            while state and symbol not in moves[state]:
+                state = link[state]
+                matched = length[state]
+            if symbol in moves[state]:
+                state = moves[state][symbol]
+                matched = min(matched + 1, window)
+                while length[link[state]] >= matched:
+                    state = link[state]
+            else:
+                matched = 0
+            yield state, matched
 
 
 class Benchmark:
@@ -119,13 +132,12 @@ class Benchmark:
                 self.automaton.add(kept[-1][1])
         for name, sequence in kept:
             size = min(window, len(sequence))
-            for state, matched in self.automaton.stream(sequence):
-                if matched >= size:
-                    held = self.automaton.holding(state, size)
+            for state, matched in self.automaton.windows(sequence, size):
+                if matched == size:
                     if size == window:
-                        self.at[held].add(name)
+                        self.at[state].add(name)
                     else:
-                        self.short[held].add((size, name))
+                        self.short[state].add((size, name))
         self.at, self.short, self.single = dict(self.at), dict(self.short), dict(self.single)
         self.pairs = HashSet(np.concatenate(pairs) if pairs else np.zeros(0, dtype=np.uint64))
         self.ones = HashSet(np.array(sorted(self.single), dtype=np.uint64), 12)
@@ -134,12 +146,10 @@ class Benchmark:
     def _walk(self, sequence: list[int]) -> tuple[list[tuple[int, int]], set]:
         hits, items, window = [], set(), self.window
         automaton, at, short = self.automaton, self.at, self.short
-        for i, (state, matched) in enumerate(automaton.stream(sequence)):
-            if matched >= window:
-                held = automaton.holding(state, window)
-                if held in at:
-                    hits.append((i - window + 1, i + 1))
-                    items |= at[held]
+        for i, (state, matched) in enumerate(automaton.windows(sequence, window)):
+            if matched == window and state in at:
+                hits.append((i - window + 1, i + 1))
+                items |= at[state]
             if short:
                 up = state
                 while up > 0:
