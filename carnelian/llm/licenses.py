@@ -3,10 +3,14 @@
 A notice of k allowed edits is split into k+1 pieces; an occurrence with at most
 k edits holds one piece unchanged (pigeonhole), so exact search for the pieces
 finds every candidate place.  The regex library's bounded-error matching then
-verifies the stretch around it and gives the edits and the span.
+verifies the stretch around it and gives the edits (in code points) and the span.
 
 Texts are searched as folded words joined by single spaces, so punctuation,
-case and line breaks never count as edits.
+ASCII case and line breaks never count as edits.  A match begins and ends with
+whole words, and holds every word of up to SHORT characters of its notice as it
+is, since an edit there makes another word (nc, nd, all, mit).  Of matches that
+overlap, of any notices, the one with the fewest edits stays, then the longest,
+then the first, so a notice never stands for a variant that is listed itself.
 
 Defined cases: a null, empty or wordless text has no places, null first and
 last word, empty labels and score 0.  Repeated rows come out repeated.
@@ -14,8 +18,11 @@ last word, empty labels and score 0.  Repeated rows come out repeated.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +49,11 @@ NOTICES = (
     ("mpl", "subject to the terms of the mozilla public license"),
     ("cc-by", "creative commons attribution"),
     ("cc-by", "licensed under cc by"),
+    ("cc-by-sa", "licensed under cc by sa"),
+    ("cc-by-nd", "licensed under cc by nd"),
     ("cc-by-nc", "licensed under cc by nc"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd"),
     ("cc0", "waived all copyright and related or neighboring rights"),
     ("unlicense", "free and unencumbered software released into the public domain"),
     ("reserved", "all rights reserved"),
@@ -50,6 +61,8 @@ NOTICES = (
 )
 #: One edit is allowed for so many characters of a notice, and so many at most.
 CHARS_AN_EDIT, MOST_EDITS = 12, 4
+#: Words of so many characters must stand as they are.
+SHORT = 3
 
 
 class Notice:
@@ -57,27 +70,35 @@ class Notice:
         self.label, self.words = label, words
         self.edits = min(MOST_EDITS, max(1, len(words) // CHARS_AN_EDIT))
         cuts = [len(words) * i // (self.edits + 1) for i in range(self.edits + 2)]
-        self.seeds = [(words[a:b].encode(), a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(rf"(?:{regex.escape(words)}){{e<={self.edits}}}".encode(), regex.BESTMATCH)
+        self.seeds = [(words[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.short = Counter(w for w in words.split() if len(w) <= SHORT)
+        self.pattern = regex.compile(rf"(?<= )(?:{regex.escape(words)}){{e<={self.edits}}}(?= )", regex.BESTMATCH)
 
-    def matches(self, joined: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) in the joined words; of matches that overlap the best, then the first."""
+    def matches(self, joined: str) -> set[tuple[int, int, int]]:
+        """(edits, start, end) in the joined words, which have a space at either end."""
         around = set()
         for seed, offset in self.seeds:
             at = joined.find(seed)
             while at >= 0:
-                around.add(max(0, at - offset - self.edits))
+                around.add(max(1, at - offset - self.edits))
                 at = joined.find(seed, at + 1)
         found = set()
         for begin in around:
-            m = self.pattern.search(joined, begin, begin + len(self.words) + 3 * self.edits)
-            if m:
-                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
-        kept: list[tuple[int, int, int]] = []
-        for edits, start, end in sorted(found):
-            if all(end <= a or start >= b for a, b, _ in kept):
-                kept.append((start, end, edits))
-        return sorted(kept)
+            m = self.pattern.search(joined, begin, begin + len(self.words) + 3 * self.edits + 1)
+            if m and not (self.short - Counter(m.group().split())):
+                found.add((sum(m.fuzzy_counts), *m.span()))
+        return found
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of (edits, -length, start, end, ...) those that overlap no better one, by start."""
+    kept: list[tuple[int, int, tuple]] = []
+    for x in sorted(found):
+        start, end = x[2], x[3]
+        k = bisect_right(kept, (start, 1 << 62))
+        if (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or kept[k][0] >= end):
+            kept.insert(k, (start, end, x))
+    return [x for _, _, x in kept]
 
 
 @lru_cache(maxsize=4)
@@ -86,11 +107,11 @@ def notices(table: tuple = NOTICES) -> tuple[Notice, ...]:
 
 
 def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
-    """Word numbers at which the phrase's words stand; joined has a space at either end."""
+    """Places at which the phrase's words stand; joined has a space at either end."""
     needle, out = b" " + phrase + b" ", []
     at = joined.find(needle)
     while at >= 0:
-        out.append(joined.count(b" ", 0, at))
+        out.append(at)
         at = joined.find(needle, at + 1)
     return out
 
@@ -102,14 +123,18 @@ def scan_text(text: bytes, table: tuple[Notice, ...]) -> dict:
     base: dict[str, list[int]] = {}
     for phrase, label in PHRASES.items():
         if places := phrase_places(joined, phrase.encode()):
-            base.setdefault(label, []).extend(places)
+            # the number of a word is the number of spaces before it
+            gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+            base.setdefault(label, []).extend(np.searchsorted(gaps, places).tolist())
     spans, best = [], 1.0 if base else 0.0
-    for notice in table:
-        for start, end, edits in notice.matches(joined):
-            first = joined.count(b" ", 0, start + 1) - (joined[start : start + 1] != b" ") if start else 0
-            last = joined.count(b" ", 0, end) - 1 - (joined[end - 1 : end] == b" ")
-            spans.append({"label": notice.label, "first_word": max(0, first), "last_word": max(0, min(last, len(tokens) - 1)), "edits": edits})
-            best = max(best, 1 - edits / len(notice.words))
+    wide = joined.decode("utf-8", "replace")
+    found = [(edits, start - end, start, end, k) for k, notice in enumerate(table) for edits, start, end in notice.matches(wide)]
+    if found:
+        gaps = np.flatnonzero(np.frombuffer(wide.encode("utf-32-le"), dtype=np.uint32) == 32)
+        for edits, _, start, end, k in apart(found):
+            first, last = (int(x) - 1 for x in np.searchsorted(gaps, (start, end - 1), side="right"))
+            spans.append({"label": table[k].label, "first_word": first, "last_word": last, "edits": edits})
+            best = max(best, 1 - edits / len(table[k].words))
     return {"n_words": len(tokens), "base": base, "spans": spans, "score": best}
 
 

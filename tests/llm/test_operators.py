@@ -200,19 +200,57 @@ def test_license_places_and_fuzzy_labels(make, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
-def test_pigeonhole_finds_every_bounded_match():
-    import random
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
 
+def test_fuzzy_spans_equal_brute_force():
+    """A notice is found if and only if whole words are near enough, at random edits in code points."""
     rng = random.Random(4)
-    notice = licenses.Notice("x", "released under the mit license")
-    for _ in range(200):
-        text = list(notice.words)
-        for _ in range(rng.randint(0, notice.edits)):
-            k = rng.randrange(len(text))
-            kind = rng.randrange(3)
-            text[k : k + (kind != 1)] = [] if kind == 0 else [rng.choice("abc")] if kind == 2 else [rng.choice("abc")]
-        joined = (" some words " + "".join(text) + " more words ").encode()
-        assert notice.matches(joined) and notice.matches(joined)[0][2] <= notice.edits
+    for words_ in ("released under the mit license", "all rights reserved", "gnu lesser general public license"):
+        notice = licenses.Notice("x", words_)
+        for _ in range(150):
+            text = list(words_)
+            for _ in range(rng.randint(0, notice.edits + 1)):
+                k = rng.randrange(len(text))
+                kind = rng.randrange(3)
+                text[k : k + (kind != 1)] = [] if kind == 0 else [rng.choice("abé ")]
+            tokens = ("some words " + "".join(text) + " more").split()
+            joined = " " + " ".join(tokens) + " "
+            spans = [" ".join(tokens[i:j]) for i in range(len(tokens)) for j in range(i + 1, len(tokens) + 1)]
+            near = [(distance(words_, t), t) for t in spans if abs(len(t) - len(words_)) <= notice.edits]
+            best, span = min(near, default=(99, ""))
+            got = notice.matches(joined)
+            for edits, start, end in got:
+                assert distance(words_, joined[start:end]) <= edits <= notice.edits and joined[start - 1] == joined[end] == " "
+            if best <= notice.edits and not notice.short - Counter(span.split()):
+                assert min(got)[0] == best, joined
+
+
+def test_variants_and_parts_of_words_are_told_apart(make):
+    texts = ["licensed under cc by nd", "licensed under cc by nc sa", "call rights reserved", "undér thé mit license relaesed undér the mit license", "licensed under cc by", "licenced under cc by nc"]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(make([(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(6)] == ["cc-by,cc-by-nd", "cc-by,cc-by-nc-sa", "", "", "cc-by", "cc-by,cc-by-nc"]
+    edited = licenses.scan_text("rélessed under the mit licensé now".encode(), licenses.notices())
+    assert edited["spans"] == [] and licenses.scan_text("réleased under the mit licensé now".encode(), licenses.notices())["spans"][0] == {"label": "mit", "first_word": 0, "last_word": 4, "edits": 2}
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    table, spent = licenses.notices(), []
+    for n in (2_000, 16_000):
+        text = ("all rights reserved released undr the mit license " * n).encode()
+        begin = time.perf_counter()
+        found = licenses.scan_text(text, table)
+        spent.append(time.perf_counter() - begin)
+        assert len(found["base"]["reserved"]) == n and len(found["spans"]) == 2 * n
+    assert spent[1] < 20 * spent[0]
 
 
 # -- 4 ---------------------------------------------------------------------------
