@@ -85,8 +85,31 @@ def test_one_of_each_group_stays(docs, nothing):
 
 
 def test_depth_meets_the_target_recall():
-    d = near_duplicates.matched_depth(0.8, 0.999)
-    assert 1 - (1 - 0.8**d) ** near_duplicates.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** near_duplicates.TREES
+    d = near_duplicates.closing_depth(0.8, 0.999)
+    recall = lambda n: 1 - (1 - 0.8**n) ** near_duplicates.TREES
+    assert 1 / (1 + near_duplicates.unmet(0.8, d)) >= 0.999 > 1 / (1 + near_duplicates.unmet(0.8, d + 1))
+    assert abs(1 / (1 + near_duplicates.unmet(0.8, d)) - recall(d)) < 1e-12
+
+
+def test_prefixes_are_shortened_as_far_as_each_class_needs(spark, make):
+    """A class with many close partners ends at full depth, one without any at the closing
+    depth; with a target that no depth above has, classes near the threshold go on."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    copies = [" ".join([*base[:199], f"end{i}"]) for i in range(40)]
+    far = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    pair = [" ".join(far), " ".join([*far[:178], *[f"u{k}" for k in range(22)]])]
+    df = make([(i, t, "en", "s") for i, t in enumerate(copies + pair)])
+    rows = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    stand = rows.mapInArrow(near_duplicates._sign, "id bigint, key bigint, node binary, full boolean, signature binary").withColumn("copies", F.lit(1).cast("bigint"))
+    near_ids = lambda t: {r.id for r in t.join(stand.select("node", "id"), "node").select("id").distinct().collect()}
+    met = near_duplicates._met(stand, 0.8, 0.9995, 1024)
+    assert near_ids(met[0]) >= set(range(40)) and all(not near_ids(m) & set(range(40)) for m in met[1:])
+    deeper = near_duplicates._met(stand, 0.8, 0.99999, 1024)
+    assert len(met) < len(deeper) <= near_duplicates.DEPTH + 1 - near_duplicates.closing_depth(0.8, 0.99999)
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(df).collect()}
+    want = {i: (c, n) for i, c, n in brute_classes([(i, t) for i, t in enumerate(copies + pair)])}
+    assert {i: (r.class_id, r.n_links) for i, r in got.items()} == want
 
 
 # -- 2 ---------------------------------------------------------------------------
