@@ -24,8 +24,8 @@ The neighbours' ids and cosines are the evidence.
 Defined cases: a null, empty or wordless text has the share of toxic rows among
 wordless examples, 0 if there is none.  A text without a term of any example has
 no neighbour, and its vote is the class prior.  Ties between neighbours go to the
-entry that comes first.  Rows repeated in the input come out repeated; a row
-labelled both ways counts as toxic.  With no labels, or labels of one class,
+entry that comes first.  Rows repeated in the input come out repeated; of rows
+that share an id the one with the smallest text is an example; a row labelled both ways counts as toxic.  With no labels, or labels of one class,
 every score is that class's share (0 without labels).
 """
 
@@ -303,7 +303,7 @@ def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_i
     kind = df.schema[id_column].dataType.simpleString()
     chosen, shares = sample_labels(labels, learn, id_column, label_column, most_examples)
     listed = F.broadcast(spark.createDataFrame(chosen, f"id {kind}, toxic int"))  # two classes of most_examples rows
-    texts = df.select(F.col(id_column).alias("id"), text_bytes(text_column)).join(listed, "id")
+    texts = df.select(F.col(id_column).alias("id"), text_bytes(text_column)).join(listed, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     examples = stored(texts.select("id", "toxic", "text").mapInArrow(_terms, f"id {kind}, toxic int, terms binary, counts binary"))
     total = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)

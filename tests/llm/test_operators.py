@@ -519,10 +519,42 @@ def test_co_training_parts_classes(spark, make, docs, nothing):
     assert np.mean([(got[i].score >= 0.5) == (i % 3 > 0) for i in range(200, 500)]) > 0.98
     assert quality_classifier.classify(docs, model, [F.col("doc_id")], "doc_id bigint").where("score BETWEEN 0 AND 1").count() == docs.count()
     assert quality_classifier.classify(nothing, None, [F.col("doc_id")], "doc_id bigint").count() == 0
+    # the metadata view doesn't read texts, the text view nothing else
+    same = make([(i, t, lang, source) for i, (t, lang, source) in enumerate([("good1 good2", "en", "s0"), ("BAD1\nBAD2", "en", "s0"), ("BAD1\nBAD2", None, "s2")])]).withColumn("n_chars", F.lit(12).cast("bigint"))
+    a, b, c = quality_classifier.classify(same, model, [F.col("doc_id")], "doc_id bigint").sort("doc_id").collect()
+    assert a.metadata_score == b.metadata_score != c.metadata_score and b.text_score == c.text_score < a.text_score
     none = quality_classifier.learn_model(df, labelled.where("quality = 1"), F.lit(True))
     assert none is None and quality_classifier.classify(df, none, [F.col("doc_id")], "doc_id bigint").where("score = 0.5").count() == 500
 
 
+def test_every_row_takes_part_in_co_training(spark, make, monkeypatch):
+    """The sums of a round are those of each unlabelled row by itself, in any number of tasks."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'good' if i % 3 else 'BAD'}{k}" for k in rng.integers(0, 60, 30)), "en", f"s{min(1, i % 3)}") for i in range(300)]
+    rows += [(7, "good1 good2", None, None), (None, None, "en", "s1")]
+    df, labelled = make(rows), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id bigint, quality int")
+    asked = []
+    found = quality_classifier._pool_sums
+    monkeypatch.setattr(quality_classifier, "_pool_sums", lambda scanned, model, known, names: asked.append((model, known.value, found(scanned, model, known, names))) or asked[-1][2])
+    models = [quality_classifier.learn_model(d, labelled, F.lit(True), rounds=2) for d in (df.repartition(1), df.repartition(5))]
+    assert len(asked) == 4 and all((asked[k][2][v] == asked[k + 2][2][v]).all() for k in (0, 1) for v in quality_classifier.VIEWS)
+    assert (models[0].text.weights == models[1].text.weights).all()
+    model, known, sums = asked[1]
+    want = {v: np.zeros((2, quality_classifier.SIZES[v]), dtype=np.int64) for v in quality_classifier.VIEWS}
+    for i, text, lang, source in rows:
+        if i in known:
+            continue
+        (part,) = slices(pa.array([text], pa.string()))
+        views = {"text": quality_classifier.text_view(part), "metadata": quality_classifier.metadata_view([(source, lang, len(text) if text else None)])}
+        odds = dict(zip(("metadata", "text"), (float(x[0]) for x in model.odds(*views.values()))))
+        for v, o in odds.items():
+            if abs(o) >= math.log(9):
+                want[v][int(o > 0)] += views[v].sums(quality_classifier.SIZES[v], np.array([True]))
+    assert all((sums[v] == want[v]).all() and sums[v].any() for v in quality_classifier.VIEWS)
+
+
 # -- 9 ---------------------------------------------------------------------------
 TOKENS = ["It's <|endoftext|>x don't we'll ΑΣ Σ  ok", "é ́ x\x0b\x0cy\x85z q", "x" * 500, "日本語テスト 1234", "a b c", "<|startoftext|> <|end oftext|>"]
 
