@@ -24,7 +24,7 @@ TABLE: list[tuple[str, str, bool, int, str]] = [
     ("store_accessor", "{}", False, 0, ""), ("store_accessor", "{}=", False, 1, ""),
 ]
 #: What dirty tracking adds for an attribute.
-DIRTY = ("{}_changed?", "{}_was", "{}_change", "saved_change_to_{}?", "saved_change_to_{}", "{}_before_last_save")
+DIRTY = ("{}_changed?", "{}_was", "{}_previously_changed?", "{}_before_last_save", "saved_change_to_{}?", "will_save_change_to_{}?")
 #: Macros whose every symbol argument is a name; of others only the first is.
 MANY = {"attr_reader", "attr_writer", "attr_accessor", "attr", "class_attribute", "define_model_callbacks", "accepts_nested_attributes_for", "store_accessor"} | {f"{p}_{k}" for p in ("mattr", "cattr", "thread_mattr", "thread_cattr") for k in ("reader", "writer", "accessor")}
 NAMES = {m for m, *_ in TABLE}

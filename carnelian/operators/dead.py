@@ -10,19 +10,26 @@ from carnelian.functions.scalars import in_tests, prefixes
 #: The tiers, from least to most evidence of use.
 TIERS = ("unreferenced", "shadowed", "test-only", "override", "convention-only", "super-only", "single-caller")
 MOST_WRITTEN = 8
-#: Names that Ruby or a framework calls on its own.
+#: Names that Ruby, its libraries or a framework call on their own, by side.
 INSTANCE_HOOKS = (
-    "initialize", "initialize_copy", "initialize_dup", "initialize_clone", "method_missing", "respond_to_missing?", "to_s", "to_str", "to_a", "to_ary", "to_h", "to_hash", "to_proc",
-    "to_i", "to_int", "to_f", "to_r", "to_c", "to_sym", "to_io", "to_path", "to_enum", "inspect", "hash", "eql?", "==", "===", "!=", "=~", "!~", "<=>", "equal?", "each", "call", "coerce", "succ",
-    "marshal_dump", "marshal_load", "encode_with", "init_with", "yaml_tag", "to_json", "as_json", "to_param", "to_key", "to_model", "to_partial_path", "persisted?", "deconstruct", "deconstruct_keys",
-    "begin", "end", "exception", "backtrace", "message", "full_message", "setup", "teardown",
+    "marshal_dump", "marshal_load", "_dump", "init_with", "encode_with", "to_s", "inspect", "instance_variables_to_inspect", "pretty_print", "pretty_print_cycle",
+    "pretty_print_instance_variables", "hash", "eql?", "==", "<=>", "===", "=~", "deconstruct", "deconstruct_keys", "each", "succ", "call", "to_proc", "coerce", "to_str", "to_ary",
+    "to_hash", "to_int", "to_io", "to_path", "to_regexp", "to_a", "respond_to_missing?", "method_missing", "singleton_method_added", "singleton_method_removed",
+    "singleton_method_undefined", "initialize_copy", "initialize_dup", "initialize_clone", "to_param", "to_partial_path", "to_model", "to_key", "model_name", "persisted?",
+    "to_attachable_partial_path", "as_json", "to_json", "serializable_hash", "cache_key", "cache_key_with_version", "cache_version", "read_attribute_for_serialization",
+    "read_attribute_for_validation", "perform",
 )
 CLASS_HOOKS = (
-    "included", "extended", "prepended", "inherited", "method_added", "method_removed", "method_undefined", "const_missing", "const_added", "singleton_method_added", "append_features", "extend_object",
-    "prepend_features", "new", "allocate", "_load", "json_create", "respond_to_missing?", "method_missing", "load", "dump", "model_name", "table_name",
+    "_load", "json_create", "inherited", "included", "extended", "prepended", "append_features", "extend_object", "prepend_features", "method_added", "method_removed",
+    "method_undefined", "singleton_method_added", "singleton_method_removed", "singleton_method_undefined", "method_missing", "respond_to_missing?", "const_missing", "const_added",
+    "model_name", "table_name_prefix", "table_name_suffix", "use_relative_model_naming?",
 )
 
 
+#: Ancestors that make a class a job.
+JOBS = ("Sidekiq::Job", "Sidekiq::Worker", "ActiveJob::Base", "ApplicationJob")
+
+
 def protocol_hook(name: Column, side: Column) -> Column:
     return F.when(side == "instance", name.isin(*INSTANCE_HOOKS)).otherwise(name.isin(*CLASS_HOOKS))
 
@@ -115,6 +122,6 @@ def summary(rows: DataFrame) -> DataFrame:
 
 def entry_points(methods: DataFrame, chains: DataFrame) -> DataFrame:
     """checkout, owner, kind: job classes, by what stands among their ancestors, unresolved names too."""
-    jobs = F.array(*[F.lit(x) for x in ("Sidekiq::Job", "Sidekiq::Worker", "ActiveJob::Base", "ApplicationJob")])
+    jobs = F.array(*[F.lit(x) for x in JOBS])
     rows = chains.where("side = 'instance' AND fqn <> 'ApplicationJob'").where(F.arrays_overlap(F.concat(F.transform("chain", lambda x: x["owner"]), "unresolved"), jobs))
     return rows.select("checkout", F.col("fqn").alias("owner"), F.lit("job").alias("kind"))

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder and read again.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (a
-    single machine) a temporary one is made."""
+    The folder is the session's spark.checkpoint.dir; only where none is set and
+    driver and executors are one process a temporary one is made."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='carnelian-')}"
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)

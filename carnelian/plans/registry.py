@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carnelian.plans import graph_queries, relational_queries, ruby_queries, streaming_queries
+from carnelian.plans import graph_queries, program_queries, relational_queries, ruby_queries, streaming_queries
 
-_MODULES = [relational_queries, graph_queries, ruby_queries, streaming_queries]
+_MODULES = [relational_queries, graph_queries, program_queries, ruby_queries, streaming_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in _MODULES:
@@ -15,5 +15,5 @@ for _module in _MODULES:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of the queried methods, each judged by its receiver."""
-    return ruby_queries.ruby_references(spark, sf_dir)
+    """References of methods of the tables' program, each judged by its receiver."""
+    return program_queries.QUERIES["program_references"](spark, sf_dir)

@@ -11,22 +11,24 @@ from carnelian.operators.incremental import KEEP_USAGE_DAYS
 from carnelian.sources.checkouts import split_scan
 from carnelian.sources.store import Store
 
-SAVES = "checkout string, path string, text string"
+SAVES = "checkout string, path string, text string, seq bigint"
 
 
 def saved_files(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
-    """A stream of saved files (checkout, path, text) from a folder of JSON lines."""
+    """A stream of saved files (checkout, path, text, and seq: which of two saves of a path is the later) from a folder of JSON lines."""
     return spark.readStream.schema(SAVES).option("maxFilesPerTrigger", files_a_batch).json(folder)
 
 
 def refresh(store: Store, saves: DataFrame, checkpoint: str) -> StreamingQuery:
     """Upserts each micro-batch into the store: contents are parsed once, and a save replaces its path's entry.
 
+    Of several saves of a path in a batch that with the greatest seq counts, of equals the greatest text.
     A batch that runs again after a failure finds its contents parsed and its
     entries in place, so it changes nothing."""
 
     def upsert(batch: DataFrame, _: int) -> None:
-        scan = batch.select("checkout", "path", F.col("text").cast("binary").alias("content")).dropDuplicates(["checkout", "path"])
+        last = batch.groupBy("checkout", "path").agg(F.max(F.struct("seq", "text")).alias("last"))
+        scan = last.select("checkout", "path", F.col("last.text").cast("binary").alias("content"))
         files, blobs = split_scan(scan)
         kept = store.files().join(files.select("checkout", "path"), ["checkout", "path"], "left_anti")
         store.load(kept.unionByName(files), blobs)
