@@ -1,7 +1,7 @@
 """A Ruby program made from the tables of a scale factor, a file for each row.
 
 Every region is a module, every nation a class that mixes its region in, and
-every supplier a class below its nation.  What the engine should find in it
+every supplier a class below its nation; a module for each nation holds it under other names.  What the engine should find in it
 follows from the rows, so SQL over the same tables can say it.
 """
 
@@ -74,16 +74,23 @@ SUPPLIER = """class Supplier{s} < Nation{n}
 end
 """
 
-#: A supplier ships to the nation with this key.
-SHIPS_TO = "s_suppkey % 25"
+ALIAS = """module Alias{n}
+  Home = Nation{n}
+  Away = Home
+
+  def self.make
+    Away.build(1)
+  end
 
-SCHEMA_TABLE = """  create_table "supplier_{s}", primary_key: "key" do |t|
-    t.string "name", limit: 25
-    t.integer "nation_{n}", null: false
-    t.index ["nation_{n}"], name: "by_nation_{s}"
+  def self.guess(thing)
+    thing.describe
   end
+end
 """
 
+#: A supplier ships to the nation with this key.
+SHIPS_TO = "s_suppkey % 25"
+
 
 def filled(template: str, **columns: str) -> Column:
     """The template with {x} replaced by the column of that name."""
@@ -106,6 +113,7 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         file(spark.range(1), F.lit("app/models/place.rb"), F.lit(PLACE)),
         file(region, filled("lib/regions/region{r}.rb", r="r_regionkey"), filled(REGION, r="r_regionkey")),
         file(nation, filled("app/models/nation{n}.rb", n="n_nationkey"), filled(NATION, n="n_nationkey", r="n_regionkey")),
+        file(nation, filled("lib/aliases/alias{n}.rb", n="n_nationkey"), filled(ALIAS, n="n_nationkey")),
         file(supplier, filled("app/models/supplier{s}.rb", s="s_suppkey"), filled(SUPPLIER, s="s_suppkey", n="s_nationkey", m=SHIPS_TO, r="n_regionkey")),
     ]
     out = rows[0]
