@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from carnelian.functions import scalars as S
 from carnelian.operators import chains as C
@@ -70,13 +69,6 @@ def class_side_chains(spark, sf_dir):
     return rows.select("fqn", F.array_join(F.transform("chain", lambda x: F.concat(x["owner"], F.when(x["side"] == "class", ".").otherwise("#"))), ",").alias("chain"))
 
 
-@query("WITH RECURSIVE up AS (SELECT 'C' || c_custkey AS fqn, 'C' || c_custkey AS owner, 'N' || c_nationkey AS nxt, 0 AS n FROM customer UNION ALL SELECT fqn, nxt, CASE WHEN nxt LIKE 'N%' THEN (SELECT 'R' || n_regionkey FROM nation WHERE 'N' || n_nationkey = nxt) END, n + 1 FROM up WHERE nxt IS NOT NULL) SELECT fqn, CAST(n AS INTEGER) AS n, owner FROM up")
-def superclass_chain(spark, sf_dir):
-    links = star_superclasses(spark, sf_dir).select("owner", "superclass")
-    links.createOrReplaceTempView("carnelian_superclasses")
-    return spark.sql("WITH RECURSIVE up AS (SELECT owner AS fqn, owner, 0 AS n FROM carnelian_superclasses WHERE owner RLIKE '^C' UNION ALL SELECT u.fqn, s.superclass, u.n + 1 FROM up u JOIN carnelian_superclasses s ON s.owner = u.owner) SELECT fqn, n, owner FROM up")
-
-
 @query("SELECT module, count(*) AS classes, min(fqn) AS first FROM (SELECT 'M' || lower(c_mktsegment) AS module, 'C' || c_custkey AS fqn FROM customer UNION ALL SELECT " + _PARITY + ", 'C' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT " + _PARITY + ", 'N' || n_nationkey FROM nation) GROUP BY module")
 def includers(spark, sf_dir):
     rows = C.includers(star_chains(spark, sf_dir), star_names(spark, sf_dir))
@@ -152,18 +144,6 @@ def constant_lookup(spark, sf_dir):
     return C.resolve_constant(refs, names, chains).select("event_id", "fqn", "via")
 
 
-@query("SELECT event_id, 'K' || CASE WHEN user_id % 4 = 0 THEN user_id % 16 ELSE (user_id // 4 * 4) % 16 END AS namespace FROM events")
-def alias_following(spark, sf_dir):
-    from carnelian.plans.lineage import cut
-
-    # K3 -> K2 -> K1 -> K0, and so on by fours: pointer jumping ends at the multiple of four
-    at = cut(spark.range(16).where("id % 4 <> 0").select(F.concat(F.lit("K"), F.col("id").cast("string")).alias("fqn"), F.concat(F.lit("K"), (F.col("id") - 1).cast("string")).alias("to")))
-    for _ in range(4):
-        at = cut(at.join(at.select(F.col("fqn").alias("to"), F.col("to").alias("next")), "to", "left").select("fqn", F.coalesce("next", "to").alias("to")))
-    e = Q.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("K"), (F.col("user_id") % 16).cast("string")).alias("fqn"))
-    return e.join(F.broadcast(at), "fqn", "left").select("event_id", F.coalesce("to", "fqn").alias("namespace"))
-
-
 # -- references: a line is a call on its part's brand of a method named by its quantity
 def _refs(spark, sf_dir):
     k = F.col("l_partkey")
@@ -182,12 +162,6 @@ def best_references(spark, sf_dir):
     return P.best(_refs(spark, sf_dir), 50).select("query", "path", "line", "col")
 
 
-@query("SELECT user_id, event_id, place FROM (SELECT e.user_id, e.event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events e) WHERE place <= 8")
-def top_candidates(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    return Q.table(spark, sf_dir, "events").withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= P.MOST_CANDIDATES).select("user_id", "event_id", "place")
-
-
 @query("SELECT CAST(a AS INTEGER) AS agreeing, CAST(t AS INTEGER) AS total, CASE WHEN t = 0 THEN 0.0 ELSE round(a / t, 2) END AS confidence FROM (SELECT DISTINCT l_linenumber % 4 AS a, CAST(l_quantity AS INTEGER) % 8 AS t FROM lineitem)")
 def confidence(spark, sf_dir):
     rows = Q.table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 4).cast("int").alias("agreeing"), (F.col("l_quantity").cast("int") % 8).cast("int").alias("total")).distinct()

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carnelian.plans import graph_queries, program_queries, relational_queries, ruby_queries, streaming_queries
+from carnelian.plans import files_queries, graph_queries, program_queries, relational_queries, ruby_queries, streaming_queries
 
-_MODULES = [relational_queries, graph_queries, program_queries, ruby_queries, streaming_queries]
+_MODULES = [relational_queries, graph_queries, program_queries, files_queries, ruby_queries, streaming_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in _MODULES:
-    QUERIES |= _module.QUERIES
+    QUERIES |= {name: run for name, run in _module.QUERIES.items() if name not in getattr(_module, "COVERED", ())}
     ORACLES |= _module.ORACLES
 
 

@@ -19,6 +19,11 @@ from carnelian.sources.signatures import to_stubs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Those that program_queries and files_queries ask of the tables' own files, with SQL; the sample's stay for the tests.
+COVERED = frozenset(
+    [f"ruby_{x}" for x in ("definitions", "edges", "constant_references", "calls", "assignments", "reaching_writes", "syntax_errors", "names", "placed_edges", "chains", "aliases", "includers", "constants_resolved", "receivers", "answers", "residue", "references", "reference_counts", "dead_methods", "dead_constants", "dead_summary", "overrides", "call_hierarchy", "completion", "outline", "doc_comments", "requires", "workspace_symbols", "implementations", "load_order")]
+    + ["schema_tables", "schema_attribute_methods", "schema_choice", "bundle_locked", "bundle_declared", "bundle_resolved", "signature_stubs", "route_actions", "view_words", "view_renderings", "yaml_names", "generated_files", "spec_reads", "spec_unread_members", "spec_unused_shared_groups", "spec_typed_members"]
+)
 _indexes: dict[str, Index] = {}
 
 

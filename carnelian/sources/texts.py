@@ -17,7 +17,7 @@ def yaml_scalars(files: DataFrame) -> DataFrame:
     """checkout, path, value: scalars of YAML files that could name a method or a constant; locales are left out."""
     yaml = files.where(F.col("path").rlike(r"\.ya?ml$") & ~F.col("path").rlike(r"(^|/)locales?/"))
     lines = yaml.select("checkout", "path", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
-    value = F.regexp_extract("line", r"""^\s*(?:-\s*)?(?:[\w.\-]+:\s*)?["']?([A-Za-z_][\w:]*[?!]?)["']?\s*(?:#.*)?$""", 1)
+    value = F.regexp_extract("line", r"""^\s*(?:-\s*)?(?:[\w.\-]+:\s*)?["']?([A-Za-z_](?:[\w:]*\w)?[?!]?)["']?\s*(?:#.*)?$""", 1)
     return lines.select("checkout", "path", value.alias("value")).where("value <> ''").distinct()
 
 
