@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carnelian.operators import chains as C
-from carnelian.operators import dead, extraction, namespace, receivers, references, relational
+from carnelian.operators import conventions, dead, extraction, namespace, receivers, references, relational
 from carnelian.plans.lineage import cut
 from carnelian.sources.checkouts import compose, split_scan
 from carnelian.sources.routes import routes
@@ -169,12 +169,21 @@ class Index:
         mine = dead.candidates(own, extraction.call_names(self.wide), self.files).withColumn("query", F.concat("owner", F.when(F.col("side") == "class", ".").otherwise("#"), "name"))
         mine = relational.last_wins(mine.withColumn("o", F.struct("ord")), ["checkout", "query"], ["o"]).join(dynamic, ["checkout", "owner"], "left").withColumn("dynamic", F.coalesce("dynamic", F.lit(False)))
         mine = cut(mine)
-        return dead.grade_methods(mine, self.references_of(mine), references.overriding(self.methods, self.chains), self.routed)
+        conventional = conventions.by_library(self.methods, self.chains, conventions.default_rules(self.spark))
+        writers = conventions.attribute_writers(self.methods, self.chains).withColumn("caveat", F.lit("a hash of attributes may write it"))
+        built = conventions.hedged(self.methods, conventions.built_shapes(self.ruby_scan)).select("checkout", "owner", "name", F.concat(F.lit("a name built at run time fits: "), "shape").alias("caveat"))
+        hedges = writers.select("checkout", "owner", "name", "caveat").unionByName(built)
+        return dead.grade_methods(mine, self.references_of(mine), references.overriding(self.methods, self.chains), self.routed, conventional, hedges)
 
     def dead_constants(self) -> DataFrame:
         ours = self.decls.where(F.col("layer") == relational.LAYERS["repo"]).select("checkout", F.col("file").alias("_first")).distinct()
         own = self.own_names.where(F.size("sites") > 0).withColumn("_first", F.element_at("sites", 1)["path"]).join(ours, ["checkout", "_first"], "left_semi").drop("_first")
-        return dead.grade_constants(own, self.constants())
+        return dead.grade_constants(own, self.constants(), conventions.constants_named(self.ruby_scan, own))
+
+    @property
+    def ruby_scan(self) -> DataFrame:
+        """The scan's files that are read as Ruby."""
+        return self.scan.where(F.col("path").rlike(r"\.(rb|rake|ru|gemspec)$"))
 
     def symbols(self, path: str) -> DataFrame:
         return self.placed_facts("defs").where(F.col("path") == path).select("checkout", "name", "kind", "visibility", "line", "col").orderBy("line", "col", "name")

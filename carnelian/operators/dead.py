@@ -66,10 +66,12 @@ def tier_of(written: Column, supers: Column, symbols: Column) -> Column:
     return F.when((written == 0) & (supers == 0) & (symbols == 0), "unreferenced").when((written == 0) & (supers == 0), "convention-only").when(written == 0, "super-only").when((written == 1) & (supers == 0), "single-caller")
 
 
-def grade_methods(candidates_: DataFrame, references: DataFrame, overrides: DataFrame, routed: DataFrame | None = None) -> DataFrame:
+def grade_methods(candidates_: DataFrame, references: DataFrame, overrides: DataFrame, routed: DataFrame | None = None, conventional: DataFrame | None = None, hedges: DataFrame | None = None) -> DataFrame:
     """Rows (query, owner, side, name, path, line, tier, confidence, caveats, caller) of what looks dead.
 
-    overrides: checkout, owner, side, name, ancestor.  routed: owner, name of actions."""
+    overrides: checkout, owner, side, name, ancestor.  routed: owner, name of actions.
+    conventional: checkout, owner, name of instance methods that a library calls.
+    hedges: checkout, owner, name, caveat of what may call one unseen."""
     weighed = candidates_.join(liveness(references), "query", "left")
     n = lambda c: F.coalesce(c, F.lit(0))
     rows = weighed.withColumn("counted", tier_of(n("written"), n("supers"), n("symbols")))
@@ -79,7 +81,12 @@ def grade_methods(candidates_: DataFrame, references: DataFrame, overrides: Data
         rows = rows.join(routed.select("owner", "name").distinct().withColumn("routed", F.lit(True)), ["owner", "name"], "left")
     else:
         rows = rows.withColumn("routed", F.lit(None).cast("boolean"))
-    convention = F.coalesce("routed", F.lit(False)) | protocol_hook(F.col("name"), F.col("side")) | F.col("name").rlike("^test_")
+    keys = ["checkout", "owner", "name"]
+    held = conventional.select(*keys).distinct().withColumn("by_library", F.lit(True)) if conventional is not None else None
+    rows = rows.join(held, keys, "left") if held is not None else rows.withColumn("by_library", F.lit(None).cast("boolean"))
+    doubts = hedges.groupBy(*keys).agg(F.array_sort(F.collect_set("caveat")).alias("hedges")) if hedges is not None else None
+    rows = rows.join(doubts, keys, "left") if doubts is not None else rows.withColumn("hedges", F.lit(None).cast("array<string>"))
+    convention = F.coalesce("routed", F.lit(False)) | (F.coalesce("by_library", F.lit(False)) & (F.col("side") == "instance")) | protocol_hook(F.col("name"), F.col("side")) | F.col("name").rlike("^test_")
     tier = (
         F.when(F.col("tests"), "test-only")
         .when((F.col("counted") == "unreferenced") & F.col("ancestor").isNotNull(), "override")
@@ -89,6 +96,7 @@ def grade_methods(candidates_: DataFrame, references: DataFrame, overrides: Data
     lands = references.where("tier = 'excluded' AND why = 'different_owner'").join(overrides.select(F.col("owner").alias("landed"), F.col("name"), F.col("ancestor").alias("over")).distinct(), ["landed", "name"]).where("over = target").select("query").distinct().withColumn("shadow", F.lit(True))
     rows = rows.withColumn("tier", tier).join(lands, "query", "left").withColumn("tier", F.when((F.col("tier") == "unreferenced") & F.col("shadow"), "shadowed").otherwise(F.col("tier")))
     caveats = F.array_compact(F.array(F.when(F.col("visibility") != "private", F.when(F.col("dynamic"), "its class makes or forwards names at run time")), F.when(n("symbols") > 0, "named by a symbol")))
+    caveats = F.concat(caveats, F.coalesce("hedges", F.array().cast("array<string>")))
     rows = rows.where("tier IS NOT NULL").withColumn("caveats", caveats)
     confidence = F.when((F.size("caveats") == 0) & (F.col("tier") != "override"), "clear").otherwise("lower")
     return rows.select("query", "checkout", "owner", "side", "name", "path", "line", "end_line", "tier", confidence.alias("confidence"), "caveats", "caller")
@@ -101,17 +109,25 @@ def inside_candidates(rows: DataFrame) -> DataFrame:
     return one.join(spans, ["checkout", "path"]).where("at BETWEEN from_line AND to_line AND query <> within").select("query", "within")
 
 
-def grade_constants(names: DataFrame, resolved: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def grade_constants(names: DataFrame, resolved: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Names that no reference outside their own bodies resolves to, or to what they hold.
 
-    resolved: checkout, path, fqn (what the reference names), scopes (full names around it)."""
+    resolved: checkout, path, fqn (what the reference names), scopes (full names around it).
+    texts: checkout, fqn, how of constants that a string or a symbol names: a caveat."""
     used = resolved.where("fqn IS NOT NULL AND NOT array_contains(scopes, fqn)")
     each = used.select("checkout", "path", F.explode(F.concat(F.array("fqn"), prefixes(F.col("fqn")))).alias("fqn"), "scopes").where("NOT array_contains(scopes, fqn)")
     counted = each.groupBy("checkout", "fqn").agg(F.count("*").alias("uses"), F.count_if(in_tests(F.col("path"))).alias("test_uses"))
     rows = names.where(F.size("sites") > 0).join(counted, ["checkout", "fqn"], "left")
     tier = F.when(F.coalesce("uses", F.lit(0)) == 0, "unreferenced").when(F.col("uses") == F.col("test_uses"), "test-only")
     site = F.element_at("sites", 1)
-    return rows.withColumn("tier", tier).where("tier IS NOT NULL").where(~in_tests(site["path"])).select("checkout", "fqn", "kind", "tier", site["path"].alias("path"), site["line"].alias("line"))
+    rows = rows.withColumn("tier", tier).where("tier IS NOT NULL").where(~in_tests(site["path"]))
+    none = F.array().cast("array<string>")
+    if texts is not None:
+        rows = rows.join(texts.groupBy("checkout", "fqn").agg(F.array_sort(F.collect_set(F.concat(F.lit("named by a "), "how"))).alias("caveats")), ["checkout", "fqn"], "left").withColumn("caveats", F.coalesce("caveats", none))
+    else:
+        rows = rows.withColumn("caveats", none)
+    confidence = F.when(F.size("caveats") == 0, "clear").otherwise("lower")
+    return rows.select("checkout", "fqn", "kind", "tier", site["path"].alias("path"), site["line"].alias("line"), confidence.alias("confidence"), "caveats")
 
 
 def summary(rows: DataFrame) -> DataFrame:
