@@ -16,9 +16,10 @@ The counts of a chunk at each of its characters are made once in a worker for
 each distinct chunk.  A text's table is the running sum over its chunks and the
 counts inside them; the number of tokens, whether a budget is kept, and where a
 text has to be cut to keep it are all read from that table, without encoding.
-The last count of each distinct chunk is held against the library's encoding,
-and a chunk where they differ (as unstable normalisation may make them) has its
-prefixes encoded by the library instead, so the counts are the library's always.
+Chunks of plain Latin text are in normal form as they are, and only their case
+is folded.  The last count of any other distinct chunk is held against the
+library's encoding, and one where they differ (as unstable normalisation may
+make them) has its prefixes encoded by the library instead.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes.  Rows repeated in
 the input come out repeated.  Special strings inside a text are treated as the
@@ -48,12 +49,14 @@ LIMIT = 2048
 #: Chunks that a worker remembers, and the longest such chunk in bytes.
 MEMO_CHUNKS, MEMO_BYTES = 400_000, 64
 #: Bits of the table of token pairs that a worker remembers.
-PAIR_BITS = 20
+PAIR_BITS = 22
 #: Longer pre-tokens (in bytes) go through the programme one by one, others in batches of so many bytes.
 LONG, BATCH = 128, 1 << 18
 _END = "</w>"
 #: The tokenizer's pre-tokens.  These texts are as they were when parted and in normal form, but for their case.
 _SIMPLE = re.compile(r"[\x00-\x1b!-~\xa1-\u012f\u0131-\u024f]+")
+_ODD = re.compile(r"[\x1c-\x1f]")
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _CONTRACTIONS = {"'re": (1, 2), "'ve": (1, 2), "'ll": (1, 2), "'s": (1,), "'t": (1,), "'m": (1,), "'d": (1,)}
 #: A character with the marks or vowel and tail jamo after it.
@@ -191,7 +194,10 @@ class Merges:
         first = stops - lengths + np.arange(len(words))
         place = begin + size - first[word]
         last, count, ends = np.full(n + len(words), -1, dtype=np.int64), np.zeros(n + len(words), dtype=np.int64), np.zeros(n + len(words), dtype=np.int64)
-        order = np.lexsort((-size, word, place))
+        # by place, then word, then the longest first: sizes come in order, and of one size the nodes
+        order = np.arange(len(begin))[::-1]
+        order = order[np.argsort((begin + size)[order], kind="stable")]
+        order = order[np.argsort(place[order].astype(np.uint8), kind="stable")]
         begin, size, piece, place = begin[order], size[order], piece[order], place[order]
         edges = np.searchsorted(place, np.arange(1, int(lengths.max(initial=0)) + 2))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -243,23 +249,26 @@ class Counter:
             memo = self.memo = {}
             missing = list(set(chunks))
         texts = [c.decode("utf-8", "replace") for c in missing]
-        new = {c: self._checked(t, rows, n) for c, t, rows, n in zip(missing, texts, self.programme(texts), self.encode(texts), strict=True)}
+        new = dict(zip(missing, self._checked(texts, self.programme(texts)), strict=True))
         if len(missing) <= MEMO_CHUNKS:
             memo.update((c, rows) for c, rows in new.items() if len(c) <= MEMO_BYTES)
         return [new[c] if c in new else memo[c] for c in chunks]
 
-    def _checked(self, text: str, rows: list[int] | None, total: int):
-        if rows is None or rows[-1] != total:
-            rows = [0, *self.encode([text[:n] for n in range(1, len(text) + 1)])]
-        return bytes(rows) if rows[-1] < 256 else array("l", rows)
+    def _checked(self, texts: list[str], rows: list) -> list:
+        odd = [k for k, t in enumerate(texts) if rows[k] is None or self._split(t) is None]
+        for k, total in zip(odd, self.encode([texts[k] for k in odd]), strict=True):
+            if rows[k] is None or rows[k][-1] != total:
+                rows[k] = [0, *self.encode([texts[k][:n] for n in range(1, len(texts[k]) + 1)])]
+        return [bytes(r) if r[-1] < 256 else array("l", r) for r in rows]
 
     def programme(self, texts: list[str]) -> list[list[int] | None]:
         """The counts of chunks by the dynamic programme; None if a normal form isn't made from its clusters of characters one by one."""
         plain = [self._split(t) for t in texts]
-        need = {w for parts in plain if parts for _, w, _ in parts if w not in self.words}
+        every = {w for parts in plain if parts for w in parts}
+        need = every.difference(self.words)
         if len(self.words) + len(need) > MEMO_CHUNKS:
             self.words = {}
-            need = {w for parts in plain if parts for _, w, _ in parts}
+            need = every
         listed = list(need)
         self.words.update(zip(listed, map(self._at_characters, listed, self.merges.prefixes([w.encode() for w in listed])), strict=True))
         out = [self._simple(parts) if parts is not None else self._with_special(t) for t, parts in zip(texts, plain, strict=True)]
@@ -267,11 +276,14 @@ class Counter:
             self.words = {}
         return out
 
-    def _split(self, text: str) -> list | None:
-        """(begin, word, end) of the pre-tokens, if the text is simple."""
-        if "<|" in text or not _SIMPLE.fullmatch(text):
+    def _split(self, text: str) -> list[str] | None:
+        """The pre-tokens, if the text is simple; they leave nothing out."""
+        if "<|" in text:
             return None
-        return [(m.start(), m.group(), m.end()) for m in _PARTS.finditer(text.lower())]
+        if text.isascii():
+            text = text.lower()
+            return [text] if text.isalpha() else None if _ODD.search(text) else _ASCII_PARTS.findall(text)
+        return _PARTS.findall(text.lower()) if _SIMPLE.fullmatch(text) else None
 
     @staticmethod
     def _at_characters(word: str, counts: list[int]) -> list[int]:
@@ -284,9 +296,9 @@ class Counter:
 
     def _simple(self, parts: list) -> list[int]:
         if len(parts) == 1:
-            return [0, *self.words[parts[0][1]]]
+            return [0, *self.words[parts[0]]]
         out, base = [0], 0
-        for _, word, _ in parts:
+        for word in parts:
             out += [base + n for n in self.words[word]]
             base = out[-1]
         return out
