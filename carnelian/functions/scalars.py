@@ -177,6 +177,20 @@ def column_class(sql_type: Column) -> Column:
     return F.try_element_at(table, sql_type)
 
 
+def utf16_column(line: Column, column: Column) -> Column:
+    """The UTF-16 column, from 0, of a place given as a byte of its line, from 1: how editors count."""
+    before = F.substring(line.cast("binary"), F.lit(1), column - 1).cast("string")
+    return (F.octet_length(F.encode(before, "UTF-16LE")) / 2).cast("int")
+
+
+def byte_column(line: Column, utf16: Column) -> Column:
+    """The byte, from 1, at which the character of a UTF-16 column, from 0, begins; the line's end for what is beyond it."""
+    units = F.transform(F.split(line, ""), lambda c: F.struct((F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("int").alias("u"), F.octet_length(c).alias("b")))
+    start = F.struct(F.lit(0).alias("u"), F.lit(1).alias("b"))
+    step = lambda at, c: F.when(at["u"] + c["u"] <= utf16, F.struct((at["u"] + c["u"]).alias("u"), (at["b"] + c["b"]).alias("b"))).otherwise(F.struct(F.lit(1 << 30).alias("u"), at["b"].alias("b")))
+    return F.aggregate(units, start, step, lambda at: at["b"])
+
+
 def latency_bucket(milliseconds: Column) -> Column:
     """Decades of latency."""
     return F.when(milliseconds < 1, "<1ms").when(milliseconds < 10, "<10ms").when(milliseconds < 100, "<100ms").when(milliseconds < 1000, "<1s").when(milliseconds < 10000, "<10s").otherwise(">=10s")

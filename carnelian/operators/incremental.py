@@ -95,3 +95,10 @@ def coverage(progress: DataFrame, answers: DataFrame) -> DataFrame:
     share = F.when(F.col("of") > 0, F.col("read") / F.col("of")).otherwise(F.lit(1.0))
     rows = answers.join(progress.select("checkout", share.alias("share")), "checkout", "left")
     return rows.withColumn("confidence", F.round(F.col("confidence") * F.coalesce("share", F.lit(1.0)), 2)).drop("share")
+
+
+def subtract(whole: DataFrame, part: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """whole without part: counts by key less those of the part, keys that fall to nothing left out."""
+    less = part.groupBy(*keys).agg(*[F.sum(c).alias(f"less_{c}") for c in counts])
+    rows = whole.join(less, keys, "left").select(*keys, *[(F.col(c) - F.coalesce(f"less_{c}", F.lit(0))).alias(c) for c in counts])
+    return rows.where(" OR ".join(f"{c} <> 0" for c in counts))

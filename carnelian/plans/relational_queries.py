@@ -238,3 +238,21 @@ def constant_spellings(spark, sf_dir):
     written = F.when(F.col("event_id") % 3 == 0, "B").when(F.col("event_id") % 3 == 1, F.concat(F.lit("A"), u(7), F.lit("::B"))).otherwise(F.concat(F.lit("::N"), u(5), F.lit("::A"), u(7), F.lit("::B")))
     refs = table(spark, sf_dir, "events").select(written.alias("name"), F.col("event_id").alias("line"))
     return R.constant_spellings(n, refs).select("fqn", "line")
+
+
+# -- places and partial counts ---------------------------------------------------
+@query(r"""SELECT doc_id, CAST(length(head) + length(regexp_replace(head, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS INTEGER) AS col FROM (SELECT doc_id, left(text, 20) AS head FROM documents WHERE text IS NOT NULL)""")
+def utf16_columns(spark, sf_dir):
+    """The UTF-16 column after the first 20 characters of each text."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", S.utf16_column(F.col("text"), F.octet_length(F.left("text", F.lit(20))) + 1).alias("col"))
+
+
+@query("SELECT source, lang, n - coalesce(less, 0) AS n FROM (SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL) LEFT JOIN (SELECT source, lang, count(*) AS less FROM documents JOIN labels USING (doc_id) GROUP BY ALL) USING (source, lang) WHERE n - coalesce(less, 0) <> 0")
+def counts_without_labelled(spark, sf_dir):
+    """Counts by source and language, less those of labelled documents."""
+    from carnelian.operators.incremental import subtract
+
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    count = lambda df: df.groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return subtract(count(d), count(d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")), ["source", "lang"], ["n"])

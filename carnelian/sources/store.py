@@ -65,6 +65,19 @@ class Store:
         delta.unpersist()
         return {"parsed": n, "changed": changed}
 
+    def add(self, files: DataFrame, blobs: DataFrame, macros: list | None = None) -> dict[str, int]:
+        """A part of a checkout: its paths are added or replaced, none is removed."""
+        rest = self.files().join(files.select("checkout", "path"), ["checkout", "path"], "left_anti")
+        return self.load(rest.unionByName(files.select("checkout", "path", "oid")), blobs, macros)
+
+    def drop_checkout(self, root: str) -> int:
+        """Forgets the map of a checkout; the facts of its contents stay until they are collected. How many paths went."""
+        held = self.files()
+        gone = held.where(F.col("checkout") == root).count()
+        if gone:
+            self.load(held.where(F.col("checkout") != root), self.spark.createDataFrame([], "oid string, reader string, content binary"))
+        return gone
+
     def compact(self, files: int = 1) -> bool:
         """Rewrites the facts in that many files under a new folder and names it, if there are more; readers of the old one are not disturbed.
 

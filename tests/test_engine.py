@@ -180,3 +180,39 @@ def test_an_application_with_its_gems_and_stubs(spark):
     assert ix.names.where("fqn = 'Far'").isEmpty()
     assert {r["query"] for r in ix.dead_methods().collect()} == {"Order#pay", "Money#round"}
     assert "/gems/money" not in str(ix.dead_constants().collect())
+
+
+def test_grades_know_libraries_writers_and_built_names(spark):
+    scan = from_rows(
+        spark,
+        [
+            ("app", "app/job.rb", "class Send < ApplicationJob\n  def perform_now_or_later; end\n  def perform; end\nend\n"),
+            ("app", "app/order.rb", "class Order < ActiveRecord::Base\n  def note=(x); end\n  def on_paid; end\n  def idle; end\nend\nclass Named; end\nclass Lone; end\n"),
+            ("app", "app/run.rb", 'class Run\n  def go(what)\n    public_send("on_#{what}")\n    "Named".constantize\n  end\nend\nRun.new.go(1)\n'),
+        ],
+    )
+    ix = Index(spark, scan)
+    dead = {r["query"]: (r.tier, r.confidence, r.caveats) for r in ix.dead_methods().collect()}
+    assert dead["Send#perform"][0] == "convention-only" and dead["Send#perform_now_or_later"][0] == "unreferenced"
+    assert dead["Order#note="][1:] == ("lower", ["a hash of attributes may write it"])
+    assert dead["Order#on_paid"][1:] == ("lower", ["a name built at run time fits: on_*"])
+    assert dead["Order#idle"][1:] == ("clear", [])
+    constants = {r.fqn: (r.confidence, r.caveats) for r in ix.dead_constants().collect()}
+    assert constants["Named"] == ("lower", ["named by a string"]) and constants["Lone"] == ("clear", [])
+
+
+def test_the_later_of_two_saves_of_a_path_wins(spark, tmp_path):
+    import json
+
+    from carnelian.sources.store import Store
+    from carnelian.streaming.refresh import refresh, saved_files
+
+    (tmp_path / "in").mkdir()
+    saves = [("a", "x.rb", "A = 2", 2), ("a", "x.rb", "A = 1", 1), ("a", "y.rb", "B = 1", 1)]
+    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps(dict(zip(("checkout", "path", "text", "seq"), s))) for s in saves))
+    store = Store(spark, f"file://{tmp_path}/store")
+    refresh(store, saved_files(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/checkpoint").awaitTermination()
+    from carnelian.sources.checkouts import split_scan
+
+    want, _ = split_scan(from_rows(spark, [("a", "x.rb", "A = 2"), ("a", "y.rb", "B = 1")]))
+    assert sorted(map(tuple, store.files().select("checkout", "path", "oid").collect())) == sorted(map(tuple, want.select("checkout", "path", "oid").collect()))

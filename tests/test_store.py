@@ -25,14 +25,14 @@ def test_a_load_parses_only_new_contents(spark, tmp_path):
 
 def test_a_stream_of_saves_equals_a_batch(spark, tmp_path):
     (tmp_path / "saves").mkdir()
-    spark.createDataFrame(ROWS, refresh.SAVES).coalesce(1).write.mode("append").json(str(tmp_path / "saves"))
+    spark.createDataFrame([(*r, 1) for r in ROWS], refresh.SAVES).coalesce(1).write.mode("append").json(str(tmp_path / "saves"))
     streamed = Store(spark, str(tmp_path / "s"))
     refresh.refresh(streamed, refresh.saved_files(spark, str(tmp_path / "saves")), str(tmp_path / "c")).awaitTermination()
     batch = Store(spark, str(tmp_path / "b"))
     load(spark, batch, ROWS)
     key = lambda s: sorted(map(tuple, s.files().select("checkout", "path", "oid").collect()))
     assert key(streamed) == key(batch)
-    spark.createDataFrame([("a", "y.rb", "class Y2; end")], refresh.SAVES).coalesce(1).write.mode("append").json(str(tmp_path / "saves"))
+    spark.createDataFrame([("a", "y.rb", "class Y2; end", 2)], refresh.SAVES).coalesce(1).write.mode("append").json(str(tmp_path / "saves"))
     refresh.refresh(streamed, refresh.saved_files(spark, str(tmp_path / "saves")), str(tmp_path / "c")).awaitTermination()
     assert streamed.files().count() == 3 and streamed.facts("defs").where("name = 'Y2'").count() == 1
 
@@ -58,3 +58,23 @@ def test_listing_has_a_footer(spark, tmp_path):
     write_listing(spark.range(3), str(tmp_path), "ids")
     assert spark.read.json(f"{tmp_path}/footer").first().asDict() == {"answer": "ids", "rows": 3}
     assert spark.read.json(f"{tmp_path}/rows").agg(F.sum("id")).first()[0] == 3
+
+
+def test_a_part_is_added_and_a_checkout_dropped(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    load(spark, store, ROWS)
+    paths = lambda: sorted((r.checkout, r.path) for r in store.files().collect())
+    part = split_scan(from_rows(spark, [("a", "y.rb", "class Y2; end"), ("a", "z.rb", "Z = 1")]))
+    assert store.add(*part) == {"parsed": 2, "changed": 2}
+    assert paths() == [("a", "x.rb"), ("a", "y.rb"), ("a", "z.rb"), ("b", "x.rb")]
+    assert store.drop_checkout("a") == 3 and paths() == [("b", "x.rb")] and store.drop_checkout("a") == 0
+
+
+def test_utf16_columns_go_there_and_back(spark):
+    from carnelian.functions import scalars as S
+
+    lines = ["a = 1", "é = '😀x'", "", "日本 😀😀 z"]
+    rows = [(line, len(line[:n].encode()) + 1, len(line[:n].encode("utf-16-le")) // 2) for line in lines for n in range(len(line) + 1)]
+    df = spark.createDataFrame(rows, "line string, byte int, units int")
+    got = df.select("line", "byte", "units", S.utf16_column(F.col("line"), F.col("byte")).alias("u"), S.byte_column(F.col("line"), F.col("units")).alias("b")).collect()
+    assert [(r.u, r.b) for r in got] == [(units, byte) for _, byte, units in rows]
