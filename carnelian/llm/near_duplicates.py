@@ -352,7 +352,7 @@ def _met(stand: DataFrame, similarity: float, target: float, node_rows: int) ->
     out: list[DataFrame] = []
     for depth in range(DEPTH, 0, -1):
         if depth >= closing:
-            here, before = near.select("node", "tree", F.element_at("paths", depth - closing + 1).alias("path"), F.element_at("paths", min(depth + 1, DEPTH) - closing + 1).alias("child")), None
+            here = near.select("node", "tree", F.element_at("paths", depth - closing + 1).alias("path"), F.element_at("paths", min(depth + 1, DEPTH) - closing + 1).alias("child"))
         else:
             before = stand.select("node", "signature").mapInArrow(_placed(depth, depth + 1), kind)
             here = before.select("node", "tree", F.element_at("paths", 1).alias("path"), F.element_at("paths", 2).alias("child"))
@@ -366,9 +366,11 @@ def _met(stand: DataFrame, similarity: float, target: float, node_rows: int) ->
         more = met.groupBy("node").agg(*[F.sum(name).alias(f"more_{name}") for name in sums])
         total = {name: F.col(name) + F.coalesce(f"more_{name}", F.lit(0)) for name in sums}
         again = total[_UNSEEN[depth - 1]] + float(unmet(similarity, depth)) > (1 - target) * (total["partners"] + 1)
-        state = stored(state.join(more, "node", "left").select("node", (F.col("open") & again).alias("open"), *[c.alias(name) for name, c in total.items()]))
+        done, state = state, stored(state.join(more, "node", "left").select("node", (F.col("open") & again).alias("open"), *[c.alias(name) for name, c in total.items()]))
+        released(done)
         if state.where("open").isEmpty():
             break
+    released(near, state)
     return out
 
 
