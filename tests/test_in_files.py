@@ -40,3 +40,13 @@ def test_mentions_of_one_blob_are_made_by_several_tasks(spark, tables, part):
         assert tasks(got.where("path LIKE 'lib/%' AND name LIKE 'A%::Q%' AND line > 1")) > 1
     both = R.mentions(facts, facts, files, "A::Q3")
     assert Counter(r.what for r in both.collect()) == {"def": 60, "ref": 60}
+
+
+def test_references_by_their_last_segment_are_made_by_several_tasks(spark, tables, part):
+    _, files = tables
+    refs = FACTS + [("b0", n, 9, 9) for n in ("Q3", "::Q3", "A:::Q3", "AQ3", "A::Q3::B", "A::Q3::", "")]
+    got = R.const_refs_ending(spark.createDataFrame(refs, "oid string, name string, line int, col int"), files, "Q3")
+    meant = [f for f in refs if f[1] is not None and f[1] in {"Q3", "::Q3", "A::Q3", *(f"A{k}::Q3" for k in range(4))}]
+    assert Counter(map(tuple, got.collect())) == beside(meant)
+    if part == 7:
+        assert tasks(got.where("name <> 'A::Q3'")) > 1
