@@ -21,6 +21,11 @@ under the curve; of equals the smallest).  An isotonic fit of leave-one-out vote
 weighted to the classes' shares in all labels, turns votes into probabilities.
 The neighbours' ids and cosines are the evidence.
 
+The driver holds the vocabulary, its document frequencies and the postings once,
+and hands them out in one broadcast each.  Example texts, their vectors and the
+leave-one-out votes stay on the executors: vectors pass through the driver one
+by one, twice, first to size the postings and then to place them.
+
 Defined cases: a null, empty or wordless text has the share of toxic rows among
 wordless examples, 0 if there is none.  A text without a term of any example has
 no neighbour, and its vote is the class prior.  Ties between neighbours go to the
@@ -32,15 +37,17 @@ every score is that class's share (0 without labels).
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnelian.llm.frames import broadcast, documents, first_by_hash, stored, text_bytes
-from carnelian.llm.text import HashSet, prefixes, slices, words
+from carnelian.llm.frames import broadcast, documents, first_by_hash, released, stored, text_bytes
+from carnelian.llm.text import HashSet, prefixes, slices, to_signed, words
 
 MOST_EXAMPLES = 4_000
 #: Bytes of the beginnings of words that are terms.
@@ -57,6 +64,8 @@ MARGIN = 1e-5
 SOFT = 0.05
 #: Bits of the table of known terms.
 TERM_BITS = 22
+#: Entries that a task asks for their leave-one-out votes, at least: each process makes the matrix first.
+LEAST_ENTRIES = 256
 
 
 def weights_of(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, unknown: float = 0.0) -> np.ndarray:
@@ -71,19 +80,33 @@ class BlockMaxIndex:
     """Postings of unit vectors, by term, and of common terms the largest weight of each range of entries."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
-        terms = np.concatenate([np.zeros(0, dtype=np.int32), *(t.astype(np.int32) for t, _ in vectors)])
-        weights = np.concatenate([np.zeros(0, dtype=np.float32), *(w.astype(np.float32) for _, w in vectors)])
-        entries = np.repeat(np.arange(self.n, dtype=np.uint16 if self.n <= 1 << 16 else np.int32), [len(t) for t, _ in vectors])
-        order = np.argsort(terms, kind="stable")
-        self.entries, self.weights = entries[order], weights[order]
-        n_of = np.bincount(terms, minlength=n_terms)
+        n_of = np.zeros(n_terms, dtype=np.int64)
+        for terms, _ in vectors:
+            n_of[terms] += 1
+        self._place(len(vectors), n_of, ((entry, *vector) for entry, vector in enumerate(vectors)))
+
+    @classmethod
+    def of_rows(cls, n: int, n_of: np.ndarray, rows: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> BlockMaxIndex:
+        """From (entry, terms, weights) of n entries in any order, which are not kept; n_of: in how many of them each term is."""
+        index = cls.__new__(cls)
+        index._place(n, n_of, rows)
+        return index
+
+    def _place(self, n: int, n_of: np.ndarray, rows: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        self.n, self.n_blocks = n, -(-n // BLOCK)
         self.edges = np.concatenate([[0], np.cumsum(n_of)])
         most = np.argsort(-n_of, kind="stable")[:MOST_COMMON]
         self.common = np.sort(most[n_of[most] > COMMON_SHARE * self.n])
-        self.place = np.full(n_terms, -1, dtype=np.int32)
+        self.place = np.full(len(n_of), -1, dtype=np.int32)
         self.place[self.common] = np.arange(len(self.common))
         self.dense = None
+        self.entries = np.zeros(self.edges[-1], dtype=np.uint16 if n <= 1 << 16 else np.int32)
+        self.weights = np.zeros(self.edges[-1], dtype=np.float32)
+        free = self.edges[:-1].copy()
+        for entry, terms, weights in rows:  # a term is in a vector once
+            at = free[terms]
+            self.entries[at], self.weights[at] = entry, weights
+            free[terms] += 1
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"dense": None, "maxima": None}
@@ -175,53 +198,14 @@ def area_under(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((pos * (np.cumsum(neg) - neg / 2)).sum() / both) if both else 0.0
 
 
-class Model:
-    """The index over a vocabulary of term hashes, its votes and their calibration."""
-
-    def __init__(self, vocabulary: HashSet, idf: np.ndarray, examples: list[tuple], shares: dict[int, float], k: int | tuple = NEIGHBOURS):
-        """examples: (id, toxic, term numbers, counts); shares: of the classes in all labels."""
-        self.vocabulary, self.idf = vocabulary, idf
-        tried = (k,) if isinstance(k, int) else k
-        self.k = tried[0]
-        n_of = {c: sum(1 for e in examples if e[1] == c) for c in (0, 1)}
-        scale = {c: shares.get(c, 0.0) / n_of[c] if n_of[c] else 0.0 for c in (0, 1)}
-        entries: dict[bytes, list] = defaultdict(lambda: [0.0, 0.0, []])
-        vectors: dict[bytes, tuple] = {}
-        bare = [0.0, 0.0]
-        for name, toxic, terms, counts in examples:
-            if not len(terms):
-                bare[toxic] += scale[toxic]
-                continue
-            key = terms.astype(">i8").tobytes() + counts.astype(">i8").tobytes()
-            key = hashlib.sha256(key).digest()
-            entry = entries[key]
-            entry[toxic] += scale[toxic]
-            entry[2].append(name)
-            if key not in vectors:
-                vectors[key] = (terms, weights_of(terms, counts, idf).astype(np.float32))
-        keys = sorted(entries)
-        self.prior = shares.get(1, 0.0)
-        self.bare = (bare[1] + (0.0 if keys else 1e-4 * self.prior)) / (sum(bare) + 1e-4)
-        self.mass = np.array([entries[key][:2] for key in keys]).reshape(-1, 2)
-        self.names = [min(entries[key][2]) for key in keys]
-        ordered = [vectors[key] for key in keys]
-        self.index = BlockMaxIndex(ordered, len(vocabulary.values))
-        asked = [(entry, toxic) for entry in range(len(keys)) for toxic in (0, 1) if self.mass[entry, toxic]]
-        own = self.mass[[e for e, _ in asked]] if asked else np.zeros((0, 2))
-        for left, (_, toxic) in zip(own, asked, strict=True):
-            left[toxic] -= scale[toxic]
-        y, w = np.array([toxic for _, toxic in asked], dtype=float), np.array([self.mass[e, toxic] for e, toxic in asked])
-        near = self.index.nearest_of([ordered[e] for e, _ in asked], max(tried), [e for e, _ in asked]) if asked else []
-        best = -1.0
-        self.knots, self.levels = np.zeros(0), np.zeros(0)
-        for n in tried if asked else ():
-            x = np.array([self._vote(at[:n], cosine[:n], left) for (at, cosine), left in zip(near, own, strict=True)])
-            parted = area_under(x, y, w)
-            if parted > best + 1e-9:
-                best, self.k = parted, n
-                self.knots, self.levels = isotonic(x, y, w)
-
-    def _vote(self, at: np.ndarray, cosine: np.ndarray, left: np.ndarray | None = None) -> float:
+class Neighbours:
+    """The index of the entries, with the weight of each class and the least id of each entry, and how they vote."""
+
+    def __init__(self, idf: np.ndarray, keys: list[bytes], names: list, mass: np.ndarray, scale: dict[int, float], prior: float, index: BlockMaxIndex):
+        """keys: of the entries, ascending; scale: the weight of one example of each class."""
+        self.idf, self.keys, self.names, self.mass, self.scale, self.prior, self.index = idf, keys, names, mass, scale, prior, index
+
+    def vote(self, at: np.ndarray, cosine: np.ndarray, left: np.ndarray | None = None) -> float:
         """The share of toxic weight among neighbours; left: what is left of the entry itself."""
         pull = 1 / (np.maximum(0.0, 1 - cosine) + SOFT)
         mass = (self.mass[at] * pull[:, None]).sum(axis=0) if len(at) else np.zeros(2)
@@ -229,18 +213,38 @@ class Model:
             mass = mass + np.maximum(left, 0) / SOFT
         return float((mass[1] + 1e-9 * self.prior) / (mass.sum() + 1e-9))
 
-    def _votes(self, queries: list[tuple]) -> list[tuple[float, list]]:
+    def left_out(self, entries: list[int], queries: list[tuple[np.ndarray, np.ndarray]], tried: tuple) -> list[tuple]:
+        """(entry, class, votes by each number of neighbours tried) of the entries whose vectors are given, without one example of that class."""
+        out = []
+        for entry, (at, cosine) in zip(entries, self.index.nearest_of(queries, max(tried), entries), strict=True):
+            for toxic in (0, 1):
+                if self.mass[entry, toxic]:
+                    left = self.mass[entry].copy()
+                    left[toxic] -= self.scale[toxic]
+                    out.append((entry, toxic, [self.vote(at[:n], cosine[:n], left) for n in tried]))
+        return out
+
+    def votes(self, queries: list[tuple], k: int) -> list[tuple[float, list]]:
         """For each query, the share of toxic weight among its neighbours, and the nearest."""
-        found = self.index.nearest_of(queries, self.k)
-        return [(self._vote(at, cosine), [(self.names[a], float(c)) for a, c in zip(at[:3].tolist(), cosine[:3].tolist(), strict=True)]) for at, cosine in found]
+        found = self.index.nearest_of(queries, k)
+        return [(self.vote(at, cosine), [(self.names[a], float(c)) for a, c in zip(at[:3].tolist(), cosine[:3].tolist(), strict=True)]) for at, cosine in found]
+
+
+class Calibration(NamedTuple):
+    """How many neighbours vote, what their votes mean, and the score of wordless texts."""
 
-    def score(self, rows: list[tuple[np.ndarray, np.ndarray, float]]) -> list[tuple[float, list]]:
+    bare: float
+    k: int = NEIGHBOURS[0]
+    knots: np.ndarray = np.zeros(0)
+    levels: np.ndarray = np.zeros(0)
+
+    def score(self, near: Neighbours, rows: list[tuple[np.ndarray, np.ndarray, float]]) -> list[tuple[float, list]]:
         """(probability, evidence) for each row's term numbers, their counts, and its unknown terms (see weights_of)."""
         out: list[tuple[float, list]] = [(float(self.bare), [])] * len(rows)
         if not len(self.levels):
             return out
         worded = [i for i, (terms, _, unknown) in enumerate(rows) if len(terms) or unknown]
-        votes = self._votes([(terms, weights_of(terms, counts, self.idf, unknown)) for terms, counts, unknown in (rows[i] for i in worded)])
+        votes = near.votes([(terms, weights_of(terms, counts, near.idf, unknown)) for terms, counts, unknown in (rows[i] for i in worded)], self.k)
         for i, (vote, evidence) in zip(worded, votes, strict=True):
             level = float(self.levels[min(int(np.searchsorted(self.knots, vote)), len(self.levels) - 1)])
             # a hundredth of the raw vote parts rows on one level
@@ -248,6 +252,28 @@ class Model:
         return out
 
 
+def calibrated(bare: float, asked: list[tuple], mass: np.ndarray, tried: tuple) -> Calibration:
+    """The number of neighbours whose votes part the classes best, and their isotonic fit; asked: see Neighbours.left_out."""
+    asked = sorted(asked)
+    y, w = np.array([toxic for _, toxic, _ in asked], dtype=float), np.array([mass[entry, toxic] for entry, toxic, _ in asked])
+    out, best = Calibration(bare, tried[0]), -1.0
+    for n, k in enumerate(tried if asked else ()):
+        x = np.array([votes[n] for _, _, votes in asked])
+        parted = area_under(x, y, w)
+        if parted > best + 1e-9:
+            best, out = parted, Calibration(bare, k, *isotonic(x, y, w))
+    return out
+
+
+class Model(NamedTuple):
+    """A vocabulary of term hashes; itself and the neighbours (Neighbours) as broadcasts; and the calibration."""
+
+    vocabulary: HashSet
+    sent: object
+    near: object
+    calibration: Calibration
+
+
 def terms_of(part) -> tuple[np.ndarray, np.ndarray]:
     """(term hash, row) of every term of a slice, each as often as it stands there."""
     found = words(part)
@@ -297,8 +323,53 @@ def _terms(batches):
             yield pa.RecordBatch.from_arrays([*own, pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["id", "toxic", "terms", "counts"])
 
 
-def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_examples: int = MOST_EXAMPLES) -> Model:
-    """learn: a condition on the label rows to learn from."""
+def _distinct(batches):
+    """The distinct term hashes of a task's rows."""
+    seen = np.zeros(0, dtype=np.uint64)
+    for batch in batches:
+        seen = np.unique(np.concatenate([seen, *(np.frombuffer(t, dtype=np.uint64) for t in batch.column("terms").to_pylist())]))
+    yield pa.RecordBatch.from_arrays([pa.array(to_signed(seen))], ["term"])
+
+
+def entries_of(examples: DataFrame, sent, tasks: int) -> DataFrame:
+    """A row for each distinct vector: key, name (the least id), n0 and n1 (examples of each class), terms (numbers, int32) and counts (uint32); sent: the vocabulary."""
+
+    def run(batches):
+        for batch in batches:
+            terms = [np.searchsorted(sent.value.values, np.frombuffer(t, dtype=np.uint64)).astype(np.int32) for t in batch.column("terms").to_pylist()]
+            keys = [hashlib.sha256(t.astype(">i8").tobytes() + np.frombuffer(c, dtype=np.uint32).astype(">i8").tobytes()).digest() for t, c in zip(terms, batch.column("counts").to_pylist(), strict=True)]
+            made = [pa.array(keys, pa.binary()), pa.array([t.tobytes() for t in terms], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*made, *(batch.column(c) for c in ("counts", "id", "toxic"))], ["key", "terms", "counts", "id", "toxic"])
+
+    kind = examples.schema["id"].dataType.simpleString()
+    rows = examples.mapInArrow(run, f"key binary, terms binary, counts binary, id {kind}, toxic int").repartition(tasks, "key")
+    return rows.groupBy("key").agg(F.min("id").alias("name"), *(F.sum((F.col("toxic") == c).cast("long")).alias(f"n{c}") for c in (0, 1)), F.min("terms").alias("terms"), F.min("counts").alias("counts"))
+
+
+def votes_left_out(entries: DataFrame, near, tried: tuple, tasks: int) -> list[tuple]:
+    """Neighbours.left_out of every entry that has a word, asked on the executors."""
+
+    def run(batches):
+        n = near.value
+        for batch in batches:
+            rows = batch.select(["key", "terms", "counts"]).to_pylist()
+            entries = [bisect_left(n.keys, r["key"]) for r in rows]
+            out = n.left_out(entries, [vector_of(r["terms"], r["counts"], n.idf) for r in rows], tried)
+            kinds = pa.int64(), pa.int32(), pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["entry", "toxic", "votes"])
+
+    asked = entries.where(F.length("terms") > 0).select("key", "terms", "counts").repartition(tasks)
+    return [(r.entry, r.toxic, r.votes) for r in asked.mapInArrow(run, "entry bigint, toxic int, votes array<double>").collect()]
+
+
+def vector_of(terms: bytes, counts: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of an entry from what entries_of() keeps of it."""
+    numbers = np.frombuffer(terms, dtype=np.int32)
+    return numbers, weights_of(numbers, np.frombuffer(counts, dtype=np.uint32), idf).astype(np.float32)
+
+
+def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_examples: int = MOST_EXAMPLES, tried: tuple = NEIGHBOURS) -> Model:
+    """learn: a condition on the label rows to learn from; tried: numbers of neighbours."""
     spark = df.sparkSession
     kind = df.schema[id_column].dataType.simpleString()
     chosen, shares = sample_labels(labels, learn, id_column, label_column, most_examples)
@@ -306,19 +377,40 @@ def learn_model(df: DataFrame, labels: DataFrame, learn, id_column: str = "doc_i
     texts = df.select(F.col(id_column).alias("id"), text_bytes(text_column)).join(listed, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     examples = stored(texts.select("id", "toxic", "text").mapInArrow(_terms, f"id {kind}, toxic int, terms binary, counts binary"))
     total = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = total.get(0, 0), total.get(1, 0)
-    if not n0 or not n1:
-        return Model(HashSet(np.zeros(0, dtype=np.uint64)), np.zeros(1), [], shares)
-    held = [(r.id, r.toxic, np.frombuffer(r.terms, dtype=np.uint64), np.frombuffer(r.counts, dtype=np.uint32)) for r in examples.toLocalIterator()]
-    held.sort(key=lambda e: e[0])
-    vocabulary = HashSet(np.concatenate([np.zeros(0, dtype=np.uint64), *(e[2] for e in held)]), TERM_BITS)
-    numbered = [(name, toxic, np.searchsorted(vocabulary.values, terms).astype(np.int32), counts) for name, toxic, terms, counts in held]
-    return Model(vocabulary, idf(df, vocabulary, text_column), numbered, shares)
-
-
-def idf(df: DataFrame, vocabulary: HashSet, text_column: str) -> np.ndarray:
-    """log((rows + 1) / (rows with the term + 1)), counted over all rows of df; at the end, that of a term of one row."""
-    sent = broadcast(df.sparkSession, vocabulary)
+    prior = shares.get(1, 0.0)
+    if not total.get(0, 0) or not total.get(1, 0):
+        nothing = HashSet(np.zeros(0, dtype=np.uint64))
+        return Model(nothing, broadcast(spark, nothing), broadcast(spark, None), Calibration(prior))
+    # Arrow, as the vocabulary of the examples has many terms
+    vocabulary = HashSet(examples.select("terms").mapInArrow(_distinct, "term bigint").distinct().toArrow().column("term").to_numpy().view(np.uint64), TERM_BITS)
+    sent, n_terms = broadcast(spark, vocabulary), len(vocabulary.values)
+    weights = idf(df, sent, n_terms, text_column)
+    tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, -(-sum(total.values()) // LEAST_ENTRIES)))
+    entries = stored(entries_of(examples, sent, tasks))
+    released(examples)
+    found, n_of, bare = [], np.zeros(n_terms, dtype=np.int64), [0.0, 0.0]
+    scale = {c: shares.get(c, 0.0) / total[c] for c in (0, 1)}
+    for r in entries.select("key", "name", "n0", "n1", "terms").toLocalIterator():
+        mass = [r.n0 * scale[0], r.n1 * scale[1]]
+        if r.terms:
+            found.append((bytes(r.key), r.name, mass))
+            n_of[np.frombuffer(r.terms, dtype=np.int32)] += 1
+        else:
+            bare = mass
+    found.sort(key=lambda e: e[0])
+    keys, mass = [e[0] for e in found], np.array([e[2] for e in found]).reshape(-1, 2)
+    rows = ((bisect_left(keys, bytes(r.key)), *vector_of(r.terms, r.counts, weights)) for r in entries.select("key", "terms", "counts").where(F.length("terms") > 0).toLocalIterator())
+    index = BlockMaxIndex.of_rows(len(keys), n_of, rows)
+    near = broadcast(spark, Neighbours(weights, keys, [e[1] for e in found], mass, scale, prior, index))
+    del index
+    share = (bare[1] + (0.0 if keys else 1e-4 * prior)) / (sum(bare) + 1e-4)
+    calibration = calibrated(share, votes_left_out(entries, near, tried, tasks) if keys else [], mass, tried)
+    released(entries)
+    return Model(vocabulary, sent, near, calibration)
+
+
+def idf(df: DataFrame, sent, n: int, text_column: str) -> np.ndarray:
+    """log((rows + 1) / (rows with the term + 1)) for the n terms of the vocabulary sent, counted over all rows of df; at the end, that of a term of one row."""
 
     def run(batches):
         total = np.zeros(len(sent.value.values) + 1, dtype=np.int64)
@@ -331,9 +423,7 @@ def idf(df: DataFrame, vocabulary: HashSet, text_column: str) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
-    n = len(vocabulary.values)
     counts = np.zeros(n + 1)
-    # Arrow, as the vocabulary of the examples has many terms
     found = df.select(text_bytes(text_column)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counts[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return np.log((counts[-1] + 1) / (np.append(counts[:-1], 1) + 1)) + 1e-6
@@ -341,16 +431,15 @@ def idf(df: DataFrame, vocabulary: HashSet, text_column: str) -> np.ndarray:
 
 def score_toxicity(df: DataFrame, model: Model, columns: list, schema: str, text_column: str = "text") -> DataFrame:
     """The columns given, score and evidence for every row of df, in one scan without a shuffle."""
-    sent, n = broadcast(df.sparkSession, model), len(columns)
+    sent, near, calibration, n = model.sent, model.near, model.calibration, len(columns)
 
     def run(batches):
-        m = sent.value
         for batch in batches:
             scores, evidence = [], []
             for part in slices(batch.column(n)):
-                for score, near in m.score(vectors(part, m.vocabulary)):
+                for score, nearest in calibration.score(near.value, vectors(part, sent.value)):
                     scores.append(score)
-                    evidence.append([{"id": str(i), "cosine": c} for i, c in near])
+                    evidence.append([{"id": str(i), "cosine": c} for i, c in nearest])
             kind = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64()), pa.array(evidence, kind)], [*batch.schema.names[:n], "score", "evidence"])
 

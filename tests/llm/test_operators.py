@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,6 +188,27 @@ def test_toxicity_cosines_are_over_all_terms(spark, make):
         assert np.allclose([e.cosine for e in r.evidence], [c for c in want[:3] if c > 0], atol=1e-5), r.doc_id
 
 
+def test_toxicity_learns_off_the_driver(spark, make, monkeypatch):
+    # many postings of few short terms
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"{k:x}" for k in rng.choice(4096, 2500, replace=False)) + (" bad" * (i % 4 == 0)) for i in range(300)]
+    docs, labels = make([(i, t, "en", "s") for i, t in enumerate(texts)]), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id bigint, toxic int")
+
+    def asked(self):
+        raise AssertionError("neighbours were looked for on the driver")
+
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "_fill", asked)  # the workers import their own
+    tracemalloc.start()
+    try:
+        model = toxicity.learn_model(docs, labels, F.lit(True))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # the table of known terms, six bytes a posting, and the vectors of a partition at a time
+    assert most < (1 << toxicity.TERM_BITS) + 24 * 300 * 2500, most
+    assert len(model.calibration.levels) and model.calibration.k in toxicity.NEIGHBOURS
+
+
 def test_toxicity_without_labels(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.learn_model(docs, none, F.lit(True))
