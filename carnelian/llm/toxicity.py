@@ -56,7 +56,7 @@ BEGINNINGS = range(4, 11)
 NEIGHBOURS = (12, 25, 50, 100, 200)
 BLOCK = 64
 #: Blocks that are visited at a time, and queries in a batch.
-SPAN, BATCH = 8, 32
+SPAN, BATCH = 8, 128
 #: A term in more than this share of the entries is common; the matrix has at most so many, the others keep to their postings.
 COMMON_SHARE, MOST_COMMON = 1 / 16, 2_048
 #: More than single precision loses in a bound or a cosine.
@@ -109,22 +109,24 @@ class BlockMaxIndex:
             free[terms] += 1
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"dense": None, "maxima": None}
+        return self.__dict__ | {"dense": None, "maxima": None, "packed": None}
 
     def _fill(self) -> None:
-        """The matrix of common terms, which isn't sent but made where it is used."""
+        """The matrix of common terms, and entry and weight of each posting side by side, which aren't sent but made where they are used."""
         self.dense = np.zeros((self.n_blocks * BLOCK, len(self.common)), dtype=np.float32)
         for column, t in enumerate(self.common.tolist()):
             lo, hi = self.edges[t], self.edges[t + 1]
             self.dense[self.entries[lo:hi], column] = self.weights[lo:hi]
         self.maxima = self.dense.reshape(self.n_blocks, BLOCK, -1).max(axis=1)
+        self.packed = self.entries.astype(np.int64) << 32 | self.weights.view(np.uint32)
 
     def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Dot products with all entries over terms that aren't common."""
         begins, lengths = self.edges[terms], self.edges[terms + 1] - self.edges[terms]
         stops = np.cumsum(lengths)
         at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(begins - stops + lengths, lengths)
-        return np.bincount(self.entries[at], np.repeat(weights, lengths) * self.weights[at], self.n)
+        found = self.packed.take(at)
+        return np.bincount(found >> 32, np.repeat(weights, lengths) * found.astype(np.uint32).view(np.float32), self.n)
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (terms, weights), nearest(); without: an entry to leave out, or -1."""
@@ -162,7 +164,8 @@ class BlockMaxIndex:
         out = []
         for i in range(m):
             at = np.flatnonzero(total[i] > max(best[i, 0] - 2 * MARGIN, -MARGIN))
-            cosine = rest[i, at] + self.dense[at].astype(np.float64) @ asked[i]
+            own = np.flatnonzero(asked[i])
+            cosine = rest[i, at] + self.dense.take(at, axis=0).take(own, axis=1).astype(np.float64) @ asked[i, own]
             at, cosine = at[cosine > 0], cosine[cosine > 0]
             order = np.lexsort((at, -cosine))[:k]
             out.append((at[order], cosine[order]))
